@@ -190,15 +190,21 @@ def queen_neighbours(cells: DataFrame, cell: str = "gridg1") -> DataFrame:
 
 def range_layer(
     occ: DataFrame, cells: DataFrame, vagrants: DataFrame, cell: str = "gridg1", species: str = "common_name",
+    only: str | None = None,
 ) -> DataFrame:
-    """G12. Map layer: per species every cell with occupancy (NULL where none), seasons present, and
-    vagrant points as their own rows."""
+    """G12. Map layer: every cell, left-filled with species, occupancy and seasons present, and vagrant
+    points as their own rows.
+
+    Cells without any species appear once with NULLs, so the layer grows with the occupied cells and
+    not with species x cells; ``only`` restricts it to one species' map before the join.
+    """
+    if only is not None:
+        occ, vagrants = occ.filter(F.col(species) == only), vagrants.filter(F.col(species) == only)
     status = occ.groupBy(species, cell).agg(
         F.max("occupancy").alias("occupancy"),
         F.array_join(F.array_sort(F.collect_set("status")), ",").alias("seasons"),
     )
-    frame = occ.select(species).distinct().join(cells.select(cell).distinct())
-    layer = frame.join(status, [species, cell], "left").select(
+    layer = cells.select(cell).distinct().join(status, cell, "left").select(
         species, cell, "occupancy", "seasons", F.lit(False).alias("vagrant"))
     points = vagrants.select(species, cell).distinct().select(
         species, cell, F.lit(None).cast("double").alias("occupancy"),
