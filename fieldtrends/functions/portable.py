@@ -42,7 +42,7 @@ def normal(key: Column, seed, shift: int = 7919) -> Column:
 
 def sql_hash31(key: str, seed: str) -> str:
     a = f"((({key}) % {PRIME}) * {MULTIPLIER} % {PRIME})"
-    b = f"(({a} * {a} + ({seed}) * {SEED_STEP} + 12345) % {PRIME})"
+    b = f"(({a} * {a} + CAST({seed} AS BIGINT) * {SEED_STEP} + 12345) % {PRIME})"
     c = f"(({b} * {b} + {a}) % {PRIME})"
     return f"(({c} * {c} + {b}) % {PRIME})"
 

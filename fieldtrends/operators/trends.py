@@ -100,26 +100,37 @@ def expand_absences(obs: DataFrame, windows: DataFrame, years: YearInfo, by: Seq
     return with_season(out.withColumn("seen", F.coalesce("seen", F.lit(0))))
 
 
-def compress(obs: DataFrame, windows: DataFrame, years: YearInfo, by: Sequence[str] = ()) -> DataFrame:
+DESIGN = ("gridg3", "gridg1", "season", "timegroup", "no_sp")
+
+
+def compress(
+    obs: DataFrame, windows: DataFrame, years: YearInfo, by: Sequence[str] = (), attrs: Sequence[str] = DESIGN,
+) -> DataFrame:
     """T05. Binomial rows (species, cells, season, time group, list length) -> (n, k).
 
     Equal to grouping the absence expansion, but built from two aggregates: checklists counted per
     (cell, month, attributes) once for all species, and detections counted from presences only. The
-    result is bounded by the covariate design, not by the number of checklists.
+    result is bounded by the covariate design, not by the number of checklists. ``attrs`` names the
+    covariates kept; the frequency job needs the time group only.
     """
-    attrs = [*CELLS, "season", "timegroup", "no_sp"]
+    attrs = list(attrs)
+    place = [c for c in ("gridg3", "month", "era") if c not in attrs]
     full = with_season(checklists(obs, years, by).filter("all_species_reported = 1"))
-    trials = full.groupBy(*by, *attrs, "month", "era").agg(F.count(F.lit(1)).alias("n"))
-    own = species_range(obs, windows, years, by)
+    trials = full.groupBy(*by, *attrs, *place).agg(F.count(F.lit(1)).alias("n"))
+    seen = with_season(window_rows(obs, windows, years))
+    complete = F.col("all_species_reported") == 1
+    # one row per (species, checklist) and then per design cell: the range and the detections share it
+    hits = (
+        seen.groupBy(*by, SP, *attrs, *place, "min_era", "group_id")
+        .agg(F.max(F.when(complete, detected()).otherwise(0)).alias("seen"))
+        .groupBy(*by, SP, *attrs, *place, "min_era").agg(F.sum("seen").alias("k"))
+    )
+    own = hits.select(*by, SP, "gridg3", "month", "min_era").distinct()
     n = (
         own.join(trials, [*by, "gridg3", "month"]).filter(F.col("era") >= F.col("min_era"))
         .groupBy(*by, SP, *attrs).agg(F.sum("n").alias("n"))
     )
-    hits = with_season(window_rows(obs.filter("all_species_reported = 1"), windows, years))
-    k = (
-        hits.groupBy(*by, SP, *attrs, "group_id").agg(F.max(detected()).alias("seen"))
-        .groupBy(*by, SP, *attrs).agg(F.sum("seen").alias("k"))
-    )
+    k = hits.groupBy(*by, SP, *attrs).agg(F.sum("k").alias("k"))
     out = null_safe_join(n, k, [*by, SP, *attrs], "left")
     return out.withColumn("k", F.coalesce("k", F.lit(0)).cast("bigint"))
 

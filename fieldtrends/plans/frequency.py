@@ -23,9 +23,9 @@ def everything(spark: SparkSession, d: str) -> DataFrame:
 
 def raw_trends(spark: SparkSession, d: str, sims: int = 10, seed: int = 42) -> DataFrame:
     """Replicated reporting frequencies: (sim, species, time group, year, freq, se)."""
-    ana = A.analysis_table(spark, d)
+    ana = A.analysis_table(spark, d, reuse=True)
     reps = resample.replicates(qualify.sampling_frame(ana), sims, seed)
-    rows = trends.compress(resample.apply_replicates(ana, reps), everything(spark, d), A.YEARS, ["sim"])
+    rows = trends.compress(resample.apply_replicates(ana, reps), everything(spark, d), A.YEARS, ["sim"], attrs=["timegroup"])
     labels = qualify.label_dim(ana, A.YEARS).select("timegroup", F.col("tg_year").alias("year"))
     return trends.reporting_frequency(rows, ["sim"]).join(labels, "timegroup")
 

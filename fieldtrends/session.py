@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,3 +40,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="fieldtrends-ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Mark a table that one job reads several times (cleaned records, combined trends).
+
+    Executors keep what fits in memory and spill the rest to disk; lost blocks are recomputed from
+    lineage. Equal plans in one session share the blocks.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

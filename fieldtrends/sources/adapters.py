@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldtrends.config import YearInfo
 from fieldtrends.operators import clean, spatial
+from fieldtrends.session import shared
 
 GRID_SIZES = {"gridg0": 0.25, "gridg1": 1.0, "gridg2": 2.0, "gridg3": 4.0, "gridg4": 8.0}
 YEARS = YearInfo(
@@ -103,9 +104,10 @@ def gridded(spark: SparkSession, d: str, species: str = "name") -> DataFrame:
     return clean.with_timegroup(df, YEARS)
 
 
-def analysis_table(spark: SparkSession, d: str, species: str = "name") -> DataFrame:
-    """Table the selection, trend and occupancy steps start from."""
-    return clean.check_completeness(gridded(spark, d, species), ORDER)
+def analysis_table(spark: SparkSession, d: str, species: str = "name", reuse: bool = False) -> DataFrame:
+    """Table the selection, trend and occupancy steps start from; ``reuse`` when a job reads it often."""
+    out = clean.check_completeness(gridded(spark, d, species), ORDER)
+    return shared(out) if reuse else out
 
 
 def habitat_flags(obs: DataFrame, cell: str = "gridg1") -> DataFrame:
@@ -119,7 +121,7 @@ def habitat_flags(obs: DataFrame, cell: str = "gridg1") -> DataFrame:
 
 def masked(spark: SparkSession, d: str, species: str = "name") -> DataFrame:
     """Analysis table with protected area, land buffer and habitat flags."""
-    ana = analysis_table(spark, d, species)
+    ana = analysis_table(spark, d, species, reuse=True)
     pts = spatial.checklist_points(ana, ORDER)
     tags = spatial.tag_points(pts, polygons(spark), {"pa_name": "pa", "land": "land"}, {})
     tags = spatial.first_match(tags, [F.col("pa_name").asc_nulls_last(), F.col("land").asc_nulls_last()])

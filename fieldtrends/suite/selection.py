@@ -27,7 +27,7 @@ RT = "rt AS " + all_groups("rt", "year", 28, 12, NR, where="year >= 1997")
 
 
 def flags(spark, d):
-    ana = A.analysis_table(spark, d)
+    ana = A.analysis_table(spark, d, reuse=True)
     ht = q.qualify_all_groups(ana, "timegroup", NL, 25, 12, "ht", "gridg3")
     rt = q.qualify_all_groups(ana, "year", NR, 28, 12, "rt", "gridg3", Y.recent_start)
     return ana, q.with_flags(A.species_map(spark, d), ht, rt)
@@ -101,7 +101,7 @@ VH, VR = valid("vh", "ht", "ch", NL, 60), valid("vr", "rt", "cr", NR, 60, "a.yea
 
 
 def restricted(spark, d):
-    ana = A.analysis_table(spark, d, "fine")
+    ana = A.analysis_table(spark, d, "fine", reuse=True)
     ch = q.restricted_candidates(ana, NL, 4, "gridg3")
     cr = q.restricted_candidates(ana, NR, 4, "gridg3", Y.recent_start)
     vh = q.restricted_valid(ch, ana, 60, NL, "ht")
@@ -251,6 +251,6 @@ def r02(spark, d):
 @query("r03_apply_replicates", S.upto("ana", "name", FRAME, NUMBERED, REPS) + """
   SELECT sim, common_name, a.timegroup, count(*) AS n FROM ana a JOIN reps USING (group_id) GROUP BY 1, 2, 3""")
 def r03(spark, d):
-    ana = A.analysis_table(spark, d)
+    ana = A.analysis_table(spark, d, reuse=True)
     reps = resample.replicates(q.sampling_frame(ana), NSIM, seed=42)
     return resample.apply_replicates(ana, reps).groupBy("sim", "common_name", "timegroup").agg(F.count(F.lit(1)).alias("n"))
