@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,29 +23,37 @@ def local_session(cores: str = "8", app: str = "fieldtrends", memory: str = "8g"
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for iterative jobs.
+def work_folder(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables and checkpoints.
 
-    The directory is the shared one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder; a cluster without it is an error,
-    because a machine-local folder would not survive the loss of an executor.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without that
+    setting gets a temporary folder; a cluster without it is an error, because a machine-local folder
+    would not survive the loss of an executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="fieldtrends-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a small table, for iterative jobs."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative jobs")
-            folder = tempfile.mkdtemp(prefix="fieldtrends-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Mark a table that one job reads several times (cleaned records, combined trends).
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table that one job reads several times, and read it back.
 
-    Executors keep what fits in memory and spill the rest to disk; lost blocks are recomputed from
-    lineage. Equal plans in one session share the blocks.
+    Every later read prunes columns and pushes filters into Parquet, the plans stay small, sizes are
+    known to the optimizer, and a lost executor costs nothing: the table is in shared storage.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{work_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

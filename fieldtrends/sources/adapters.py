@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldtrends.config import YearInfo
 from fieldtrends.operators import clean, spatial
-from fieldtrends.session import shared
+from fieldtrends.session import staged
 
 GRID_SIZES = {"gridg0": 0.25, "gridg1": 1.0, "gridg2": 2.0, "gridg3": 4.0, "gridg4": 8.0}
 YEARS = YearInfo(
@@ -107,7 +107,7 @@ def gridded(spark: SparkSession, d: str, species: str = "name") -> DataFrame:
 def analysis_table(spark: SparkSession, d: str, species: str = "name", reuse: bool = False) -> DataFrame:
     """Table the selection, trend and occupancy steps start from; ``reuse`` when a job reads it often."""
     out = clean.check_completeness(gridded(spark, d, species), ORDER)
-    return shared(out) if reuse else out
+    return staged(out) if reuse else out
 
 
 def habitat_flags(obs: DataFrame, cell: str = "gridg1") -> DataFrame:

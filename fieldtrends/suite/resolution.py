@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldtrends.functions import maths, portable
 from fieldtrends.operators import clean, resolve as v
 from fieldtrends.plans import frequency as fq
-from fieldtrends.session import shared
+from fieldtrends.session import staged
 from fieldtrends.sources import adapters as A
 from fieldtrends.suite import tables as S
 from fieldtrends.suite.registry import query
@@ -63,7 +63,7 @@ def drawn_sql(seed, src, n=N, extra="", seed_col=None):
 
 
 def combined(spark, d):
-    return shared(v.combine_sims(fq.raw_trends(spark, d)))
+    return staged(v.combine_sims(fq.raw_trends(spark, d)))
 
 
 def base(*more):
