@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["cleaning", "places", "selection", "trend", "resolution"]
+MODULES = ["cleaning", "places", "selection", "trend", "occupancy", "resolution"]
 
 
 def load():
