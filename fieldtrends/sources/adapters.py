@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldtrends.config import YearInfo
+from fieldtrends.config import (
+    IUCN_ORDER, PAST_TREND_STATUSES, PRIORITY_STATUSES, RANGE_STATUSES, TREND_STATUSES, YearInfo,
+)
 from fieldtrends.operators import clean, spatial
 from fieldtrends.session import staged
 
@@ -143,3 +145,63 @@ def species_map(spark: SparkSession, d: str, species: str = "name") -> DataFrame
         F.when(k % 23 == 0, 1).alias("discard"),
         (k % 17 == 0).alias("misid"), (k % 2 == 0).alias("woodland"), (k % 3 == 0).alias("openland"),
     )
+
+
+# ---------------------------------------------------------------- species sheet: one part, one species
+HABITATS = ["Forest", "Grassland", "Wetland", "Non-specialized", "Forest & Plantation", "Open Habitat"]
+RANGE_MEANS = [0, 300, 5000, 30000, 120000, 400000, 1500000]
+PAST_RANGES = ["Very Restricted", "Restricted", "Data Deficient", "Moderate", "Large", "Very Large"]
+
+
+def pick(values, index):
+    """Element of a fixed list by a zero-based index column."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def main_table(spark: SparkSession, d: str) -> DataFrame:
+    """Species with estimates and past statuses, before classification."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    est = k % 11 != 0
+    lt, lh = (20 + k * 37 % 200).cast("double"), (k * 13 % 40).cast("double")
+    ct, ch = (k * 29 % 120) / F.lit(10.0) - 6, (k * 7 % 50) / F.lit(10.0)
+    rg = pick(RANGE_MEANS, k % 7).cast("double")
+    mark = F.when(est, "X").otherwise("")
+    return table(spark, d, "part").select(
+        F.concat(F.lit("SP"), k).alias("species"), k.alias("k"),
+        F.concat(F.lit("Genus "), k).alias("scientific_name"), F.concat(F.lit("Name "), k).alias("checklist_name"),
+        F.col("p_brand").alias("order_name"), F.col("p_type").alias("grp"),
+        F.when(k % 13 == 0, "").otherwise("X").alias("selected"),
+        mark.alias("long_term_analysis"), mark.alias("current_analysis"),
+        F.when(est, lt - lh).alias("longtermlci"), F.when(est, lt).alias("longtermmean"), F.when(est, lt + lh).alias("longtermrci"),
+        F.when(est, ct - ch).alias("currentslopelci"), F.when(est, ct).alias("currentslopemean"),
+        F.when(est, ct + ch).alias("currentsloperci"),
+        (rg * 0.9).alias("rangelci"), rg.alias("rangemean"), (rg * 1.1).alias("rangerci"),
+        F.when(k % 12 == 0, 1).alias("restricted_islands"),
+        F.when(k % 97 == 0, "Extinct").otherwise(pick(IUCN_ORDER, k % 6)).alias("iucn"),
+        F.when(k % 5 == 0, "Mountain").otherwise("Non-endemic").alias("endemic_region"),
+        pick(HABITATS, k % 6).alias("habitat"), pick(MIGRATORY, k % 7).alias("migratory_status"),
+        F.when(k % 9 == 0, k % 40 + 10).alias("one_percent"),
+        F.when(s % 10 != 0, pick(PAST_TREND_STATUSES, s % 7)).alias("past_long_term_status"),
+        F.when(s % 10 != 0, pick(PAST_TREND_STATUSES, (s * 3 + 1) % 7)).alias("past_current_status"),
+        pick(PAST_RANGES, s % 6).alias("past_range_status"),
+        F.when(s % 4 < 3, pick(PRIORITY_STATUSES, s % 4 % 3)).alias("past_priority_status"),
+        pick(TREND_STATUSES, (k * 5 + s) % 7).alias("major_long_term_status"),
+        pick(TREND_STATUSES, (k * 3 + s) % 7).alias("major_current_status"),
+        pick(RANGE_STATUSES, (k + s) % 6).alias("major_range_status"),
+        F.when(k % 10 != 0, pick(PRIORITY_STATUSES, (k + s) % 3)).alias("major_priority_status"),
+        (k * 7 % 100 / F.lit(100.0)).alias("share_recent"), (k * 11 % 250 / F.lit(10.0)).alias("mean5km"),
+        (k % 30 / F.lit(10.0)).alias("ci5km"), (5 + k % 12).alias("gen"),
+    )
+
+
+def vagrant_species(main: DataFrame) -> DataFrame:
+    return main.filter(F.col("k") % 14 == 0).select("species")
+
+
+def classified(spark: SparkSession, d: str) -> DataFrame:
+    """Species sheet with all four statuses."""
+    from fieldtrends.operators import classify as c
+
+    main = main_table(spark, d)
+    out = c.range_status(c.current_status(c.long_term_status(main)), vagrant_species(main))
+    return c.priority_status(c.null_unselected(out), c.score_rules(spark))

@@ -35,7 +35,7 @@ SHARE = """share AS (SELECT p.common_name, p.status, p.gridg1, p.presence, CASE
   LEFT JOIN (SELECT q.common_name, q.status, e.gridg1, count(*) AS n_occ FROM edges e JOIN pres q ON q.gridg1 = e.nb_cell WHERE q.presence = 1 GROUP BY 1, 2, 3) k
     ON k.common_name = p.common_name AND k.status = p.status AND k.gridg1 = p.gridg1)"""
 # a simple stand-in for model output, so that O11-O13 can be checked without a fit
-PRED = """pred AS (SELECT common_name, status, gridg1, 0.05 + 0.3 * no_sp / (no_sp + 10.0) AS p, 0.01 + no_sp / 1000.0 AS se FROM numbered),
+PRED = """pred AS (SELECT common_name, status, gridg1, 0.3 * (1 - exp(-no_sp / 7.0)) AS p, sqrt(no_sp) / 300 AS se FROM numbered),
 det AS (SELECT common_name, status, gridg1, 1 - product(1 - p) AS det, product(1 - p) AS inv_det, product(1 - p) * sum(se / (1 - p)) AS det_se FROM pred GROUP BY 1, 2, 3),
 samples AS (SELECT common_name, status, gridg1, count(*) AS samples FROM numbered GROUP BY 1, 2, 3),
 occ AS (SELECT common_name, status, gridg1, prop_nb, 0.1 + 0.6 * coalesce(prop_nb, 0) AS occ, 0.02 + 0.05 * coalesce(prop_nb, 0) AS occ_se FROM share),
@@ -135,8 +135,8 @@ def o10(spark, d):
 def stand_in(spark, d):
     ana, v = all_visits(spark, d)
     numbered = o.number_visits(v, 7)
-    pred = numbered.select("common_name", "status", "gridg1", (0.05 + 0.3 * F.col("no_sp") / (F.col("no_sp") + 10.0)).alias("p"),
-                           (0.01 + F.col("no_sp") / 1000.0).alias("se"))
+    pred = numbered.select("common_name", "status", "gridg1", (0.3 * (1 - F.exp(-F.col("no_sp") / 7.0))).alias("p"),
+                           (F.sqrt("no_sp") / 300).alias("se"))
     return ana, v, numbered, o.cell_detection(pred)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from fieldtrends.sources.adapters import MIGRATORY, POLYGONS
+from fieldtrends.config import IUCN_ORDER, PAST_TREND_STATUSES, PRIORITY_STATUSES, RANGE_STATUSES, TREND_STATUSES
+from fieldtrends.sources.adapters import HABITATS, MIGRATORY, PAST_RANGES, POLYGONS, RANGE_MEANS
 
 SPECIES = {"name": "p_name", "fine": "p_name || ' ' || p_brand", "part": "'SP' || p_partkey"}
 
@@ -128,3 +129,69 @@ def upto(stage: str, species: str = "name", *more: str) -> str:
     chain = [("obs", obs(species)), ("listed", LISTED), ("deduped", DEDUPED), ("gridded", GRIDDED), ("ana", ANA), ("masked", MASKED)]
     names = [n for n, _ in chain]
     return with_(*[text for _, text in chain[: names.index(stage) + 1]], *more)
+
+
+def pick(values, index: str) -> str:
+    items = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return f"[{items}][CAST({index} AS INT) + 1]"
+
+
+MAIN0 = f"""main0 AS (
+  SELECT 'SP' || k AS species, k, 'Genus ' || k AS scientific_name, 'Name ' || k AS checklist_name, p_brand AS order_name, p_type AS grp,
+    CASE WHEN k % 13 = 0 THEN '' ELSE 'X' END AS selected,
+    CASE WHEN est THEN 'X' ELSE '' END AS long_term_analysis, CASE WHEN est THEN 'X' ELSE '' END AS current_analysis,
+    CASE WHEN est THEN lt - lh END AS longtermlci, CASE WHEN est THEN lt END AS longtermmean, CASE WHEN est THEN lt + lh END AS longtermrci,
+    CASE WHEN est THEN ct - ch END AS currentslopelci, CASE WHEN est THEN ct END AS currentslopemean, CASE WHEN est THEN ct + ch END AS currentsloperci,
+    rg * 0.9::DOUBLE AS rangelci, rg AS rangemean, rg * 1.1::DOUBLE AS rangerci,
+    CASE WHEN k % 12 = 0 THEN 1 END AS restricted_islands,
+    CASE WHEN k % 97 = 0 THEN 'Extinct' ELSE {pick(IUCN_ORDER, 'k % 6')} END AS iucn,
+    CASE WHEN k % 5 = 0 THEN 'Mountain' ELSE 'Non-endemic' END AS endemic_region,
+    {pick(HABITATS, 'k % 6')} AS habitat, {pick(MIGRATORY, 'k % 7')} AS migratory_status,
+    CASE WHEN k % 9 = 0 THEN k % 40 + 10 END AS one_percent,
+    CASE WHEN s % 10 <> 0 THEN {pick(PAST_TREND_STATUSES, 's % 7')} END AS past_long_term_status,
+    CASE WHEN s % 10 <> 0 THEN {pick(PAST_TREND_STATUSES, '(s * 3 + 1) % 7')} END AS past_current_status,
+    {pick(PAST_RANGES, 's % 6')} AS past_range_status,
+    CASE s % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Moderate' WHEN 2 THEN 'Low' END AS past_priority_status,
+    {pick(TREND_STATUSES, '(k * 5 + s) % 7')} AS major_long_term_status, {pick(TREND_STATUSES, '(k * 3 + s) % 7')} AS major_current_status,
+    {pick(RANGE_STATUSES, '(k + s) % 6')} AS major_range_status,
+    CASE WHEN k % 10 <> 0 THEN {pick(PRIORITY_STATUSES, '(k + s) % 3')} END AS major_priority_status,
+    k * 7 % 100 / 100.0 AS share_recent, k * 11 % 250 / 10.0 AS mean5km, k % 30 / 10.0 AS ci5km, 5 + k % 12 AS gen
+  FROM (SELECT *, p_partkey AS k, p_size AS s, p_partkey % 11 <> 0 AS est, (20 + p_partkey * 37 % 200)::DOUBLE AS lt, (p_partkey * 13 % 40)::DOUBLE AS lh,
+      (p_partkey * 29 % 120) / 10.0::DOUBLE - 6 AS ct, (p_partkey * 7 % 50) / 10.0::DOUBLE AS ch,
+      {pick(RANGE_MEANS, 'p_partkey % 7')}::DOUBLE AS rg FROM part))"""
+
+LT_CASE = """CASE WHEN longtermmean IS NULL THEN 'Insufficient Data'
+    WHEN (longtermrci - longtermmean) / longtermmean > 0.5 THEN 'Trend Inconclusive' WHEN longtermrci <= 50 THEN 'Rapid Decline'
+    WHEN longtermrci <= 75 THEN 'Decline' WHEN longtermlci >= 150 THEN 'Rapid Increase' WHEN longtermlci >= 125 THEN 'Increase'
+    WHEN longtermlci > 100 OR longtermrci < 100 THEN 'Trend Inconclusive' WHEN longtermlci <= 50 OR longtermrci >= 150 THEN 'Trend Inconclusive'
+    ELSE 'Stable' END"""
+CT_CASE = """CASE WHEN currentslopemean IS NULL THEN 'Insufficient Data' WHEN currentsloperci - currentslopelci > 6 THEN 'Trend Inconclusive'
+    WHEN currentsloperci <= -2.7::DOUBLE THEN 'Rapid Decline' WHEN currentsloperci <= -1.1::DOUBLE THEN 'Decline' WHEN currentslopelci >= 1.6::DOUBLE THEN 'Rapid Increase'
+    WHEN currentslopelci >= 0.9::DOUBLE THEN 'Increase' WHEN currentsloperci < 0 OR currentslopelci > 0 THEN 'Trend Inconclusive' ELSE 'Stable' END"""
+RG_CASE = """CASE WHEN rangemean IS NULL THEN NULL WHEN rangemean = 0 AND k % 14 <> 0 THEN 'Historical' WHEN rangerci < 625 THEN 'Very Restricted'
+    WHEN restricted_islands IS NULL AND rangerci < 7500 THEN 'Very Restricted' WHEN rangerci < 42500 THEN 'Restricted'
+    WHEN rangelci > 1000000 THEN 'Very Large' WHEN rangelci > 250000 THEN 'Large' ELSE 'Moderate' END"""
+
+
+def points(col: str) -> str:
+    return (f"CASE {col} WHEN 'Rapid Decline' THEN 4 WHEN 'Decline' THEN 3 WHEN 'Insufficient Data' THEN 1 WHEN 'Trend Inconclusive' THEN 1 "
+            f"WHEN 'Stable' THEN 0 ELSE -1 END")
+
+
+MAIN = MAIN0 + f""",
+main1 AS (SELECT *, {LT_CASE} AS long_term_status, {CT_CASE} AS current_status, {RG_CASE} AS range_status FROM main0),
+main2 AS (SELECT * REPLACE (CASE WHEN selected = 'X' THEN long_term_status END AS long_term_status,
+    CASE WHEN selected = 'X' THEN current_status END AS current_status, CASE WHEN selected = 'X' THEN range_status END AS range_status) FROM main1),
+main3 AS (SELECT *, CASE WHEN long_term_status IS NULL OR current_status IS NULL OR range_status IS NULL THEN NULL
+    WHEN range_status = 'Historical' THEN 'Low' WHEN current_status = 'Insufficient Data' AND long_term_status <> 'Insufficient Data' THEN NULL
+    WHEN score >= 5 THEN 'High' WHEN score >= 3 THEN 'Moderate' ELSE 'Low' END AS rule FROM (
+    SELECT *, {points('long_term_status')} + {points('current_status')} + CASE range_status WHEN 'Very Restricted' THEN 3 WHEN 'Restricted' THEN 2
+      WHEN 'Moderate' THEN 1 WHEN 'Very Large' THEN -1 ELSE 0 END AS score FROM main2)),
+main AS (SELECT * EXCLUDE (score, rule), CASE WHEN iucn IN ('Extinct in the Wild', 'Extinct') THEN 'Low'
+    WHEN unc AND iucn IN ('Endangered', 'Critically Endangered') THEN 'High' WHEN dec AND iucn IN ('Endangered', 'Critically Endangered') THEN 'High'
+    WHEN unc AND range_status IN ('Historical', 'Very Restricted', 'Restricted') AND iucn = 'Vulnerable' THEN 'High'
+    WHEN unc AND iucn IN ('Near Threatened', 'Vulnerable') AND rule = 'Low' THEN 'Moderate'
+    WHEN long_term_status = 'Insufficient Data' AND current_status = 'Insufficient Data' AND endemic_region <> 'Non-endemic' AND rule = 'Low' THEN 'Moderate'
+    ELSE rule END AS priority_status FROM (SELECT *,
+    long_term_status IN ('Insufficient Data', 'Trend Inconclusive') AND current_status IN ('Insufficient Data', 'Trend Inconclusive') AS unc,
+    long_term_status IN ('Decline', 'Rapid Decline') AND current_status IN ('Decline', 'Rapid Decline') AS dec FROM main3))"""
