@@ -355,11 +355,12 @@ def compare_runs(old: DataFrame, new: DataFrame, baseline_year: int) -> DataFram
     u = both.select("common_name", "year", *[v.alias(k) for k, v in used.items()])
     mo, mn = F.col("mean_o"), F.col("mean_n")
     both_known = mo.isNotNull() & mn.isNotNull()
+    o, n = F.when(both_known, mo), F.when(both_known, mn)  # a constant series has no correlation
     width = lambda r: F.avg(F.col(f"rci_{r}") - F.col(f"lci_{r}"))
     return u.groupBy("common_name").agg(
         F.count(F.lit(1)).alias("n_points"), F.avg(F.abs(mo - 100) + F.abs(mn - 100)).alias("mean_diff"),
         (100 * F.avg(F.try_divide(mn - mo, mo))).alias("mean_pct_diff"),
-        F.corr(F.when(both_known, mo), F.when(both_known, mn)).alias("corr_means"),
+        F.try_divide(F.covar_samp(o, n), F.stddev_samp(o) * F.stddev_samp(n)).alias("corr_means"),
         F.avg(F.col("lci_n") - F.col("lci_o")).alias("lci_range_diff"), F.avg(F.col("rci_n") - F.col("rci_o")).alias("rci_range_diff"),
         width("o").alias("mean_width_old"), width("n").alias("mean_width_new"),
     ).withColumn("width_ratio", F.try_divide("mean_width_new", "mean_width_old"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["cleaning", "places", "selection", "trend", "occupancy", "resolution", "status"]
+MODULES = ["cleaning", "places", "selection", "trend", "occupancy", "resolution", "status", "reports", "keys", "releases"]
 
 
 def load():
