@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldtrends.operators import clean, mistakes
+from fieldtrends.session import work_folder
 from fieldtrends.sources import adapters as A, masks, observations, sinks
 from fieldtrends.suite import tables as S
 from fieldtrends.suite.registry import query
@@ -303,3 +306,53 @@ def c17(spark, d):
     count(*) AS n FROM listed GROUP BY 1, 2""")
 def c18(spark, d):
     return clean.with_season(A.listed(spark, d)).groupBy("month", "season").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ files: what is written comes back
+def folder(spark, name):
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s01_read_observations", S.with_(S.obs()) + """
+  SELECT event_id, common_name, category, obs_count, locality_id, reviewed, approved, state, district, round(lat, 9) AS lat, obs_date, protocol,
+    CAST(duration_min AS INT) AS duration_min, round(distance_km, 9) AS distance_km, all_species_reported, group_identifier, exotic_code FROM obs""")
+def s01(spark, d):
+    obs = A.observations(spark, d).withColumns({"locality_type": F.lit(" "), "number_observers": F.lit(None).cast("int")})
+    path = folder(spark, "export")
+    obs.select(*[F.coalesce(F.col(dst).cast("string"), F.lit("")).alias(src) for src, dst, _ in observations.EXPORT_COLUMNS],
+               F.lit("unused").alias("LAST EDITED DATE")).write.option("sep", "\t").option("header", True).option("quote", "").option(
+        "emptyValue", "").csv(path)
+    back = observations.read_observations(spark, path)
+    return back.select("event_id", "common_name", "category", "obs_count", "locality_id", "reviewed", "approved", "state", "district",
+                       F.round("lat", 9).alias("lat"), "obs_date", "protocol", "duration_min", F.round("distance_km", 9).alias("distance_km"),
+                       "all_species_reported", "group_identifier", "exotic_code")
+
+
+@query("s04_read_partitioned", S.upto("deduped") + """
+  SELECT year, state, common_name, count(*) AS n FROM deduped WHERE year IN (1998, 2000) GROUP BY 1, 2, 3""")
+def s04(spark, d):
+    path = folder(spark, "records")
+    sinks.write_mask_table(A.deduped(spark, d).select("year", "state", "common_name", "group_id"), path, ["year"])
+    return observations.read_partitioned(spark, path, year=[1998, 2000]).groupBy("year", "state", "common_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s05_rewrite_one_mask", S.with_(S.obs()) + """
+  SELECT state AS mask, CASE WHEN state = 'NATION_3' THEN 'second' ELSE 'first' END AS run, count(*) AS n FROM obs GROUP BY 1""")
+def s05(spark, d):
+    path = folder(spark, "masks")
+    n = A.observations(spark, d).groupBy(F.col("state").alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_mask_table(n.withColumn("run", F.lit("first")), path)
+    sinks.write_mask_table(n.filter("mask = 'NATION_3'").withColumn("run", F.lit("second")), path, files_per_key=2)
+    return observations.read_partitioned(spark, path).select("mask", "run", "n")
+
+
+@query("s06_report_sheets", S.with_(S.obs()) + """
+  SELECT 'by_category' AS sheet, category AS label, count(*) AS n FROM obs GROUP BY 2 UNION ALL SELECT 'by_protocol', protocol, count(*) FROM obs GROUP BY 2""")
+def s06(spark, d):
+    obs = A.observations(spark, d)
+    path = folder(spark, "report")
+    count = lambda c: obs.groupBy(F.col(c).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_report({"by_category": count("category"), "by_protocol": count("protocol")}, path)
+    sheets = [observations.read_dim(spark, f"{path}/{s}", "label string, n bigint").withColumn("sheet", F.lit(s))
+              for s in ("by_category", "by_protocol")]
+    return observations.union_sources(*sheets).select("sheet", "label", "n")
