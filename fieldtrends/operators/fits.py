@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fieldtrends.config import SEASON_NAMES
 from fieldtrends.session import cut_lineage
@@ -188,14 +188,32 @@ def _used(hess: np.ndarray) -> np.ndarray:
     return on
 
 
+def parabola_step(params: DataFrame, keys: Sequence[str], step: float, nested: bool) -> DataFrame:
+    """Next centre: per variance the vertex of the parabola through its three deviances, at most 1.5
+    steps away; without curvature one step to the lower side."""
+    at = lambda c, i: F.max(F.when(F.col("cand") == i, F.col(c)))
+    aggs = [at("dev", i).alias(f"d{i}") for i in range(5)] + [at("log1", 0).alias("c1"), at("log3", 0).alias("c3")]
+    g = params.groupBy(*keys).agg(*aggs, F.min_by("beta", "cand").alias("beta"))
+
+    def offset(up: str, down: str) -> Column:
+        bend = F.col(up) + F.col(down) - 2 * F.col("d0")
+        vertex = F.try_divide((F.col(down) - F.col(up)) * step / 2, bend)
+        side = F.when(F.least(up, down) >= F.col("d0"), 0.0).when(F.col(up) < F.col(down), step).otherwise(-step)
+        return F.when(bend > 1e-9, F.greatest(F.least(vertex, F.lit(1.5 * step)), F.lit(-1.5 * step))).otherwise(side)
+
+    log3 = F.greatest(F.col("c3") + offset("d3", "d4"), F.lit(-4.0)) if nested else F.col("c3")
+    return g.select(*keys, F.lit(0).alias("cand"), F.greatest(F.col("c1") + offset("d1", "d2"), F.lit(-4.0)).alias("log1"),
+                    log3.alias("log3"), "beta")
+
+
 def fit_glmm(
     binomial: DataFrame, labels: Sequence[str], by: Sequence[str] = (), nested: bool = True,
     rounds: int = 4, warmup: int = 6, passes: int = 2, step: float = 0.8,
 ) -> DataFrame:
     """T07. The fixed model plus nested random intercepts per cell, Laplace deviance.
 
-    Coefficients are profiled for several pairs of variances at once; the pair with the lowest deviance
-    becomes the centre of the next, finer pattern. Coefficient and variance rows (a few numbers per
+    Coefficients are profiled for a pattern of variances around the present pair; parabolas through
+    the deviances give the centre of the next, finer pattern. Coefficient and variance rows (a few numbers per
     model) are checkpointed each pass; blocks are computed once.
     """
     keys = [*by, SP]
@@ -260,9 +278,7 @@ def fit_glmm(
             F.greatest(F.col("log3") + F.col("m.b"), F.lit(-4.0)).alias("log3"), "beta")
         for _ in range(passes):
             params = one_pass(params)
-        best = params.groupBy(*keys).agg(F.min_by(
-            F.struct("log1", "log3", "beta", "cov", "dev", "move"), F.struct("dev", "cand")).alias("b")).select(*keys, "b.*")
-        best = best.withColumn("cand", F.lit(0))
+        best = parabola_step(params, keys, step, nested)
         step = step / 2
     final = one_pass(best.select(*names, "beta"))
     terms = terms_of(SEASON_NAMES, ["-"]) + [f"time:{g}" for g in labels]

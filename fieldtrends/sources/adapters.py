@@ -108,7 +108,8 @@ def gridded(spark: SparkSession, d: str, species: str = "name") -> DataFrame:
 
 def analysis_table(spark: SparkSession, d: str, species: str = "name", reuse: bool = False) -> DataFrame:
     """Table the selection, trend and occupancy steps start from; ``reuse`` when a job reads it often."""
-    out = clean.check_completeness(gridded(spark, d, species), ORDER)
+    # the check reads its input twice (first row per checklist, then all rows)
+    out = clean.check_completeness(staged(gridded(spark, d, species)), ORDER)
     return staged(out) if reuse else out
 
 

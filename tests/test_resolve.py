@@ -14,7 +14,7 @@ POINTS = [
 
 
 def test_back_transform_and_baseline_reproduce_published_values(spark):
-    rows = [("s", str(y), y, m + d * se / np.sqrt(2), 0.0) for y, m, se, *_ in POINTS for d in (-1, 1)]
+    rows = [("s", str(y), y, float(m + d * se / np.sqrt(2)), 0.0) for y, m, se, *_ in POINTS for d in (-1, 1)]
     out = v.combine_sims(spark.createDataFrame(rows, "common_name string, timegroup string, year int, freq double, se double"))
     got = {r.year: r for r in v.standardise(out).collect()}
     for y, m, se, lci, mean, rci, std in POINTS:
