@@ -44,7 +44,7 @@ RECENT = std_sql("rec", "se_trans IS NOT NULL AND year >= 1997", "mean_std_recen
 
 
 def keyed(src):
-    return f"""{src}k AS (SELECT s.*, (dense_rank() OVER (ORDER BY common_name)) * 1000 + (year - 1900) AS draw_key FROM {src} s)"""
+    return f"""{src}k AS (SELECT s.*, ('0x' || substr(md5(common_name), 1, 7))::BIGINT * 1000 + (year - 1900) AS draw_key FROM {src} s)"""
 
 
 def normal_sql(key, seed):
