@@ -45,3 +45,30 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     from fieldtrends.llm.tokens import public_path
 
     return pack(documents(spark, d), public_path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    from fieldtrends.llm.quality import BASE, quality_rules
+
+    judged, _ = quality_rules(documents(spark, d), table(spark, d, "labels"))
+    return judged.select("doc_id", *BASE, "base_failed", "kept", "rule")
+
+
+OP8_SQL = """
+WITH flat AS (
+    SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents
+), ranked AS (
+    SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+           row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+    FROM flat WINDOW w AS (PARTITION BY t ORDER BY points DESC, doc_id NULLS FIRST)
+)
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ranked
+"""
+
+
+@query("op8_exact_dedup", OP8_SQL)
+def op8_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from fieldtrends.llm.exact_dedup import exact_groups
+
+    return exact_groups(documents(spark, d)).drop("level", "name")
