@@ -72,3 +72,15 @@ def op8_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     from fieldtrends.llm.exact_dedup import exact_groups
 
     return exact_groups(documents(spark, d)).drop("level", "name")
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from fieldtrends.llm.pii import described, spans
+
+    base = ["email", "ip", "card", "phone"]
+    found = spans(documents(spark, d).select("doc_id", "text"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(described(base), 256).alias("base_sha256"), described().alias("spans"))
