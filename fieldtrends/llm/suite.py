@@ -84,3 +84,10 @@ def op9_pii(spark: SparkSession, d: str) -> DataFrame:
     found = spans(documents(spark, d).select("doc_id", "text"))
     counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in base]
     return found.select("doc_id", *counts, F.sha2(described(base), 256).alias("base_sha256"), described().alias("spans"))
+
+
+@query("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    from fieldtrends.llm.ngram_join import near_links
+
+    return near_links(documents(spark, d))
