@@ -249,6 +249,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns; every row is judged by its own text."""
     sample = F.broadcast(label_sample(labels))
     some = docs.select("doc_id", "text").join(sample.select("doc_id"), "doc_id", "left_semi")
-    rules = learn(labelled_statistics(statistics(some), labels))
-    judged = judge(statistics(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), carry=["row"]), rules)
-    return judged.filter("kept").select("row.*")
+    rules = learn(labelled_statistics(staged(statistics(some)), labels))
+    stats = statistics(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), carry=["row"])
+    # The row number keeps the filter above the statistics; pushed below, it would compute each of them anew for every use.
+    judged = judge(stats.withColumn("__nr", F.monotonically_increasing_id()), rules)
+    return judged.filter(F.col("kept") & (F.col("__nr") >= 0)).select("row.*")
