@@ -91,3 +91,36 @@ def op2_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     from fieldtrends.llm.ngram_join import near_links
 
     return near_links(documents(spark, d))
+
+
+@query("op5_piece_dropout")
+def op5_piece_dropout(spark: SparkSession, d: str) -> DataFrame:
+    """All documents encoded with dropout; the texts are decoded from the stored ids and held against the originals."""
+    from pyspark.sql import functions as F
+
+    from fieldtrends.llm.piece_dropout import decode_beside, encode
+    from fieldtrends.llm.tokens import public_path
+    from fieldtrends.session import staged
+
+    model = public_path("piece_bpe_32k.model")
+    encoded = staged(encode(documents(spark, d), model, seed=7))
+    texts = decode_beside(encoded, model)
+    return texts.select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    from fieldtrends.llm.licenses import known_digests, scan
+
+    return scan(documents(spark, d), known_digests(spark))
+
+
+@query("op1_chat_prefix_targets")
+def op1_chat_prefix_targets(spark: SparkSession, d: str) -> DataFrame:
+    from fieldtrends.llm.chat import examples, read_back
+    from fieldtrends.session import staged
+
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(staged(examples(rows.unionByName(own))))
