@@ -124,3 +124,10 @@ def op1_chat_prefix_targets(spark: SparkSession, d: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(staged(examples(rows.unionByName(own))))
+
+
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, d: str) -> DataFrame:
+    from fieldtrends.llm.html_text import extract
+
+    return extract(table(spark, d, "pages"))
