@@ -63,7 +63,7 @@ class Node:
             return True
         low = self.attributes.lower()
         return bool(low) and (
-            "hidden" in low and (self.attribute("hidden") is not None or self.attribute("aria-hidden") == "true")
+            "hidden" in low and self.attribute("hidden") is not None
             or "style" in low and bool(HIDDEN_STYLE.search(self.attribute("style") or ""))
             or self.tag == "input"
         )
