@@ -82,8 +82,11 @@ def op9_pii(spark: SparkSession, d: str) -> DataFrame:
 
     base = ["email", "ip", "card", "phone"]
     found = spans(documents(spark, d).select("doc_id", "text"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(described(base), 256).alias("base_sha256"), described().alias("spans"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in base], F.sha2(described(base), 256).alias("base_sha256"), described().alias("spans"))
 
 
 @query("op2_ngram_join")
