@@ -186,7 +186,7 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, bins
     rows = staged(labelled.select("doc_id", F.col("bad").cast("boolean").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("grow"), *FEATURES).filter("bad is not null"))
     cuts = _thresholds(rows, bins)
     rules: list[Rule] = []
-    while len(rules) < max_rules:
+    while len(rules) < max_rules and any(cuts.values()):
         rest = rows.filter(decision(rules).isNull())
         rule: Rule = ()
         while len(rule) < max_conditions:
