@@ -138,10 +138,10 @@ def compress(
 def reporting_frequency(binomial: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Link-scale reporting frequency and its standard error per time group, no model fitted.
 
-    Delta method on ln(-ln(1-p)); groups without contrast (p = 0 or 1) have no finite value.
+    Delta method on ln(-ln(1-p)); groups without contrast (p = 0 or 1) have no finite value and stay as NULL.
     """
     g = binomial.groupBy(*by, SP, "timegroup").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    g = g.filter("k > 0 AND k < n").withColumn("p", F.col("k") / F.col("n"))
+    g = g.withColumn("p", F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), F.col("k") / F.col("n")))
     q = F.log(F.lit(1.0) - F.col("p"))
     return g.select(
         *by, SP, "timegroup", F.log(-q).alias("freq"),
@@ -149,6 +149,21 @@ def reporting_frequency(binomial: DataFrame, by: Sequence[str] = ()) -> DataFram
     )
 
 
+def complete_sims(raw: DataFrame, sims: int, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Every species with every simulation and time group; what a simulation did not estimate is NULL.
+
+    ``labels`` (timegroup, year) are a few rows and the simulation numbers an array, so species rows are
+    exploded against fixed sets.
+    """
+    points = [F.struct(F.lit(r["timegroup"]).alias("timegroup"), F.lit(r["year"]).alias("year")) for r in labels.select("timegroup", "year").distinct().collect()]
+    full = (
+        raw.select(*by, SP).distinct()
+        .withColumn("sim", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(sims).cast("bigint"))))
+        .withColumn("p", F.explode(F.array(*points))).select(*by, SP, "sim", "p.timegroup", "p.year")
+    )
+    return full.join(raw.drop("year"), [*by, SP, "sim", "timegroup"], "left")
+
+
 # ------------------------------------------------------------------ after a fit
 def prediction_grid(binomial: DataFrame, lengths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """T08. Seasons x time groups present for each species, at its typical list length.

@@ -113,14 +113,14 @@ class Assessment:
         return self.stage("binomial", build, ["mask"])
 
     def raw_trends(self, windows: DataFrame) -> DataFrame:
-        """Estimates per (mask, replicate, species, time group)."""
+        """Estimates per (mask, replicate, species, time group); NULL where a replicate has none, a failed fit included."""
         by = ["mask", "sim"]
 
         def build() -> DataFrame:
             rows = self.binomial(windows)
             labels = qualify.label_dim(rows, self.i.years).select("timegroup", F.col("tg_year").alias("year"))
             if self.model == "frequency":
-                return trends.reporting_frequency(rows, by).join(labels, "timegroup")
+                return trends.complete_sims(trends.reporting_frequency(rows, by), self.i.sims, labels, ["mask"])
             sampled = self.analysis().join(self.replicates().select("mask", "sim", "group_id"), "group_id")
             lengths = trends.typical_list_length(sampled, windows, self.i.years, by)
             if self.model == "fixed":
@@ -130,7 +130,8 @@ class Assessment:
                 model, scale, extra = fits.fit_glmm(rows, self.i.years.labels, by), 0.6433454, 1.0
             model = model.filter("status = 'ok'").select(*by, "common_name", "terms", "coef", "cov")
             pred = trends.predict_fixed(trends.prediction_grid(rows, lengths, by), model, by, scale, extra)
-            return trends.average_seasons(pred, self.i.years, by).filter("freq IS NOT NULL")
+            found = trends.average_seasons(pred, self.i.years, by).select(*by, "common_name", "timegroup", "year", "freq", "se")
+            return trends.complete_sims(found, self.i.sims, labels, ["mask"])
 
         return self.stage(f"raw_trends_{self.model}", build, ["mask"])
 
@@ -150,8 +151,14 @@ class Assessment:
         return self.stage(f"resolved_{self.model}", build, ["mask"])
 
     def long_term(self, windows: DataFrame) -> DataFrame:
-        """Long-term status per mask and species."""
+        """Long-term status per mask and listed species; without an estimate of the latest year the data are insufficient."""
         last = self.resolved(windows).filter(F.col("year") == self.i.years.latest_year).select(
             "mask", "common_name", F.col("lci_std").alias("longtermlci"),
             F.col("mean_std").alias("longtermmean"), F.col("rci_std").alias("longtermrci"))
-        return self.stage(f"long_term_{self.model}", lambda: classify.long_term_status(last), ["mask"])
+
+        def build() -> DataFrame:
+            masks = F.array(*[F.lit(r["mask"]) for r in self.replicates().select("mask").distinct().collect()])  # some dozens
+            every = windows.select("common_name").distinct().withColumn("mask", F.explode(masks))
+            return classify.long_term_status(every.join(last, ["mask", "common_name"], "left"))
+
+        return self.stage(f"long_term_{self.model}", build, ["mask"])

@@ -22,18 +22,22 @@ def everything(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_trends(spark: SparkSession, d: str, sims: int = 10, seed: int = 42) -> DataFrame:
-    """Replicated reporting frequencies: (sim, species, time group, year, freq, se)."""
+    """Replicated reporting frequencies: (sim, species, time group, year, freq, se), NULL where a replicate has no estimate."""
     ana = A.analysis_table(spark, d, reuse=True)
     reps = resample.replicates(qualify.sampling_frame(ana), sims, seed)
     rows = trends.compress(resample.apply_replicates(ana, reps), everything(spark, d), A.YEARS, ["sim"], attrs=["timegroup"])
     labels = qualify.label_dim(ana, A.YEARS).select("timegroup", F.col("tg_year").alias("year"))
-    return trends.reporting_frequency(rows, ["sim"]).join(labels, "timegroup")
+    return trends.complete_sims(trends.reporting_frequency(rows, ["sim"]), sims, labels)
 
 
 def classified_trends(spark: SparkSession, d: str) -> DataFrame:
-    """Long-term status per species: simulate, combine, standardise, interval of the latest year, classify."""
+    """Long-term status of every recorded species: simulate, combine, standardise, interval of the latest year, classify.
+
+    A species without an estimate in the latest year keeps NULL values and has insufficient data.
+    """
     std = resolve.standardise(resolve.combine_sims(raw_trends(spark, d)))
     last = resolve.ratio_interval(std, 200, 10).filter(F.col("year") == A.YEARS.latest_year)
     main = last.select("common_name", F.col("lci_std").alias("longtermlci"),
                        F.col("mean_std").alias("longtermmean"), F.col("rci_std").alias("longtermrci"))
-    return classify.long_term_status(main).orderBy("common_name")
+    every = A.species_map(spark, d).select("common_name").distinct()
+    return classify.long_term_status(every.join(main, "common_name", "left")).orderBy("common_name")

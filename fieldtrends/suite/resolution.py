@@ -27,8 +27,8 @@ def sql_rnd(cols, digits=6):
 
 
 INV = "(1 - exp(-exp({})))"
-COMB = f"""comb0 AS (SELECT common_name, timegroup, year, avg(freq) AS mean_trans,
-    stddev_samp(freq) + sqrt(sum(se * se) / count(*)) AS se_trans FROM raw GROUP BY 1, 2, 3),
+COMB = f"""comb0 AS (SELECT common_name, timegroup, year, CASE WHEN count(freq) = count(*) THEN avg(freq) END AS mean_trans,
+    CASE WHEN count(freq) = count(*) THEN stddev_samp(freq) + sqrt(sum(se * se) / count(*)) END AS se_trans FROM raw GROUP BY 1, 2, 3),
 comb AS (SELECT *, {INV.format('mean_trans - 1.96 * se_trans')} AS lci, {INV.format('mean_trans')} AS mean,
     {INV.format('mean_trans + 1.96 * se_trans')} AS rci FROM comb0)"""
 

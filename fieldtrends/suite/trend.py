@@ -121,13 +121,15 @@ def t09(spark, d):
 # replicated raw trends, all species over all years
 SIMLISTS = "simlists AS (SELECT sim, l.* FROM lists l JOIN reps USING (group_id))"
 SIMOBS = "simobs AS (SELECT sim, a.* FROM ana a JOIN reps USING (group_id))"
-RAW = """raw AS (SELECT sim, common_name, timegroup, tg_year AS year, ln(-ln(1 - p)) AS freq, sqrt(p / (n * (1 - p))) / abs(ln(1 - p)) AS se FROM (
+RAW = """raw AS (SELECT f.sim, f.common_name, b.timegroup, tg_year AS year, ln(-ln(1 - p)) AS freq, sqrt(p / (n * (1 - p))) / abs(ln(1 - p)) AS se
+  FROM (SELECT DISTINCT common_name, sim FROM (SELECT DISTINCT common_name FROM simobs), (SELECT DISTINCT sim FROM reps)) f CROSS JOIN labels b
+  LEFT JOIN (SELECT * REPLACE (CASE WHEN p > 0 AND p < 1 THEN p END AS p) FROM (
     SELECT l.sim, o.common_name, l.timegroup, count(*) AS n, count(s.group_id) / count(*) AS p
     FROM (SELECT DISTINCT sim, common_name, gridg3, month FROM simobs) o
     JOIN simlists l ON l.sim = o.sim AND l.gridg3 = o.gridg3 AND l.month = o.month
     LEFT JOIN (SELECT DISTINCT sim, common_name, group_id FROM simobs) s
       ON s.sim = l.sim AND s.common_name = o.common_name AND s.group_id = l.group_id
-    WHERE all_species_reported = 1 GROUP BY 1, 2, 3) JOIN labels USING (timegroup) WHERE p > 0 AND p < 1)"""
+    WHERE all_species_reported = 1 GROUP BY 1, 2, 3)) r ON r.sim = f.sim AND r.common_name = f.common_name AND r.timegroup = b.timegroup)"""
 RAWS = [FRAME, NUMBERED, REPS, LISTS, SIMLISTS, SIMOBS, LABELS, RAW]
 
 

@@ -18,6 +18,10 @@ def test_stages_run_over_masks_and_restart(spark, tmp_path):
     out = run.long_term(win)
     masks = {r["mask"] for r in out.select("mask").distinct().collect()}
     assert "none" in masks and len(masks) >= 3
+    assert out.count() == len(masks) * win.count()  # every listed species has a row in every mask
+    assert {r["n"] for r in out.groupBy("common_name").count().withColumnRenamed("count", "n").collect()} == {len(masks)}
+    unseen = out.filter("longtermmean IS NULL")
+    assert not unseen.isEmpty() and unseen.filter("long_term_status <> 'Insufficient Data'").isEmpty()
     stamp = os.path.getmtime(tmp_path / "binomial" / "_SUCCESS")
     assert Assessment(inputs, str(tmp_path), "frequency").long_term(win).count() == out.count()
     assert os.path.getmtime(tmp_path / "binomial" / "_SUCCESS") == stamp

@@ -62,3 +62,18 @@ def test_interval_brackets_the_ratio_and_is_seeded(spark):
     assert all(r.lci_std < r.mean_std < r.rci_std for r in a)
     first = v.zero_baseline_band(v.ratio_interval(std, 400, 10)).filter("year = 2000").first()
     assert first.lci_std == first.mean_std == first.rci_std
+
+
+def test_missing_simulations_make_a_point_null(spark):
+    """A species unseen in one simulation, and one unseen in the latest year."""
+    from fieldtrends.operators import resolve, trends
+
+    labels = spark.createDataFrame([("1999", 1999), ("2000", 2000)], "timegroup string, year int")
+    rows = [("a", s, g, int(g), 0.1 * s, 0.1) for s in (1, 2) for g in ("1999", "2000")]
+    rows += [("b", 1, g, int(g), 0.2, 0.1) for g in ("1999", "2000")] + [("c", s, "1999", 1999, 0.3, 0.1) for s in (1, 2)]
+    raw = spark.createDataFrame(rows, "common_name string, sim bigint, timegroup string, year int, freq double, se double")
+    full = trends.complete_sims(raw, 2, labels)
+    assert full.count() == 3 * 2 * 2
+    got = {(r["common_name"], r["year"]): r["mean_trans"] for r in resolve.combine_sims(full).collect()}
+    assert got["a", 2000] is not None and got["c", 1999] is not None
+    assert got["b", 1999] is None and got["b", 2000] is None and got["c", 2000] is None

@@ -4,6 +4,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
@@ -37,4 +38,6 @@ def test_query_matches_sql(spark, con, name):
 
 def test_entry_runs(spark):
     out = entry.entry(spark)
-    assert out.columns == ["common_name", "longtermlci", "longtermmean", "longtermrci", "long_term_status"] and out.count() > 0
+    assert out.columns == ["common_name", "longtermlci", "longtermmean", "longtermrci", "long_term_status"]
+    recorded = spark.read.parquet(f"{D}/part.parquet").join(spark.read.parquet(f"{D}/lineitem.parquet").select("l_partkey").distinct(), F.col("p_partkey") == F.col("l_partkey"))
+    assert out.count() == recorded.select("p_name").distinct().count()  # every recorded species
