@@ -190,10 +190,15 @@ def stage_stats(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def numeric_group_id(col: Column, offset: int = 1_000_000_000) -> Column:
-    """Checklist id as BIGINT: digits after the prefix, shared lists shifted by an offset."""
+SHARED_OFFSET = 10**15
+
+
+def numeric_group_id(col: Column, offset: int = SHARED_OFFSET) -> Column:
+    """Checklist id as BIGINT: digits after a one-letter prefix, shared lists (G) shifted by an offset that no
+    numbering reaches. An id of another form gets a hash above both ranges, so it is never lost."""
     digits = F.substring(col, 2, 30).try_cast("bigint")
-    return digits + F.when(F.substring(col, 1, 1) == "G", F.lit(offset)).otherwise(F.lit(0)).cast("bigint")
+    plain = digits + F.when(F.substring(col, 1, 1) == "G", F.lit(offset)).otherwise(F.lit(0)).cast("bigint")
+    return F.coalesce(plain, F.lit(2 * offset) + F.pmod(F.xxhash64(col), F.lit(offset // 10)))
 
 
 def dictionary(df: DataFrame, col: str, out: str) -> DataFrame:

@@ -19,7 +19,7 @@ def sample_one(frame: DataFrame, seed: int, keys: Sequence[str] = KEYS, group: s
     """R01. One random checklist per (locality, month, time group): the smallest hash wins."""
     no = numeric_group_id(F.col(group))
     df = frame.withColumns({"__no": no, "__h": portable.hash31(no, seed)})
-    return first_per(df, list(keys), ["__h", "__no"]).select(*keys, group)
+    return first_per(df, list(keys), ["__h", "__no", group]).select(*keys, group)
 
 
 def replicates(
@@ -32,7 +32,7 @@ def replicates(
     """
     keys = list(keys)
     no = numeric_group_id(F.col(group))
-    members = number_rows(frame.withColumn("__no", no), keys, F.col("__no"), ["__no"], name="rn", salts=salts)
+    members = number_rows(frame.withColumn("__no", no), keys, F.col("__no"), ["__no", group], name="rn", salts=salts)
     groups = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"), F.min(no).alias("__key"))
     draws = groups.withColumn("sim", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))))
     u = portable.uniform(F.col("__key") * SIM_STRIDE + F.col("sim"), seed)

@@ -45,13 +45,19 @@ def read_observations(
 ) -> DataFrame:
     """S01. Tab-separated unquoted export; named columns only; blanks and spaces become NULL.
 
-    Only the header is read to learn the column order; the data scan has a fixed schema.
+    Only headers are read to learn the column order; the data scan has a fixed schema. Files of a list may
+    differ in their order of columns: those with the same header are read together.
     """
     reader = spark.read.option("sep", "\t").option("quote", "").option("header", True)
-    first = path if isinstance(path, str) else list(path)[0]
-    header = reader.csv(first).columns
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for p in [path] if isinstance(path, str) else list(path):
+        groups.setdefault(tuple(reader.csv(p).columns), []).append(p)
+    return union_sources(*[_read_same(reader, header, paths, columns) for header, paths in groups.items()])
+
+
+def _read_same(reader, header: Sequence[str], paths: list[str], columns: Sequence[tuple[str, str, str]]) -> DataFrame:
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i, _ in enumerate(header)])
-    raw = reader.schema(schema).option("enforceSchema", True).csv(path if isinstance(path, str) else list(path))
+    raw = reader.schema(schema).option("enforceSchema", True).csv(paths)
     where = {_norm(h): f"c{i}" for i, h in enumerate(header)}
     missing = [src for src, _, _ in columns if src not in where]
     if missing:

@@ -20,7 +20,7 @@ MONTHS = """months AS (SELECT DISTINCT common_name, status, month FROM last5 JOI
   WHERE status = 'M' OR (status = 'MS' AND month BETWEEN 5 AND 8) OR (status = 'MW' AND month IN (11,12,1,2)) OR (status = 'MP' AND month IN (9,10,11,3,4,5))
   UNION ALL SELECT common_name, status, m FROM codes, (SELECT unnest(range(1, 13)) AS m) WHERE status = 'R')"""
 VISITS = f"""visits AS (SELECT o.common_name, o.status, l.*, {SEASON.replace('month', 'l.month')} AS season, CASE WHEN h.group_id IS NULL THEN 0 ELSE 1 END AS seen,
-    CAST(substr(l.group_id, 2) AS BIGINT) + CASE WHEN l.group_id LIKE 'G%' THEN 1000000000 ELSE 0 END AS no
+    CAST(substr(l.group_id, 2) AS BIGINT) + CASE WHEN l.group_id LIKE 'G%' THEN 1000000000000000 ELSE 0 END AS no
   FROM (SELECT DISTINCT m.common_name, m.status, a.gridg3, a.month FROM last5 a JOIN months m ON m.common_name = a.common_name AND m.month = a.month) o
   JOIN (SELECT DISTINCT group_id, gridg3, gridg1, month, no_sp FROM last5 WHERE all_species_reported = 1) l ON l.gridg3 = o.gridg3 AND l.month = o.month
   LEFT JOIN (SELECT DISTINCT group_id, common_name FROM last5) h ON h.group_id = l.group_id AND h.common_name = o.common_name)"""

@@ -227,7 +227,7 @@ def q16(spark, d):
 
 # ------------------------------------------------------------------ resampling
 FRAME = """frame AS (SELECT DISTINCT locality_id, group_id, month, timegroup, locality_id || '|' || month || '|' || timegroup AS g,
-    CAST(substr(group_id, 2) AS BIGINT) + CASE WHEN group_id LIKE 'G%' THEN 1000000000 ELSE 0 END AS no FROM ana WHERE all_species_reported = 1)"""
+    CAST(substr(group_id, 2) AS BIGINT) + CASE WHEN group_id LIKE 'G%' THEN 1000000000000000 ELSE 0 END AS no FROM ana WHERE all_species_reported = 1)"""
 NUMBERED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY locality_id, month, timegroup ORDER BY no % 32, no) AS rn,
     count(*) OVER (PARTITION BY locality_id, month, timegroup) AS size,
     min(no) OVER (PARTITION BY locality_id, month, timegroup) AS gkey FROM frame)"""

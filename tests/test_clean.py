@@ -77,3 +77,13 @@ def test_mistake_rules_with_missing_fields(spark):
 def test_seasons_cover_all_months(spark):
     df = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
     assert clean.with_season(df).filter("season IS NULL").count() == 0
+
+
+def test_checklist_ids_do_not_meet(spark):
+    from fieldtrends.operators import clean, resample
+
+    ids = spark.createDataFrame([("G5",), ("S1000000005",), ("S5",), ("URN:1",), ("URN:2",)], "group_id string")
+    assert ids.select(clean.numeric_group_id(ids.group_id).alias("n")).distinct().count() == 5
+    frame = ids.selectExpr("group_id", "'L' AS locality_id", "1 AS month", "'x' AS timegroup")
+    got = resample.replicates(frame, 50, 1)
+    assert got.count() == 50 and {r["group_id"] for r in got.select("group_id").distinct().collect()} >= {"URN:1", "URN:2"}

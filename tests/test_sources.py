@@ -16,6 +16,10 @@ def test_export_is_read_by_name_with_blanks_as_null(spark, tmp_path):
     r = o.read_observations(spark, str(f)).first()
     assert r.common_name == 'Jerdon\'s "Bush" Lark' and r.lat == 10.5 and str(r.obs_date) == "2020-02-01"
     assert r.duration_min is None and r.group_identifier is None and r.reviewed == 0
+    g = tmp_path / "f.txt"  # the same columns in another order
+    g.write_text("\t".join(names) + "\n" + "\t".join(values.get(n, "z") for n in names) + "\n")
+    both = o.read_observations(spark, [str(f), str(g)]).collect()
+    assert len(both) == 2 and both[0] == both[1]
     f.write_text("A\tB\n1\t2\n")
     with pytest.raises(ValueError):
         o.read_observations(spark, str(f))
