@@ -169,7 +169,7 @@ def _fit(x: Column) -> Column:
 
 def _fit_se(x: Column) -> Column:
     dx = x - F.col("xb")
-    return F.sqrt(F.col("s2") * (1 / F.col("n") + dx * dx / F.col("sxx")))
+    return F.sqrt(F.col("s2") * (1 / F.col("n") + F.try_divide(dx * dx, F.col("sxx"))))
 
 
 def slope_interval(samples: DataFrame, by: Sequence[str] = (), scale_se: bool = False) -> DataFrame:
@@ -211,7 +211,7 @@ def sensitivity_wide(long: DataFrame, years: Sequence[int]) -> DataFrame:
 def project(samples: DataFrame, future: Sequence[int], start: int) -> DataFrame:
     """V12. Exponential projection as a percentage of the first year's simulated value, mean over sims."""
     o = _ols(samples, [SP, "sim"], F.log("val_sample"))
-    first = samples.filter(F.col("year") == start).select(SP, "sim", F.col("val").alias("v1"))
+    first = samples.filter(F.col("year") >= start).groupBy(SP, "sim").agg(F.min_by("val", "year").alias("v1"))
     p = o.join(first, [SP, "sim"]).withColumn("year", F.explode(F.array(*[F.lit(int(y)) for y in future])))
     m, half = _fit(F.col("year")), Z95 * _fit_se(F.col("year"))
     return p.select(

@@ -182,9 +182,9 @@ def slopes_sql(name, src, by):
 {name}g AS (SELECT g.{', g.'.join(['common_name', *by, 'sim', 'n', 'xb', 'yb', 'x1', 'x2'])}, sum((r.year - xb) * (r.year - xb)) AS sxx,
     sum((r.year - xb) * (r.val_sample - yb)) AS sxy, sum((r.val_sample - yb) * (r.val_sample - yb)) AS syy
   FROM {name}o g JOIN {src} r ON {on} GROUP BY ALL),
-{name}f AS (SELECT *, yb + sxy / sxx * (x1 - xb) AS f1, yb + sxy / sxx * (x2 - xb) AS f2,
-    sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) * (1.0 / n + (x1 - xb) * (x1 - xb) / sxx)) AS e1,
-    sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) * (1.0 / n + (x2 - xb) * (x2 - xb) / sxx)) AS e2 FROM {name}g),
+{name}f AS (SELECT *, yb + sxy / nullif(sxx, 0) * (x1 - xb) AS f1, yb + sxy / nullif(sxx, 0) * (x2 - xb) AS f2,
+    sqrt(greatest(syy - sxy * sxy / nullif(sxx, 0), 0) / nullif(n - 2, 0) * (1.0 / n + (x1 - xb) * (x1 - xb) / nullif(sxx, 0))) AS e1,
+    sqrt(greatest(syy - sxy * sxy / nullif(sxx, 0), 0) / nullif(n - 2, 0) * (1.0 / n + (x2 - xb) * (x2 - xb) / nullif(sxx, 0))) AS e2 FROM {name}g),
 {name}s AS (SELECT {b}, 100 * (f2 - f1) / abs(f1) AS sl,
     (f2 - f1) / abs(f1) * sqrt((e1 * e1 + e2 * e2) / ((f2 - f1) * (f2 - f1)) + (e1 / abs(f1)) * (e1 / abs(f1))) AS slse FROM {name}f),
 {name} AS (SELECT {b}, m - 1.96 * s AS currentslopelci, m AS currentslopemean, m + 1.96 * s AS currentsloperci FROM (
@@ -210,13 +210,13 @@ def v11(spark, d):
     return rnd(wide, [c for c in wide.columns if c != "common_name"])
 
 
-PROJ = """po AS (SELECT common_name, sim, count(*) AS n, avg(year) AS xb, avg(ln(val_sample)) AS yb, regr_slope(ln(val_sample), year) AS b,
+PROJ = """po AS (SELECT common_name, sim, count(*) AS n, avg(year) AS xb, avg(ln(val_sample)) AS yb, CASE WHEN count(*) > 1 THEN regr_slope(ln(val_sample), year) END AS b,
     regr_sxx(ln(val_sample), year) AS sxx, regr_syy(ln(val_sample), year) AS syy, regr_sxy(ln(val_sample), year) AS sxy, arg_min(val, year) AS v1
   FROM samples GROUP BY 1, 2),
 proj AS (SELECT common_name, year, avg(100 * exp(m - 1.96 * e) / v1) AS lci_ext_std, avg(100 * exp(m) / v1) AS mean_ext_std,
     avg(100 * exp(m + 1.96 * e) / v1) AS rci_ext_std
   FROM (SELECT common_name, CAST(y AS INT) AS year, v1, yb + b * (y - xb) AS m,
-      sqrt(greatest(syy - b * sxy, 0) / (n - 2) * (1.0 / n + (y - xb) * (y - xb) / sxx)) AS e
+      sqrt(greatest(syy - b * sxy, 0) / nullif(n - 2, 0) * (1.0 / n + (y - xb) * (y - xb) / nullif(sxx, 0))) AS e
     FROM po, (SELECT unnest(range(2001, 2008)) AS y)) GROUP BY 1, 2)"""
 EXT = ["lci_ext_std", "mean_ext_std", "rci_ext_std"]
 
