@@ -27,7 +27,11 @@ UNIT = re.compile(" +[^ \n]*|[^ \n]+|\n")
 NORMAL, BYTE = 1, 6
 LANES = 24  # candidates whose draws are made at once and agendas run side by side; longer agendas run alone
 LONGEST = 24  # characters of a unit that runs side by side with others
-KEPT = 500_000
+#: A unit of n characters rarely offers more than SPAN[n] candidates; equal draws up to there are looked at once, and
+#: a unit that does offer more runs alone.
+SPAN = [min(LANES, n + 3) for n in range(LONGEST + 1)]
+FIRST = [(1 << k) - 1 for k in SPAN]
+KEPT = 700_000
 MASK = (1 << 64) - 1
 
 
@@ -138,7 +142,7 @@ class SideBySide:
         import numpy as np
 
         size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        wide = int(size.max()) + 1
+        wide = int(size.max()) + 1  # the last column is empty
         rows, cols = np.repeat(np.arange(len(units)), size), np.arange(wide)
         symbols = np.full((len(units), wide), -1, dtype=np.int32)
         inner = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
@@ -148,10 +152,12 @@ class SideBySide:
         made = np.full(symbols.shape, -1, dtype=np.int32)
         score = np.full(symbols.shape, -np.inf, dtype=np.float32)
         made[:, :-1], score[:, :-1] = self.pair(symbols[:, :-1], symbols[:, 1:])
+        # neighbours by position, so a merge touches single cells; a position that was merged into another holds -1
+        after, before = np.tile(cols + 1, (len(units), 1)), np.tile(cols - 1, (len(units), 1))
         taken = np.zeros(len(units), dtype=np.int64)
         live = np.flatnonzero(~alone)
         for k in range(LANES + 1):
-            now = score[live]
+            now = score if len(live) == len(score) else score[live]
             best = now.argmax(axis=1)
             open_ = now[np.arange(len(live)), best] > -np.inf
             live, best = live[open_], best[open_]
@@ -164,14 +170,15 @@ class SideBySide:
             r, b = live[~skipped], best[~skipped]
             if not len(r):
                 continue
-            new = made[r, b]
-            source = np.minimum(cols + (cols > b[:, None]), wide - 1)
-            for m in (symbols, made, score):
-                m[r] = np.take_along_axis(m[r], source, axis=1)
-            symbols[r, b] = new
-            made[r, b], score[r, b] = self.pair(new, symbols[r, b + 1])
-            left = b > 0
-            made[r[left], b[left] - 1], score[r[left], b[left] - 1] = self.pair(symbols[r[left], b[left] - 1], new[left])
+            new, right = made[r, b], after[r, b]
+            far = after[r, right]
+            symbols[r, b], symbols[r, right], score[r, right] = new, -1, -np.inf
+            after[r, b], before[r, far] = far, b
+            made[r, b], score[r, b] = self.pair(new, symbols[r, far])
+            left = before[r, b]
+            inside = left >= 0
+            q, at = r[inside], left[inside]
+            made[q, at], score[q, at] = self.pair(symbols[q, at], new[inside])
         alone |= (symbols >= self.vocabulary).any(axis=1)
         count = (symbols >= 0).sum(axis=1)
         stops = np.cumsum(count)
@@ -184,8 +191,9 @@ class DropoutEncoder:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.many = SideBySide(self.pieces)
-        self.kept: dict[tuple[str, int], bytes] = {}
-        self.reach: dict[str, int] = {}  # per unit: a mask of all draws that its agendas have used so far
+        # per unit: a mask of all draws that its agendas have used so far, and ids by the draws under the mask
+        self.kept: dict[str, list] = {}
+        self.size = 0
 
     @staticmethod
     def patterns(n: int, key: int, limit: int):
@@ -215,16 +223,16 @@ class DropoutEncoder:
         """Ids (little-endian 32-bit) of texts; a key stands for seed and document, ``chance`` is the probability of a skip."""
         import numpy as np
 
-        limit, kept, reach = int(chance * 65536), self.kept, self.reach
-        if len(kept) > KEPT:
+        limit, kept = int(chance * 65536), self.kept
+        if self.size > KEPT:
             kept.clear()
-            reach.clear()
+            self.size = 0
         out: list[list] = []
         open_: dict[tuple[str, int], list[tuple[int, int]]] = {}
         for d, (text, key) in enumerate(zip(texts, keys)):
             units = UNIT.findall(" " + text) if text else []
             pattern = self.patterns(len(units), key, limit).tolist()
-            found = [kept.get((u, p & reach.get(u, 0))) for u, p in zip(units, pattern)]
+            found = [(e := kept.get(u)) and e[1].get(p & e[0]) for u, p in zip(units, pattern)]
             out.append(found)
             if None in found:
                 for i, f in enumerate(found):
@@ -232,19 +240,23 @@ class DropoutEncoder:
                         if len(units[i]) > LONGEST:
                             found[i] = self.alone(units[i], key + i * 0x9E3779B97F4A7C15 & MASK, limit)
                         else:
-                            open_.setdefault((units[i], pattern[i]), []).append((d, i))
+                            open_.setdefault((units[i], pattern[i] & FIRST[len(units[i])]), []).append((d, i))
         todo = sorted(open_, key=lambda x: len(x[0]))  # units of like length run side by side
         for lo in range(0, len(todo), 8_000):
             part = todo[lo:lo + 8_000]
             done, taken = self.many.merge([written(u) for u, _ in part], np.array([p for _, p in part], dtype=np.uint32))
             for (unit, pattern), raw, n in zip(part, done, taken.tolist()):
-                if raw is None:
+                if raw is None or n > SPAN[len(unit)]:
                     for d, i in open_[unit, pattern]:
                         out[d][i] = self.alone(unit, keys[d] + i * 0x9E3779B97F4A7C15 & MASK, limit)
                     continue
                 # an agenda reads its draws in order, so equal first n draws give the same result
-                mask = reach[unit] = reach.get(unit, 0) | (1 << n) - 1
-                kept[unit, pattern & mask] = raw
+                entry = kept.get(unit)
+                if entry is None:
+                    entry = kept[unit] = [0, {}]
+                entry[0] |= (1 << n) - 1
+                self.size += pattern & entry[0] not in entry[1]
+                entry[1][pattern & entry[0]] = raw
                 for d, i in open_[unit, pattern]:
                     out[d][i] = raw
         return [b"".join(x) for x in out]
