@@ -13,6 +13,7 @@ from fieldtrends.operators.clean import numeric_group_id
 
 KEYS = ["locality_id", "month", "timegroup"]
 SIM_STRIDE = 4099
+OWN_SEEDS = 1_000_003
 
 
 def sample_one(frame: DataFrame, seed: int, keys: Sequence[str] = KEYS, group: str = "group_id") -> DataFrame:
@@ -35,7 +36,9 @@ def replicates(
     members = number_rows(frame.withColumn("__no", no), keys, F.col("__no"), ["__no", group], name="rn", salts=salts)
     groups = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"), F.min(no).alias("__key"))
     draws = groups.withColumn("sim", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))))
-    u = portable.uniform(F.col("__key") * SIM_STRIDE + F.col("sim"), seed)
+    own = [k for k in keys if k not in KEYS]  # further keys, such as the mask, draw numbers of their own
+    start = F.lit(seed).cast("bigint") + F.pmod(F.xxhash64(*own), F.lit(OWN_SEEDS)) if own else seed
+    u = portable.uniform(F.col("__key") * SIM_STRIDE + F.col("sim"), start)
     draws = draws.select(*keys, "sim", (F.lit(1) + F.floor(u * F.col("__size"))).cast("bigint").alias("rn"))
     return null_safe_join(draws, members, [*keys, "rn"], "inner").select("sim", *keys, group)
 

@@ -7,6 +7,7 @@ one job per stage handles all of them.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -54,8 +55,14 @@ class Assessment:
         self.i, self.root, self.model = inputs, root.rstrip("/"), model
         self.spark = inputs.records.sparkSession
 
-    def stage(self, name: str, build: Callable[[], DataFrame], by: Sequence[str] = ()) -> DataFrame:
-        path = f"{self.root}/{name}"
+    def stage(self, name: str, build: Callable[[], DataFrame], by: Sequence[str] = (), windows: DataFrame | None = None) -> DataFrame:
+        """A stage is found again only for the same parameters; from the model rows on, for the same model and
+        windows too. The input tables belong to the root: other tables need another root."""
+        i = self.i
+        facts = [i.years, i.order, sorted(i.grid_sizes.items()), sorted(i.mask_flags or {}), i.sims, i.seed, i.interval_draws, i.vagrant_years, i.completeness]
+        if windows is not None:
+            facts += [self.model, windows.semanticHash()]
+        path = f"{self.root}/{name}-{hashlib.sha256(repr(facts).encode()).hexdigest()[:16]}"
         if not done(self.spark, path):
             w = build().write.mode("overwrite")
             (w.partitionBy(*by) if by else w).parquet(path)
@@ -110,7 +117,7 @@ class Assessment:
             attrs = ["timegroup"] if self.model == "frequency" else list(trends.DESIGN)
             return trends.compress(sampled, windows, self.i.years, ["mask", "sim"], attrs)
 
-        return self.stage("binomial", build, ["mask"])
+        return self.stage("binomial", build, ["mask"], windows)
 
     def raw_trends(self, windows: DataFrame) -> DataFrame:
         """Estimates per (mask, replicate, species, time group); NULL where a replicate has none, a failed fit included."""
@@ -133,7 +140,7 @@ class Assessment:
             found = trends.average_seasons(pred, self.i.years, by).select(*by, "common_name", "timegroup", "year", "freq", "se")
             return trends.complete_sims(found, self.i.sims, labels, ["mask"])
 
-        return self.stage(f"raw_trends_{self.model}", build, ["mask"])
+        return self.stage(f"raw_trends_{self.model}", build, ["mask"], windows)
 
     def check(self, windows: DataFrame) -> None:
         """Refuse to go on while any planned (mask, replicate) has no model rows. A small mask may
@@ -148,7 +155,7 @@ class Assessment:
             std = resolve.standardise(resolve.combine_sims(raw, ["mask"]), by=["mask"])
             return resolve.ratio_interval(std, self.i.interval_draws, 10, by=["mask"])
 
-        return self.stage(f"resolved_{self.model}", build, ["mask"])
+        return self.stage(f"resolved_{self.model}", build, ["mask"], windows)
 
     def long_term(self, windows: DataFrame) -> DataFrame:
         """Long-term status per mask and listed species; without an estimate of the latest year the data are insufficient."""
@@ -161,4 +168,4 @@ class Assessment:
             every = windows.select("common_name").distinct().withColumn("mask", F.explode(masks))
             return classify.long_term_status(every.join(last, ["mask", "common_name"], "left"))
 
-        return self.stage(f"long_term_{self.model}", build, ["mask"])
+        return self.stage(f"long_term_{self.model}", build, ["mask"], windows)

@@ -1,4 +1,7 @@
 import os
+from dataclasses import replace
+
+from pyspark.sql import functions as F
 
 from fieldtrends.plans.assessment import Assessment, Inputs
 from fieldtrends.plans.frequency import everything
@@ -22,7 +25,12 @@ def test_stages_run_over_masks_and_restart(spark, tmp_path):
     assert {r["n"] for r in out.groupBy("common_name").count().withColumnRenamed("count", "n").collect()} == {len(masks)}
     unseen = out.filter("longtermmean IS NULL")
     assert not unseen.isEmpty() and unseen.filter("long_term_status <> 'Insufficient Data'").isEmpty()
-    stamp = os.path.getmtime(tmp_path / "binomial" / "_SUCCESS")
+    stored = next(tmp_path.glob("binomial-*")) / "_SUCCESS"
+    stamp = os.path.getmtime(stored)
     assert Assessment(inputs, str(tmp_path), "frequency").long_term(win).count() == out.count()
-    assert os.path.getmtime(tmp_path / "binomial" / "_SUCCESS") == stamp
+    assert os.path.getmtime(stored) == stamp
+    ids = run.replicates().groupBy("locality_id", "month", "timegroup", "sim").agg(F.countDistinct("group_id").alias("ids"))
+    assert not ids.filter("ids > 1").isEmpty()  # masks draw for themselves
+    more = Assessment(replace(inputs, sims=3), str(tmp_path), "frequency").replicates()
+    assert more.agg(F.max("sim")).first()[0] == 3  # changed parameters are not served from the old stage
     assert run.time_bins().groupBy("mask").count().filter(f"count <> {len(A.YEARS.labels)}").isEmpty()
