@@ -61,6 +61,7 @@ class Pieces:
                 self.bytes[int(p.piece[3:-1], 16)] = i
         if any(re.search(f"[^{SPACE}]{SPACE}|\n|\0", p) for p in self.ids):
             raise ValueError("a piece of this model reaches over a word start or a line break")
+        self.flat = None
         self.spelled = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()}
         self.spelled.update({i: bytes([b]) for b, i in enumerate(self.bytes)})
 
@@ -70,6 +71,23 @@ class Pieces:
             return [self.ids[symbol]]
         return [self.bytes[b] for b in symbol.replace("\0", SPACE).encode()]
 
+    def decode_many(self, ids, stops) -> list[str]:
+        """Texts of many documents: all ids in one array, and where each document ends."""
+        import numpy as np
+
+        if self.flat is None:
+            parts = [self.spelled.get(i, b"") for i in range(max(self.spelled) + 1)]
+            self.length = np.array([len(p) for p in parts], dtype=np.int64)
+            self.begin = np.cumsum(self.length) - self.length
+            self.flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        size = self.length[ids]
+        ends = np.cumsum(size)
+        place = np.repeat(self.begin[ids] - ends + size, size) + np.arange(int(size.sum()))
+        raw = self.flat[place].tobytes()
+        cut = np.concatenate(([0], ends))[np.concatenate(([0], stops))].tolist()
+        texts = [raw[a:z].decode() for a, z in zip(cut[:-1], cut[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.spelled.__getitem__, ids)).decode()
         return text[1:] if text.startswith(" ") else text
@@ -312,12 +330,15 @@ def decode_beside(encoded: DataFrame, model: str) -> DataFrame:
     def make():
         import pyarrow as pa
 
-        spell = encoder(model).pieces.decode
+        decode = encoder(model).pieces.decode_many
 
         def step(batch):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = pa.array([spell(ids) for ids in part.column("ids").to_pylist()], pa.string())
+                lists = part.column("ids")
+                at = lists.offsets.to_numpy()
+                ids = lists.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]]
+                texts = pa.array(decode(ids, at[1:] - at[0]), pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("doc_id", "n_tokens", "ids")), texts], names=["doc_id", "n_tokens", "ids", "text"])
 
         return step
