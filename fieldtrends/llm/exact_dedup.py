@@ -74,16 +74,21 @@ def _next_level(rows: DataFrame) -> DataFrame:
 
 
 def identities(
-    docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Column], Column] = content_print,
+    docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Column], Column] = content_print, carried: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, names): rows with a row id ``rid``, and ``rid, level, name``, where (level, name) is equal for equal texts only."""
+    """(rows, names): rows with a row id ``rid``, and ``rid, level, name``, where (level, name) is equal for equal texts only.
+
+    If ``carried``, rows also hold the columns of docs, as ``row``: stored with the row id, so that one of two equal rows can be told.
+    """
     text = text_or_empty()
+    row = [F.struct(*docs.columns).alias("row")] if carried else []
     flat = docs.select(
+        *row,
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"),
         F.length(text).cast("bigint").alias("points"), without_spaces(text).alias("flat"),
     )
     rows = staged(flat.select(
-        "rid", "doc_id", "points", F.sha2(F.col("flat"), 256).alias("text_sha256"), _blocks(F.col("flat"), block).alias("blocks"),
+        *(["row"] if carried else []), "rid", "doc_id", "points", F.sha2(F.col("flat"), 256).alias("text_sha256"), _blocks(F.col("flat"), block).alias("blocks"),
         F.ceil(F.length("flat") / block).cast("int").alias("n_blocks"),
     ))
     most = rows.agg(F.max("n_blocks")).first()[0] or 0
@@ -103,15 +108,8 @@ def identities(
     return rows, names
 
 
-def exact_groups(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Column], Column] = content_print) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, level, name.
-
-    Texts are equal when identical without the six space characters. The row with the most code points stays,
-    then the one with the smallest doc_id; of rows that agree in both exactly one stays. Null text counts as
-    empty, and all empty texts are one group. Rows without doc_id are ordered before others. More columns are
-    ignored. An empty table gives no rows.
-    """
-    rows, names = identities(docs, block, fingerprint)
+def _decided(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rid, doc_id, keep_id, group_size, kept, text_sha256, level, name; of each group exactly one rid is kept."""
     facts = staged(rows.select("rid", "doc_id", "points", "text_sha256").join(names, "rid"))
     best = F.min(F.struct((-F.col("points")).alias("shorter"), "doc_id", "rid"))
     groups = staged(
@@ -120,13 +118,23 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Col
     )
     out = join_counted(facts, groups, ["level", "name"], "group_size", facts.count())
     return out.select(
-        "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "level", "name",
+        "rid", "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "level", "name",
     )
 
 
+def exact_groups(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Column], Column] = content_print) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, level, name.
+
+    Texts are equal when identical without the six space characters. The row with the most code points stays,
+    then the one with the smallest doc_id; of rows that agree in both exactly one stays. Null text counts as
+    empty, and all empty texts are one group. Rows without doc_id are ordered before others. More columns are
+    ignored. An empty table gives no rows.
+    """
+    return _decided(*identities(docs, block, fingerprint)).drop("rid")
+
+
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents that stay, with all their columns. Of rows with equal doc_id and text one stays."""
-    stay = exact_groups(docs, block).filter("kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
-    marked = docs.withColumn("__sha", F.sha2(without_spaces(text_or_empty()), 256))
-    joined = marked.join(stay, marked["doc_id"].eqNullSafe(stay["doc_id"]) & (marked["__sha"] == stay["__sha"]), "left_semi")
-    return joined.drop("__sha")
+    """The documents that ``exact_groups`` keeps, one row of each group, with all their columns."""
+    rows, names = identities(docs, block, carried=True)
+    stay = _decided(rows, names).filter("kept").select("rid")
+    return rows.select("rid", "row").join(stay, "rid", "left_semi").select("row.*")

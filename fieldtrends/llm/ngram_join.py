@@ -15,7 +15,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldtrends.llm.common import join_counted, map_batches, shuffle_partitions, text_or_empty
 from fieldtrends.session import staged
@@ -317,11 +317,16 @@ def components(links: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each group of linked texts, the one with the smallest doc_id; all columns stay.
 
-    Groups are the connected components of the links. Rows that agree in doc_id and text stay or go together.
+    Groups are the connected components of the links. Of rows that agree in doc_id and text one stays.
     """
     _, classes, links = similar_texts(docs, **options)
     grouped = classes.join(components(links), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    stay = grouped.groupBy("label").agg(F.min(F.struct("class_id", "rep")).alias("best")).select(
-        F.coalesce("best.class_id", F.lit(-1)).alias("__doc"), F.col("best.rep").alias("__key"))
-    marked = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))).withColumn("__key", F.md5(text_or_empty()))
-    return marked.join(stay, ["__doc", "__key"], "left_semi").select(*docs.columns)
+    stay = grouped.groupBy("label").agg(F.min(F.struct("class_id", "rep")).alias("best"))
+    keys = ["__doc", "__none", "__key"]
+
+    def keyed(df: DataFrame, doc: Column, key: Column) -> DataFrame:
+        return df.withColumns({"__doc": F.coalesce(doc, F.lit(0)), "__none": doc.isNull(), "__key": key})
+
+    stay = keyed(stay, F.col("best.class_id"), F.col("best.rep")).select(*keys)
+    marked = keyed(docs, F.col("doc_id").cast("bigint"), F.md5(text_or_empty())).dropDuplicates(keys)
+    return marked.join(stay, keys, "left_semi").select(*docs.columns)

@@ -301,6 +301,15 @@ def test_exact_ties(spark):
     assert left.columns == ["doc_id", "text", "name"] and sorted(r["text"] for r in left.collect()) == ["a b", "q"]
 
 
+def test_exact_copies_of_equal_rows(spark):
+    rows = [(7, "a b"), (7, "a b"), (8, "c d"), (8, "c\td"), (None, "x y"), (None, "x y"), (None, "xy"), (9, None), (9, "")]
+    frame = spark.createDataFrame(rows, DOCS).withColumn("row", F.lit("clash")).withColumn("rid", F.lit(5))
+    left = exact_dedup.drop_copies(frame)
+    assert left.columns == ["doc_id", "text", "row", "rid"]
+    got = [(r["doc_id"], "".join((r["text"] or "").split())) for r in left.collect()]
+    assert Counter(got) == Counter([(7, "ab"), (8, "cd"), (None, "xy"), (9, "")])
+
+
 # ---------------------------------------------------------------- 9 personal data
 HARD = ["a@b.c_d@e.f x@y..z .@a.b", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.4", "4111 1111 1111 1111 4111-1111-1111-1112 " + "1" * 20000,
         "+1 (807) 555-6237 +++1 2 3 4 5 6 7 8 9 0 +123", "🙂 é 🙂 a@b.co 🙂 1.2.3.4", "a" * 20000 + "@", "x@y" * 2000, "1." * 3000, "+1" + " (" * 3000]
