@@ -201,12 +201,9 @@ def _verified(members: DataFrame, n: int, threshold: tuple[int, int]) -> DataFra
         words = WordHashes()
         for (bucket, low, high), t in groups:
             reps = t.column("rep").to_pylist()
-            first = [i for i in range(len(reps)) if i == 0 or reps[i] != reps[i - 1]]  # a repeated row brings its text twice
-            reps = [reps[i] for i in first]
-            bands = np.vstack([t.column("bands")[i].as_py() for i in first])
-            own = t.column("own").to_numpy()[first]
-            texts = t.column("text")
-            sets = [ngram_set(texts[i].as_py().encode(), words, n) for i in first]
+            bands = np.vstack(t.column("bands").to_numpy())
+            own = t.column("own").to_numpy()
+            sets = [ngram_set(x.as_py().encode(), words, n) for x in t.column("text")]
             sizes = np.array([len(s) for s in sets])
             # membership of every gram in every set, over the grams of the group: rows are sorted (gram, member)
             grams, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -272,11 +269,9 @@ def similar_texts(
         .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "rep_doc", "bands")
     )
     needed = staged(_needed(members))
-    wanted = needed.select("rep", F.coalesce("rep_doc", F.lit(-1)).alias("__doc")).distinct()
-    texts = (
-        docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("__doc"), text_or_empty().alias("text"))
-        .withColumn("rep", F.md5("text")).join(wanted, ["rep", "__doc"]).select("rep", "text")
-    )
+    # one row per text before any shuffle: repeated rows would all meet in one task
+    every = docs.select(text_or_empty().alias("text")).select(F.md5("text").alias("rep"), "text").dropDuplicates(["rep"])
+    texts = every.join(needed.select("rep").distinct(), "rep")
     found = staged(_verified(needed.join(texts, "rep"), n, threshold))
     per_rep = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     classes = staged(classes.drop("bands").withColumnRenamed("rep_doc", "class_id").join(per_rep, "rep", "left").fillna(0, ["n_links"]))

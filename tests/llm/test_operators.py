@@ -120,6 +120,23 @@ def test_similarity_join(spark, none):
     assert ngram_join.near_links(none).count() == 0 and ngram_join.drop_near_copies(none).count() == 0
 
 
+def test_near_copies_of_equal_rows(spark, monkeypatch):
+    base = prose(60, 3)
+    rows = [(1, base)] * 40 + [(None, base + " null")] * 40 + [(-1, base + " null"), (5, base + " tail"), (6, prose(70, 11)), (6, prose(70, 11))]
+    rows += [(None, prose(80, 21))] * 3 + [(-1, prose(80, 21))]
+    met = []
+    verified = ngram_join._verified
+
+    def counted(members, n, threshold):
+        met.append(members.groupBy("bucket", "low", "high", "rep").count().agg(F.max("count")).first()[0])
+        return verified(members, n, threshold)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    left = ngram_join.drop_near_copies(spark.createDataFrame(rows, DOCS))
+    assert Counter(map(tuple, left.collect())) == Counter([(None, base + " null"), (6, prose(70, 11)), (None, prose(80, 21))])
+    assert met == [1]  # a repeated row, or a copy without doc_id, brings its text once
+
+
 def test_band_recall():
     bands, rows = ngram_join.bands_for(0.8, 0.9999)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9999 and bands * rows <= 128
