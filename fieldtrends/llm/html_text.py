@@ -37,11 +37,17 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+FOREIGN = frozenset("svg math".split())
 SCOPE = frozenset("td th table caption button html".split())
 
 # A tag, comment or quoted value that never ends takes the rest of the page, so each character is read once.
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A quote opens a value only right after "="; anywhere else it is part of a name or of an unquoted value.
+NAME, VALUE = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+", r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"
+MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+    rf"((?:[ \t\n\r\f/]++|{NAME}(?:{VALUE}(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\r\f>]*+))?+)*+)(?:>|\Z)", re.DOTALL)
+ATTRIBUTE = re.compile(rf"({NAME})(?:{VALUE}(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f>]*+)))?+")
 WHITE = re.compile(r"[ \t\n\r\f]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -58,6 +64,15 @@ class Node:
                 return html.unescape(next((g for g in m.groups()[1:] if g is not None), ""))
         return None
 
+    def self_closed(self) -> bool:
+        """Whether a slash outside all values ends the tag; it counts in foreign elements only."""
+        if not self.attributes.endswith("/"):
+            return False
+        last = 0
+        for m in ATTRIBUTE.finditer(self.attributes):
+            last = m.end()
+        return last < len(self.attributes)
+
     def hidden(self) -> bool:
         if self.tag in UNSEEN:
             return True
@@ -76,6 +91,8 @@ def build(page: str) -> Node:
 
     def text(s: str) -> None:
         if s:
+            if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
+                stack.pop()
             stack[-1].children.append(html.unescape(s))
 
     def close(tags: set, stops: set) -> None:
@@ -111,6 +128,8 @@ def build(page: str) -> Node:
             continue
         if name == "html" or name == "body" and any(n.tag == "body" for n in stack):
             continue
+        if stack[-1].tag == "head" and name not in IN_HEAD:
+            stack.pop()
         if name in IMPLIED:
             close(*IMPLIED[name])
         if name in CLOSES_P:
@@ -124,8 +143,10 @@ def build(page: str) -> Node:
             row = Node("tr")
             stack[-1].children.append(row)
             stack.append(row)
-        node = Node(name, m[3].rstrip("/") if m[3] else "")
+        node = Node(name, m[3] or "")
         stack[-1].children.append(node)
+        if node.self_closed() and (name in FOREIGN or any(n.tag in FOREIGN for n in stack)):
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             inner = page[at:end.start() if end else len(page)]

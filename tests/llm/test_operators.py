@@ -154,6 +154,17 @@ def test_html_layout(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id bigint, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<a href="x"">two</a> three', "two three"), ("<p title=it's>one</p><p>two's</p>", "one\n\ntwo's"), ('<p "a>one</p>', "one"), ('<p title=a="b>c">d', 'c">d'),
+    ('<p title = "a>b">one', "one"), ("<p title='a>b' hidden>no</p>yes", "yes"), ("<p title=>one", "one"), ('<img alt=a"b>', 'a"b'),
+    ("<head><title>no</title><meta charset=x><p>one<p>two", "one\n\ntwo"), ("<html><head>\n<style>no</style>\nwords <b>x</b>", "words x"),
+    ("<head><script>no</script></head><body>a", "a"), ("<head><noscript>no</noscript><div>a</div></head><body>b", "a\nb"),
+    ("<p>a <svg/> b <math /> c", "a b c"), ("<p>a <svg><title/><path d='x'/>no</svg> b", "a b"), ("<p>a <svg width=5/>no</svg> b", "a b"), ("<div/>a", "a"),
+])
+def test_html_tags_and_head(page, want):
+    assert html_text.page_text(page) == want
+
+
 # ---------------------------------------------------------------- 4 and 10 token files and packing
 @pytest.fixture(scope="module")
 def whole():
