@@ -46,6 +46,22 @@ def octets(match: Column) -> Column:
     return F.forall(F.split(match, r"\."), lambda x: F.ltrim(x, F.lit("0")).rlike("^([0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
 
+#: Characters of an account number per country, as listed by its registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_run() -> str:
+    """Runs of exactly the length of their country, so following words stay out; a code that is not listed takes what follows, up to a listed one."""
+    listed = "|".join(c for codes in IBAN_LENGTHS.values() for c in codes.split())
+    runs = [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}+" for n, codes in IBAN_LENGTHS.items()]
+    other = f"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{listed})[0-9]{{2}}) ?[A-Z0-9]){{11,30}}+"
+    return f"(?<![A-Za-z0-9])(?:{'|'.join([*runs, other])})(?![A-Za-z0-9])"
+
+
 def many_digits(low: int, high: int) -> Callable[[Column], Column]:
     return lambda match: F.length(digits_of(match)).between(low, high)
 
@@ -65,7 +81,7 @@ KINDS = [
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", octets, 1.0, r"\bip\b|host|server|address"),
     Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9])++", r"[0-9][ -]?[0-9]", lambda m: many_digits(12, 19)(m) & luhn(digits_of(m)), 1.0, r"card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", many_digits(9, 15), 1.0, r"phone|tel|call|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", mod97, 1.0, r"iban|account|bank"),
+    Kind("iban", iban_run(), "[A-Z]{2}[0-9]{2}", mod97, 1.0, r"iban|account|bank"),
     # a number that looks like a national id counts only where a word nearby says so
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.5, r"ssn|social|security|national|identity"),
 ]
@@ -87,8 +103,9 @@ def _found(kind: Kind) -> Column:
     rank = [k.name for k in KINDS].index(kind.name)
 
     def near(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        return F.lower(F.substr(text, begin + 1, s["start"] - begin)).rlike(kind.context)
+        begin, end = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)), s["start"] + F.length(s["m"])
+        around = F.concat(F.substr(text, begin + 1, s["start"] - begin), F.lit("\n"), F.substr(text, end + 1, F.lit(CONTEXT_CHARS)))
+        return F.lower(around).rlike(kind.context)
 
     spans = F.transform(F.filter(placed, lambda s: kind.valid(s["m"])), lambda s: F.struct(
         s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (s["start"] + F.length(s["m"])).alias("end"),

@@ -364,6 +364,15 @@ def test_added_kinds_and_masks(spark):
     assert masked[5]["text"] == "🙂 [EMAIL], [PHONE]."
 
 
+def test_account_numbers_and_context_on_both_sides(spark):
+    texts = ["IBAN DE89370400440532013000 BIC COBADEFFXXX", "IBAN DE89370400440532013000 Thanks", "GB82 WEST 1234 5698 7654 32 Please", "123-45-6789 (SSN)",
+             "NO93 8601 1117 947 12 EUR", "REF NR12 DE89 3704 0044 0532 0130 00 A", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "DE89370400440532013000X",
+             "DE89 3704 0044 0532 0130 01 AND GB82WEST12345698765432", "123-45-6789 " + "x" * 40 + " ssn"]
+    got = by_id(pii.spans(spark.createDataFrame(list(enumerate(texts)), DOCS)).select("doc_id", pii.described(["iban", "ssn"]).alias("all")))
+    assert [got[i]["all"] for i in range(len(texts))] == [
+        "iban:5:27", "iban:5:27", "iban:0:27", "ssn:0:11", "iban:0:18", "iban:9:36", "iban:0:38", "", "iban:32:54", ""]
+
+
 # ---------------------------------------------------------------- helpers
 def test_join_counted(spark):
     rows = spark.createDataFrame([(i % 3 and i, i) for i in range(3000)], "k bigint, v bigint")
