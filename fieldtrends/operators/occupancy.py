@@ -178,6 +178,14 @@ def cell_occupancy(
     )
 
 
+def fitted_cells(
+    v: DataFrame, share: DataFrame, model: DataFrame, presence: DataFrame, keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """O11 and O12 from a fit (O10): capped visits, neighbour shares, the model and presence give the cells of O13."""
+    det = cell_detection(predict_detection(v, model, keys), keys)
+    return cell_occupancy(predict_occupancy(share, model, keys), det, presence, detection_history(v, keys), keys)
+
+
 def range_size(cells: DataFrame, present: DataFrame, cell_area: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """O13. Range size with a 95 % interval per species, in the unit of ``cell_area``.
 

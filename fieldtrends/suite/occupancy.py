@@ -132,7 +132,35 @@ def o10(spark, d):
                         F.round(F.col("theta")[1], 4).alias("neighbour_effect"), "status_fit")
 
 
+def fitted(spark, d):
+    """(model, cells): O10 to O12 in a chain."""
+    ana, v = all_visits(spark, d)
+    numbered, share = staged(o.number_visits(v, 7)), staged(shares(ana, v))
+    model = staged(fits.fit_occupancy(o.history_rows(numbered, share)))
+    return model, o.fitted_cells(numbered, share, model, o.cell_presence(v))
+
+
+@query("o10_fitted_cells")
+def o10_cells(spark, d):
+    """O11 and O12 from the fit, with its status."""
+    model, made = fitted(spark, d)
+    out = made.join(model.select("common_name", "status", "status_fit"), ["common_name", "status"])
+    return rnd(out, det=5, inv_det=5, det_se=5, occupancy=5, se=5).select(
+        "common_name", "status", "gridg1", "samples", "presence", "det", "inv_det", "det_se", "occupancy", "se", "status_fit")
+
+
+@query("o10_fitted_range_size")
+def o10_range(spark, d):
+    """O13 from the fit; not_ok counts the season codes of the species whose fit did not settle."""
+    model, made = fitted(spark, d)
+    _, last, codes = recent(spark, d)
+    out = o.range_size(made, o.presence_cells(last, codes), 625.0)
+    state = model.groupBy("common_name").agg(F.count_if(F.col("status_fit") != "ok").alias("not_ok"))
+    return rnd(out.join(state, "common_name", "left"), rangelci=4, rangemean=4, rangerci=4)
+
+
 def stand_in(spark, d):
+    """A formula in place of the fit, for the queries with SQL (O11 to O13); ``fitted`` is the chain itself."""
     ana, v = all_visits(spark, d)
     numbered = o.number_visits(v, 7)
     pred = numbered.select("common_name", "status", "gridg1", (0.3 * (1 - F.exp(-F.col("no_sp") / 7.0))).alias("p"),

@@ -81,6 +81,77 @@ def test_occupancy_recovers(spark):
     assert abs(r.theta[2] + 1.5) < 0.4 and abs(r.theta[6] - 0.5) < 0.15
 
 
+def test_fit_to_range_size(spark):
+    """The chain O10 to O13 against loops: the likelihood multiplied out, its curvature by differences, sums per cell."""
+    from fieldtrends.operators import occupancy as o
+
+    rng, rows = np.random.default_rng(8), []
+    for status, cells in (("MW", 120), ("R", 160)):
+        for cell in range(cells):
+            nb, there = float(rng.uniform()), rng.uniform() < 0.6
+            for visit in range(1, 6):
+                length, season = int(rng.integers(2, 30)), SEASONS[int(rng.integers(4))]
+                rows.append(("sp", status, cell, nb, season, length, int(there and rng.uniform() < 0.1 + 0.01 * length), visit))
+    v = spark.createDataFrame(rows, "common_name string, status string, gridg1 long, nb double, season string, no_sp int, seen int, visit int")
+    share = v.select("common_name", "status", "gridg1", F.col("nb").alias("prop_nb")).distinct()
+    seen = v.groupBy("common_name", "status", "gridg1").agg(F.max("seen").alias("presence"))
+    model = fits.fit_occupancy(o.history_rows(v, share)).localCheckpoint()
+    sure = v.filter("seen = 1 AND status = 'MW'").select("common_name", "status", "gridg1")
+    made = {(r.status, r.gridg1): r for r in o.fitted_cells(v, share, model, seen).collect()}
+    size = o.range_size(o.fitted_cells(v, share, model, seen), sure, 625.0).first()
+
+    def sig(x):
+        return 1 / (1 + np.exp(-x))
+
+    sums = {}
+    for m in model.collect():
+        assert m.status_fit == "ok"
+        by_cell = {}
+        for _, s, c, nb, season, length, hit, _ in rows:
+            if s == m.status:
+                by_cell.setdefault(c, (nb, []))[1].append((SEASONS.index(season) if s == "R" else 0, np.log(length), hit))
+
+        def likelihood(t):
+            total = 0.0
+            for nb, visits in by_cell.values():
+                psi, q = sig(t[0] + t[1] * nb), 1.0
+                for k, x, hit in visits:
+                    p = sig(t[2 + k] + t[6 + k] * x)
+                    q *= p if hit else 1 - p
+                total += np.log(psi * q + (1 - psi) * (not any(h for _, _, h in visits)))
+            return total
+
+        theta = np.array(m.theta)
+        on = list(range(10)) if m.status == "R" else [0, 1, 2, 6]
+        e = 1e-3 * np.eye(10)
+        grad = [(likelihood(theta + e[i]) - likelihood(theta - e[i])) / 2e-3 for i in on]
+        assert np.abs(grad).max() < 1e-2 and abs(likelihood(theta) - m.log_likelihood) < 1e-2
+        hess = [[(likelihood(theta + e[i] + e[k]) - likelihood(theta + e[i] - e[k]) - likelihood(theta - e[i] + e[k]) + likelihood(theta - e[i] - e[k])) / 4e-6
+                 for k in on] for i in on]
+        cov = np.zeros((10, 10))
+        cov[np.ix_(on, on)] = np.linalg.inv(-np.array(hess))
+        for c, (nb, visits) in by_cell.items():
+            inv, ratio = 1.0, 0.0
+            for k, x, _ in visits:
+                p, a = sig(theta[2 + k] + theta[6 + k] * x), np.zeros(10)
+                a[2 + k], a[6 + k] = 1, x
+                inv, ratio = inv * (1 - p), ratio + p * np.sqrt(a @ cov @ a)
+            a = np.array([1, nb] + [0] * 8)
+            occ = sig(theta[0] + theta[1] * nb)
+            value, err = occ * inv, occ * inv * (ratio + (1 - occ) * np.sqrt(a @ cov @ a))
+            got, hit = made[m.status, c], any(h for _, _, h in visits)
+            assert np.allclose([got.inv_det, got.occupancy, got.se], [inv, value, err], rtol=2e-2, atol=1e-6)
+            assert (got.presence, got.samples) == (int(hit), 5)
+            if hit and m.status == "MW":
+                value, err = 1.0, 0.0
+            if not hit or m.status == "MW":
+                mean, square = sums.get(m.status, (0.0, 0.0))
+                sums[m.status] = (mean + value, square + err * err)
+    mean, square = max(sums.values())
+    half = 1.96 * np.sqrt(square)
+    assert np.allclose([size.rangelci, size.rangemean, size.rangerci], [625 * max(mean - half, 0), 625 * mean, 625 * (mean + half)], rtol=1e-2)
+
+
 def test_compressed_rows_equal_grouped_expansion(spark):
     ana = A.analysis_table(spark, D, reuse=True)
     win = fq.windows_for(spark, D)
