@@ -21,6 +21,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def quoted(name: str) -> str:
+    """A column name as it is, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns of a row as one struct, so that no name of theirs can clash with a working column."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(name)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

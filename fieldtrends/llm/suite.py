@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators: op1_ to op10_ with production parameters, over whole tables."""
+"""Registered queries of the training-data operators: op1_ to op13_ with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -134,3 +134,30 @@ def op3_html_text(spark: SparkSession, d: str) -> DataFrame:
     from fieldtrends.llm.html_text import extract
 
     return extract(table(spark, d, "pages"))
+
+
+OP13_SQL = """
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+    SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d
+), k AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), frequent AS (
+    SELECT key, true AS gone FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN frequent USING (key) GROUP BY rid, doc_id
+"""
+
+
+@query("op13_line_dedup", OP13_SQL)
+def op13_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from fieldtrends.llm.line_dedup import judged_lines
+
+    judged = judged_lines(documents(spark, d))
+    return judged.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
