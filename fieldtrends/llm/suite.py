@@ -161,3 +161,39 @@ def op13_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 
     judged = judged_lines(documents(spark, d))
     return judged.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH own AS (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (  -- crc32 of the decimal conv_id, bit by bit
+    SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)) + y)), 4294967295) % 6 AS h FROM own
+), built AS (
+    SELECT c.conv_id, coalesce(b.turns[1:c.h], []) || coalesce(c.turns[c.h + 1:], []) AS turns
+    FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+), member AS (
+    SELECT conv_id, len(turns) AS n, d AS depth, turns[1:d] AS path FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM built)
+), node AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+    FROM member GROUP BY path, depth
+), linked AS (
+    SELECT c.*, p.conv_id AS parent_conv_id, (c.n_convs - 1) * coalesce(length(c.path[c.depth].text), 0) AS saved,
+           (SELECT count(*) FROM node k WHERE k.depth = c.depth + 1 AND k.path[1:c.depth] = c.path) AS n_children
+    FROM node c LEFT JOIN node p ON c.depth = p.depth + 1 AND c.path[1:p.depth] = p.path
+), above AS (
+    SELECT unnest(range(depth + 1)) AS d, path, n_children, saved FROM linked
+), summed AS (
+    SELECT path[1:d] AS path, d AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY path[1:d], d
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM linked JOIN summed USING (path, depth)
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    from fieldtrends.llm.prefix_trie import rebuilt, trie
+
+    return trie(rebuilt(table(spark, d, "conversations")))
