@@ -224,12 +224,14 @@ def judged_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     """One row per document: row (all its columns), n_lines (before dropping), n_dropped, kept (the text without dropped lines).
 
     A text is split at \\n; a line's key is the line without the six space characters at both ends, A-Z as a-z.
-    Keys found in at least ``min_docs`` documents lose all their lines in every document; with ``keep_first``
+    Keys found in at least ``min_docs`` (2 or more) documents lose all their lines in every document; with ``keep_first``
     the first occurrence stays (smallest doc_id, rows without one first, then the smallest place). Lines without a
     key stay. Null text is empty, an empty text is one empty line, and a text whose lines all go becomes empty.
     Repeated rows are documents of their own. Texts and lines may have any length. Columns of docs may have any
     name; an empty table gives no rows. Keys are held equal by the first 128 bits of their SHA-256.
     """
+    if min_docs < 2:
+        raise ValueError("a key of one document is no repeat: min_docs starts at 2")
     docs = docs.select(whole_row(docs))
     text = text_or_empty("row.text")
     rows = staged(docs.select(
