@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldtrends.llm.common import join_counted, text_or_empty, without_spaces
+from fieldtrends.llm.common import join_counted, text_or_empty, whole_row, without_spaces
 from fieldtrends.session import staged
 
 BLOCK = 1024
@@ -81,16 +81,17 @@ def identities(
     If ``carried``, rows also hold the columns of docs, as ``row``: stored with the row id, so that one of two equal rows can be told.
     """
     text = text_or_empty()
-    row = [F.struct(*docs.columns).alias("row")] if carried else []
     flat = docs.select(
-        *row,
+        *([whole_row(docs)] if carried else []),
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"),
         F.length(text).cast("bigint").alias("points"), without_spaces(text).alias("flat"),
     )
+    held = "row" if carried else _blocks(F.col("flat"), block).alias("blocks")  # a carried text is stored once, and cut again where blocks are read
     rows = staged(flat.select(
-        *(["row"] if carried else []), "rid", "doc_id", "points", F.sha2(F.col("flat"), 256).alias("text_sha256"), _blocks(F.col("flat"), block).alias("blocks"),
-        F.ceil(F.length("flat") / block).cast("int").alias("n_blocks"),
+        held, "rid", "doc_id", "points", F.sha2(F.col("flat"), 256).alias("text_sha256"), F.ceil(F.length("flat") / block).cast("int").alias("n_blocks"),
     ))
+    if carried:
+        rows = rows.withColumn("blocks", _blocks(without_spaces(text_or_empty("row.text")), block))
     most = rows.agg(F.max("n_blocks")).first()[0] or 0
     level = _level_zero(rows, _block_names(rows, fingerprint), fingerprint)
     done, depth, reach = [], 0, 1
@@ -134,7 +135,10 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[[Col
 
 
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents that ``exact_groups`` keeps, one row of each group, with all their columns."""
+    """The documents that ``exact_groups`` keeps, one row of each group, with all their columns, whatever their names.
+
+    Null and empty texts are one group, repeated rows leave one, and an empty table stays empty.
+    """
     rows, names = identities(docs, block, carried=True)
     stay = _decided(rows, names).filter("kept").select("rid")
     return rows.select("rid", "row").join(stay, "rid", "left_semi").select("row.*")

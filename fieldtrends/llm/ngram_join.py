@@ -15,9 +15,9 @@ import hashlib
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from fieldtrends.llm.common import join_counted, map_batches, shuffle_partitions, text_or_empty
+from fieldtrends.llm.common import join_counted, map_batches, shuffle_partitions, text_or_empty, whole_row
 from fieldtrends.session import staged
 
 N = 5
@@ -247,15 +247,16 @@ def similar_texts(
     """(rows, classes, links).
 
     rows: doc_id, set_key per document. classes: set_key, rep (text key of the representative, the row with
-    the smallest doc_id), class_id (its doc_id), n_docs, n_links (other classes at the threshold or above).
+    the smallest doc_id, null first), rep_doc (its doc_id), class_id (smallest doc_id that is not null), n_docs, n_links (other
+    classes at the threshold or above).
     links: rep, root; following roots connects each class with all classes that it is linked to.
     """
     bands, per_band = bands_for(threshold[0] / threshold[1], recall)
     rows = staged(signatures(docs, n, bands, per_band))
     best = F.min(F.struct("doc_id", "text_key", "bands")).alias("best")
     classes = staged(
-        rows.groupBy("set_key").agg(F.count(F.lit(1)).alias("n_docs"), best)
-        .select("set_key", "n_docs", F.col("best.text_key").alias("rep"), F.col("best.doc_id").alias("rep_doc"), F.col("best.bands").alias("bands"))
+        rows.groupBy("set_key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("class_id"), best)
+        .select("set_key", "n_docs", "class_id", F.col("best.text_key").alias("rep"), F.col("best.doc_id").alias("rep_doc"), F.col("best.bands").alias("bands"))
     )
     entries = classes.select("rep", F.explode("bands").alias("bucket"))
     sizes = staged(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -274,24 +275,10 @@ def similar_texts(
     texts = every.join(needed.select("rep").distinct(), "rep")
     found = staged(_verified(needed.join(texts, "rep"), n, threshold))
     per_rep = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = staged(classes.drop("bands").withColumnRenamed("rep_doc", "class_id").join(per_rep, "rep", "left").fillna(0, ["n_links"]))
+    classes = staged(classes.drop("bands").join(per_rep, "rep", "left").fillna(0, ["n_links"]))
     return rows.select("doc_id", "set_key"), classes, found.select("rep", "root").distinct()
 
 
-def near_links(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, n_links.
-
-    class_id is the smallest doc_id among the texts with the same set of n-grams, class_size their number, and
-    n_links the number of other classes whose sets have a Jaccard similarity of at least the threshold. Null and
-    empty texts have no n-grams: they are one class without links. A text of fewer than n words is one n-gram.
-    Repeated rows are returned as often as they occur; more columns are ignored; an empty table gives no rows.
-    """
-    rows, classes, _ = similar_texts(docs, **options)
-    total = classes.agg(F.sum("n_docs")).first()[0] or 1
-    out = join_counted(rows, classes, ["set_key"], "n_docs", total)
-    return out.select("doc_id", "class_id", F.col("n_docs").alias("class_size"), "n_links")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(rep, label): label is the smallest rep connected with it. Smallest labels spread along links and then jump to
     the label of the label, so the number of rounds grows with the logarithm of a chain; each round is stored."""
@@ -309,19 +296,38 @@ def components(links: DataFrame) -> DataFrame:
         labels = staged(jumped.select("a", "label"))
 
 
+def grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with ``label``, the same for all classes that links connect: the group of near copies."""
+    return classes.join(components(links), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def near_links(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, class_id, class_size, copy_id, n_copies, n_links.
+
+    class_id is the smallest doc_id of the document's group, the texts that links connect, and class_size the group's number of
+    documents. Inside a group copy_id is the smallest doc_id among the texts with the same set of n-grams, n_copies their number, and
+    n_links the number of other such sets whose Jaccard similarity with the document's is at least the threshold. Null and
+    empty texts have no n-grams: they are one group without links. A text of fewer than n words is one n-gram. Ids ignore rows without doc_id
+    (null if there are only such). Repeated rows are returned as often as they occur; more columns are ignored; an empty table gives no rows.
+    """
+    rows, classes, links = similar_texts(docs, **options)
+    every = staged(grouped(classes, links))
+    groups = every.groupBy("label").agg(F.min("class_id").alias("group_id"), F.sum("n_docs").alias("class_size"))
+    every = staged(every.join(groups, "label").select("set_key", "n_docs", "n_links", F.col("class_id").alias("copy_id"), F.col("group_id").alias("class_id"), "class_size"))
+    total = every.agg(F.sum("n_docs")).first()[0] or 1
+    out = join_counted(rows, every, ["set_key"], "n_docs", total)
+    return out.select("doc_id", "class_id", "class_size", "copy_id", F.col("n_docs").alias("n_copies"), "n_links")
+
+
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each group of linked texts, the one with the smallest doc_id; all columns stay.
 
-    Groups are the connected components of the links. Of rows that agree in doc_id and text one stays.
+    Groups are the connected components of the links; rows without doc_id come before others. Of rows that agree in doc_id and
+    text one stays. Null and empty texts are one group. Texts may have any length and columns any name; an empty table stays empty.
     """
     _, classes, links = similar_texts(docs, **options)
-    grouped = classes.join(components(links), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    stay = grouped.groupBy("label").agg(F.min(F.struct("class_id", "rep")).alias("best"))
-    keys = ["__doc", "__none", "__key"]
-
-    def keyed(df: DataFrame, doc: Column, key: Column) -> DataFrame:
-        return df.withColumns({"__doc": F.coalesce(doc, F.lit(0)), "__none": doc.isNull(), "__key": key})
-
-    stay = keyed(stay, F.col("best.class_id"), F.col("best.rep")).select(*keys)
-    marked = keyed(docs, F.col("doc_id").cast("bigint"), F.md5(text_or_empty())).dropDuplicates(keys)
-    return marked.join(stay, keys, "left_semi").select(*docs.columns)
+    stay = grouped(classes, links).groupBy("label").agg(F.min(F.struct("rep_doc", "rep")).alias("best"))
+    stay = stay.select(F.coalesce("best.rep_doc", F.lit(0)).alias("doc"), F.col("best.rep_doc").isNull().alias("none"), F.col("best.rep").alias("key"))
+    doc = F.col("doc_id").cast("bigint")
+    rows = docs.select(F.coalesce(doc, F.lit(0)).alias("doc"), doc.isNull().alias("none"), F.md5(text_or_empty()).alias("key"), whole_row(docs))
+    return rows.dropDuplicates(["doc", "none", "key"]).join(stay, ["doc", "none", "key"], "left_semi").select("row.*")

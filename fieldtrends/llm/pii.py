@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldtrends.llm.common import text_or_empty
+from fieldtrends.llm.common import quoted, text_or_empty, whole_row
 
 #: Points a span needs. Base kinds that pass their validator have them without context.
 NEEDED = 1.0
@@ -115,6 +115,14 @@ def _found(kind: Kind) -> Column:
     return F.when(text.rlike(kind.hint), sure).otherwise(none)
 
 
+def _spans_of_rows(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), text, spans."""
+    names = [f"f_{k.name}" for k in KINDS]
+    rows = docs.select(whole_row(docs), F.col("text").alias("given"), text_or_empty().alias("text"))
+    rows = rows.select("row", "given", "text", *[_found(k).alias(n) for k, n in zip(KINDS, names)])
+    return rows.select("row", F.col("given").alias("text"), F.array_sort(F.flatten(F.array(*names))).alias("spans"))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """Adds ``spans`` to the rows: array of (start, rank, kind, end, score) by start, then kind as listed in KINDS.
 
@@ -122,11 +130,8 @@ def spans(docs: DataFrame) -> DataFrame:
     validator is dropped and not tried again in part. Null and empty texts have no spans; other columns stay as
     they are (a column called ``spans`` is replaced), and an empty table stays empty. Texts are read whole.
     """
-    names = [f"__{k.name}" for k in KINDS]
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text_or_empty().alias("text"))
-    rows = rows.select("row", "text", *[_found(k).alias(n) for k, n in zip(KINDS, names)])
-    rows = rows.select("row", F.array_sort(F.flatten(F.array(*names))).alias("spans"))
-    return rows.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns if c != "spans"], "spans")
+    kept = [F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c != "spans"]
+    return _spans_of_rows(docs).select(*kept, "spans")
 
 
 def described(kinds: list[str] | None = None) -> Column:
@@ -138,9 +143,10 @@ def described(kinds: list[str] | None = None) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """Replaces every span of ``text`` by its kind in brackets; overlapping spans become one, named by the first.
 
-    Texts without spans, null ones too, stay as they are, and so do all other columns.
+    Texts without spans, null ones too, stay as they are, and so do all other columns, whatever their names. Repeated rows
+    stay repeated, and an empty table stays empty.
     """
-    found = spans(docs)
+    found = _spans_of_rows(docs)
     first = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def merged(a: Column, s: Column) -> Column:
@@ -149,10 +155,10 @@ def mask(docs: DataFrame) -> DataFrame:
         new = F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
         return F.when(F.size(a) == 0, new).when(s["start"] < last["end"], grown).otherwise(new)
 
-    rows = found.withColumn("__cut", F.when(F.size("spans") > 0, F.aggregate("spans", first, merged)))
-    pieces = F.transform("__cut", lambda s, i: F.concat(
-        F.substr("text", F.when(i == 0, 1).otherwise(F.element_at("__cut", F.greatest(i, F.lit(1)))["end"] + 1),
-                 s["start"] - F.when(i == 0, 0).otherwise(F.element_at("__cut", F.greatest(i, F.lit(1)))["end"])),
+    rows = found.withColumn("cut", F.when(F.size("spans") > 0, F.aggregate("spans", first, merged)))
+    pieces = F.transform("cut", lambda s, i: F.concat(
+        F.substr("text", F.when(i == 0, 1).otherwise(F.element_at("cut", F.greatest(i, F.lit(1)))["end"] + 1),
+                 s["start"] - F.when(i == 0, 0).otherwise(F.element_at("cut", F.greatest(i, F.lit(1)))["end"])),
         F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    whole = F.concat(F.array_join(pieces, ""), F.substr(F.col("text"), F.element_at("__cut", -1)["end"] + 1))
-    return rows.withColumn("text", F.when(F.col("__cut").isNotNull(), whole).otherwise(F.col("text"))).select(*docs.columns)
+    whole = F.concat(F.array_join(pieces, ""), F.substr(F.col("text"), F.element_at("cut", -1)["end"] + 1))
+    return rows.select(F.col("row").withField("text", F.when(F.col("cut").isNotNull(), whole).otherwise(F.col("text"))).alias("row")).select("row.*")

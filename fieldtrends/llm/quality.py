@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldtrends.llm.common import text_or_empty, without_spaces
+from fieldtrends.llm.common import text_or_empty, whole_row, without_spaces
 from fieldtrends.session import staged
 
 #: Fixed values of the contract.
@@ -246,11 +246,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[R
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns; every row is judged by its own text."""
+    """The documents that pass, with all their columns, whatever their names; every row is judged by its own text.
+
+    Null text fails, repeated rows are judged alike, rows without doc_id are judged but not learned from, and an empty table stays empty.
+    """
     sample = F.broadcast(label_sample(labels))
     some = docs.select("doc_id", "text").join(sample.select("doc_id"), "doc_id", "left_semi")
     rules = learn(labelled_statistics(staged(statistics(some)), labels))
-    stats = statistics(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), carry=["row"])
+    stats = statistics(docs.select("doc_id", "text", whole_row(docs)), carry=["row"])
     # The row number keeps the filter above the statistics; pushed below, it would compute each of them anew for every use.
     judged = judge(stats.withColumn("__nr", F.monotonically_increasing_id()), rules)
     return judged.filter(F.col("kept") & (F.col("__nr") >= 0)).select("row.*")

@@ -100,11 +100,7 @@ def test_similarity_join(spark, none):
         if both and 5 * both >= 4 * (len(keys[a]) + len(keys[b]) - both):
             adjacent[a].add(b)
             adjacent[b].add(a)
-    want = {i: (min(m), len(m), len(adjacent[k])) for k, s in enumerate(keys) for m in [sets[s]] for i in m}
-    for block in (4, 512):
-        got = {r["doc_id"]: (r["class_id"], r["class_size"], r["n_links"]) for r in ngram_join.near_links(frame, block=block).collect()}
-        assert got == want
-    seen, kept = set(), set()
+    seen, group_of = set(), {}
     for k in range(len(keys)):
         if k not in seen:
             group, todo = set(), [k]
@@ -114,9 +110,15 @@ def test_similarity_join(spark, none):
                     group.add(x)
                     todo += adjacent[x]
             seen |= group
-            kept.add(min(i for x in group for i in sets[keys[x]]))
-    left = ngram_join.drop_near_copies(frame.withColumn("rep", F.lit("clash")).withColumn("bands", F.lit(1)))
-    assert {r["doc_id"] for r in left.collect()} == kept and left.columns == ["doc_id", "text", "rep", "bands"]
+            members = [i for x in group for i in sets[keys[x]]]
+            group_of |= {x: (min(members), len(members)) for x in group}
+    kept = {first for first, _ in group_of.values()}
+    want = {i: (*group_of[k], min(s), len(s), len(adjacent[k])) for k, s in enumerate(sets.values()) for i in s}
+    for block in (4, 512):
+        got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.near_links(frame, block=block).select("doc_id", "class_id", "class_size", "copy_id", "n_copies", "n_links").collect()}
+        assert got == want
+    left = ngram_join.drop_near_copies(frame.withColumn("rep", F.lit("clash")).withColumn("a.b", F.lit(1)))
+    assert {r["doc_id"] for r in left.collect()} == kept and left.columns == ["doc_id", "text", "rep", "a.b"]
     assert ngram_join.near_links(none).count() == 0 and ngram_join.drop_near_copies(none).count() == 0
 
 
@@ -378,3 +380,23 @@ def test_join_counted(spark):
     rows = spark.createDataFrame([(i % 3 and i, i) for i in range(3000)], "k bigint, v bigint")
     keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     assert common.join_counted(rows, keyed, ["k"], "n", 3000).count() == 3000
+
+
+# ---------------------------------------------------------------- stages of the pipeline
+CLASHING = "doc_id bigint, text string, `a.b` string, spans array<int>, row string, cut int, blocks int, doc string, `key` string, rid int, `x``y` int"
+
+
+@pytest.mark.parametrize("stage", [pii.mask, exact_dedup.drop_copies, ngram_join.drop_near_copies, lambda d: quality.keep_good(d, d.sparkSession.createDataFrame(
+    [(1, 0), (2, 1), (2, 0), (None, 1)], "doc_id bigint, quality int"))], ids=["mask", "copies", "near", "good"])
+def test_stages_keep_columns(spark, stage):
+    """Columns of any name pass unchanged; nulls, repeated rows and empty tables are no trouble."""
+    rest = ("dot", [1, 2], "r", 3, 4, "d", "k", 5, 6)
+    text = prose(80) + " mail a@b.co now"
+    rows = [(1, text, *rest), (1, text, *rest), (None, text, *rest), (None, None, *([None] * 9)), (3, "", *rest), (4, prose(3000, 9), *rest)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    out = stage(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = out.collect()
+    assert got and all(tuple(r)[2:] in (rest, (None,) * 9) for r in got)
+    empty = stage(spark.createDataFrame([], CLASHING))
+    assert empty.columns == docs.columns and empty.count() == 0
