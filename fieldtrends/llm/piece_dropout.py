@@ -8,7 +8,7 @@ in the public library, but the pieces always spell the same text.
 
 A unit is a run of spaces with the characters after it, or a line break; no piece of the model reaches from one
 unit into the next (checked when the model is loaded). The agendas of many units run side by side, one
-candidate of each per step, and results are kept per unit and pattern of skips; both change the speed only.
+candidate of each per step, and equal units with equal draws of a batch are merged once; both change the speed only.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ UNIT = re.compile(" +[^ \n]*|[^ \n]+|\n")
 NORMAL, BYTE = 1, 6
 LANES = 24  # candidates whose draws are made at once and agendas run side by side; longer agendas run alone
 LONGEST = 24  # characters of a unit that runs side by side with others
-#: A unit of n characters rarely offers more than SPAN[n] candidates; equal draws up to there are looked at once, and
+#: A unit of n characters rarely offers more than SPAN[n] candidates; that many draws are made at once, and
 #: a unit that does offer more runs alone.
 SPAN = [min(LANES, n + 3) for n in range(LONGEST + 1)]
-FIRST = [(1 << k) - 1 for k in SPAN]
-KEPT = 700_000
+ROWS = 8_000  # units side by side
+AT_ONCE = 4_000_000  # bytes of text whose units are interned together
 MASK = (1 << 64) - 1
 
 
@@ -156,7 +156,7 @@ class SideBySide:
         return np.where(hit, self.ids[at], -1), np.where(hit, self.scores[at], np.float32(-np.inf))
 
     def merge(self, units: list[str], patterns):
-        """Ids (bytes) per unit, or None where the unit has to run alone; and the candidates taken."""
+        """Ids of all units one after the other, the number of ids of each, whether it has to run alone, and the candidates taken."""
         import numpy as np
 
         size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
@@ -199,85 +199,108 @@ class SideBySide:
             made[q, at], score[q, at] = self.pair(symbols[q, at], new[inside])
         alone |= (symbols >= self.vocabulary).any(axis=1)
         count = (symbols >= 0).sum(axis=1)
-        stops = np.cumsum(count)
-        raw = symbols[symbols >= 0].astype("<u4").tobytes()
-        out = [None if x else raw[4 * a:4 * z] for x, a, z in zip(alone.tolist(), (stops - count).tolist(), stops.tolist())]
-        return out, taken
+        return symbols[symbols >= 0], count, alone, taken
+
+    def merge_all(self, units: list[str], patterns):
+        """``merge`` of any number of units, those of like length together; ids come as an array with begins and counts."""
+        import numpy as np
+
+        size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        order = np.argsort(size, kind="stable")
+        begin, count, alone, taken = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), np.zeros(len(units), bool), np.zeros(len(units), np.int64)
+        parts, end = [], 0
+        for lo in range(0, len(order), ROWS):
+            at = order[lo:lo + ROWS]
+            ids, n, alone[at], taken[at] = self.merge([units[i] for i in at.tolist()], patterns[at])
+            begin[at], count[at] = end + np.cumsum(n) - n, n
+            parts.append(ids)
+            end += len(ids)
+        return np.concatenate(parts) if parts else np.empty(0, np.int32), begin, count, alone, taken
 
 
 class DropoutEncoder:
+    """Texts are encoded many at a time. Distinct units are merged once without skips; an occurrence whose draws skip none of the
+    candidates taken there has that result. The others are merged once for each unit and pattern of draws."""
+
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.many = SideBySide(self.pieces)
-        # per unit: a mask of all draws that its agendas have used so far, and ids by the draws under the mask
-        self.kept: dict[str, list] = {}
-        self.size = 0
 
     @staticmethod
-    def patterns(n: int, key: int, limit: int):
-        """Bit k of the i-th number: whether the k-th candidate of unit i is skipped. A 64-bit hash holds four draws."""
+    def patterns(at, span, limit: int):
+        """Bit k of a number: whether the k-th candidate of its unit is skipped. A 64-bit hash holds four draws; ``span`` draws are made."""
         import numpy as np
 
-        at = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
-        out = np.zeros(n, dtype=np.uint32)
+        out = np.zeros(len(at), dtype=np.uint32)
+        some = np.arange(len(at))
         for lane in range(LANES // 4 if limit else 0):
-            h = at + np.uint64(lane * 0xD1B54A32D192ED03 & MASK)
+            some = some[span[some] > 4 * lane]
+            h = at[some] + np.uint64(lane * 0xD1B54A32D192ED03 & MASK)
             h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             h = h ^ (h >> np.uint64(31))
+            bits = np.zeros(len(some), dtype=np.uint32)
             for k in range(4):
                 hit = (h >> np.uint64(16 * k)) & np.uint64(0xFFFF) < np.uint64(limit)
-                out |= hit.astype(np.uint32) << np.uint32(4 * lane + k)
+                bits |= hit.astype(np.uint32) << np.uint32(4 * lane + k)
+            out[some] |= bits
         return out
 
-    def alone(self, unit: str, at: int, limit: int) -> bytes:
+    def alone(self, unit: str, at: int, limit: int) -> list[int]:
         def skip(k: int) -> bool:
             return (mix(at + (k // 4) * 0xD1B54A32D192ED03 & MASK) >> (16 * (k % 4))) & 0xFFFF < limit
 
-        ids, _ = merge(written(unit), self.pieces, skip)
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return merge(unit, self.pieces, skip)[0]
 
-    def encode(self, texts: list[str], keys: list[int], chance: float) -> list[bytes]:
-        """Ids (little-endian 32-bit) of texts; a key stands for seed and document, ``chance`` is the probability of a skip."""
+    def encode(self, texts: list[str], keys: list[int], chance: float):
+        """(ids, counts): the ids of all texts one after the other, and the number of ids of each. A key stands for seed and
+        document, ``chance`` is the probability of a skip."""
         import numpy as np
+        import pyarrow as pa
+
+        limit = int(chance * 65536)
+        split = [UNIT.findall(" " + t) if t else [] for t in texts]
+        n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        coded = pa.array([u for units in split for u in units], pa.string()).dictionary_encode()
+        unit, names = coded.indices.to_numpy(), [written(u) for u in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+        short = size <= LONGEST
+        span = np.array(SPAN, dtype=np.int64)[np.minimum(size, LONGEST)]
+        inner = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+        at = inner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(np.array(keys, dtype=np.uint64), n)
+        pattern = self.patterns(at, span[unit], limit)
+
+        begin, count = np.zeros(len(unit), dtype=np.int64), np.zeros(len(unit), dtype=np.int64)
+        # no skips: one result per unit
+        some = np.flatnonzero(short)
+        ids, b, c, alone, taken = self.many.merge_all([names[i] for i in some.tolist()], np.zeros(len(some), dtype=np.uint32))
+        row = np.zeros(len(names), dtype=np.int64)
+        row[some] = np.arange(len(some))
+        plain = np.zeros(len(names), dtype=bool)
+        plain[some] = ~alone & (taken <= span[some])
+        used = np.zeros(len(names), dtype=np.uint32)
+        used[some] = (np.uint64(1) << np.minimum(taken, 31).astype(np.uint64)) - np.uint64(1)
+        easy = plain[unit] & (pattern & used[unit] == 0)
+        begin[easy], count[easy] = b[row[unit[easy]]], c[row[unit[easy]]]
+        # skips: one result per unit and pattern of the draws that it can use
+        rest = np.flatnonzero(~easy & short[unit])
+        pairs, which = np.unique(unit[rest].astype(np.int64) << 32 | pattern[rest], return_inverse=True)
+        who = (pairs >> 32).tolist()
+        more, b, c, alone, taken = self.many.merge_all([names[i] for i in who], (pairs & 0xFFFFFFFF).astype(np.uint32))
+        begin[rest], count[rest] = b[which] + len(ids), c[which]
+        ids = np.concatenate((ids, more))
+        # what does not fit: one by one
+        lost = alone | (taken > span[who]) if len(who) else alone
+        single = np.concatenate((np.flatnonzero(~short[unit]), rest[lost[which]])) if len(rest) else np.flatnonzero(~short[unit])
+        found = [self.alone(names[u], a, limit) for u, a in zip(unit[single].tolist(), at[single].tolist())]
+        c = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        begin[single], count[single] = len(ids) + np.cumsum(c) - c, c
+        ids = np.concatenate((ids, np.array([i for f in found for i in f], dtype=np.int32)))
 
-        limit, kept = int(chance * 65536), self.kept
-        if self.size > KEPT:
-            kept.clear()
-            self.size = 0
-        out: list[list] = []
-        open_: dict[tuple[str, int], list[tuple[int, int]]] = {}
-        for d, (text, key) in enumerate(zip(texts, keys)):
-            units = UNIT.findall(" " + text) if text else []
-            pattern = self.patterns(len(units), key, limit).tolist()
-            found = [(e := kept.get(u)) and e[1].get(p & e[0]) for u, p in zip(units, pattern)]
-            out.append(found)
-            if None in found:
-                for i, f in enumerate(found):
-                    if f is None:
-                        if len(units[i]) > LONGEST:
-                            found[i] = self.alone(units[i], key + i * 0x9E3779B97F4A7C15 & MASK, limit)
-                        else:
-                            open_.setdefault((units[i], pattern[i] & FIRST[len(units[i])]), []).append((d, i))
-        todo = sorted(open_, key=lambda x: len(x[0]))  # units of like length run side by side
-        for lo in range(0, len(todo), 8_000):
-            part = todo[lo:lo + 8_000]
-            done, taken = self.many.merge([written(u) for u, _ in part], np.array([p for _, p in part], dtype=np.uint32))
-            for (unit, pattern), raw, n in zip(part, done, taken.tolist()):
-                if raw is None or n > SPAN[len(unit)]:
-                    for d, i in open_[unit, pattern]:
-                        out[d][i] = self.alone(unit, keys[d] + i * 0x9E3779B97F4A7C15 & MASK, limit)
-                    continue
-                # an agenda reads its draws in order, so equal first n draws give the same result
-                entry = kept.get(unit)
-                if entry is None:
-                    entry = kept[unit] = [0, {}]
-                entry[0] |= (1 << n) - 1
-                self.size += pattern & entry[0] not in entry[1]
-                entry[1][pattern & entry[0]] = raw
-                for d, i in open_[unit, pattern]:
-                    out[d][i] = raw
-        return [b"".join(x) for x in out]
+        stops = np.cumsum(count)
+        out = ids[np.repeat(begin - stops + count, count) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        ends = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(n)))]
+        return out.astype(np.int32), np.diff(ends)
 
 
 def written(unit: str) -> str:
@@ -304,18 +327,22 @@ def encode(docs: DataFrame, model: str, seed: int, chance: float = 0.1) -> DataF
     def make():
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         e = encoder(model)
 
         def step(batch):
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            length = np.cumsum(np.asarray(pc.binary_length(batch.column("text"))).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:  # as many texts as have AT_ONCE bytes, one at least
+                done = int(length[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(length, done + AT_ONCE, side="right")))
+                part = batch.slice(lo, hi - lo)
+                lo = hi
                 texts = part.column("text").to_pylist()
                 keys = [document_key(seed, i, t) for i, t in zip(part.column("doc_id").to_pylist(), texts)]
-                raw = e.encode(texts, keys, chance)
-                n = np.fromiter((len(b) // 4 for b in raw), dtype=np.int64, count=len(raw))
-                ids = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(raw))])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), ids)
+                ids, n = e.encode(texts, keys, chance)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
 
         return step
