@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fieldtrends.config import SEASON_NAMES
-from fieldtrends.session import cut_lineage
+from fieldtrends.session import staged
 
 SP = "common_name"
 ETA = (-30.0, 3.4)
@@ -36,11 +36,11 @@ def terms_of(seasons: Sequence[str], groups: Sequence[str]) -> list[str]:
     return [f"season:{s}" for s in seasons] + [f"length:{s}" for s in seasons] + [f"time:{g}" for g in list(groups)[1:]]
 
 
-MODEL_FIELDS = "terms array<string>, coef array<double>, cov array<double>, deviance double, n bigint, status string"
+MODEL_FIELDS = "terms array<string>, coef array<double>, cov array<double>, deviance double, n bigint, gradient double, status string"
 
 
 # ------------------------------------------------------------------ T06
-def _solve_fixed(pdf: pd.DataFrame, order: Sequence[str], steps: int = 40):
+def _solve_fixed(pdf: pd.DataFrame, order: Sequence[str]):
     seasons = [s for s in SEASON_NAMES if (pdf.season == s).any()]
     present = set(pdf.timegroup)
     groups = [g for g in order if g in present]
@@ -57,26 +57,22 @@ def _solve_fixed(pdf: pd.DataFrame, order: Sequence[str], steps: int = 40):
     beta = np.zeros(len(terms))
     p0 = min(max(k.sum() / n.sum(), 1e-6), 1 - 1e-6)
     beta[: len(seasons)] = np.log(-np.log1p(-p0))
-    old = -np.inf
-    status = "not converged"
-    for _ in range(steps):
-        w, score, ll = cloglog_parts(x @ beta, n, k)
-        h = x.T @ (w[:, None] * x) + 1e-9 * np.eye(len(terms))
-        step = np.linalg.solve(h, x.T @ score)
-        beta = beta + np.clip(step, -3, 3)
-        if abs(ll.sum() - old) < 1e-10 * (abs(old) + 1) and np.abs(step).max() < 1e-8:
-            status = "ok"
+    state = {"base": beta, "trial": beta, "step": 0 * beta, "merit": None, "halved": 0, "gradient": None, "cov": None, "extra": None, "state": "open"}
+    for _ in range(200):
+        w, score, ll = cloglog_parts(x @ np.asarray(state["trial"]), n, k)
+        curve = x.T @ (w[:, None] * x)
+        state = advance(state, np.concatenate([[ll.sum()], x.T @ score, curve.ravel(), [-2 * ll.sum()]]), len(terms))
+        if state["state"] != "open":
             break
-        old = ll.sum()
-    w, _, ll = cloglog_parts(x @ beta, n, k)
-    cov = np.linalg.inv(x.T @ (w[:, None] * x) + 1e-9 * np.eye(len(terms)))
-    return terms, beta, cov, -2 * ll.sum(), int(n.sum()), status
+    status = "not converged" if state["state"] == "open" else state["state"]
+    return terms, state["base"], state["cov"], state["extra"], int(n.sum()), state["gradient"], status
 
 
 def fit_glm(binomial: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """T06. presence ~ season + season:log(length) + time group, binomial with cloglog link.
 
-    Rows are first summed over cells: a model sees at most seasons x time groups x lengths rows.
+    Rows are first summed over cells: a model sees at most seasons x time groups x lengths rows. ``gradient`` is the largest component
+    of the gradient at the coefficients; the status is ok, boundary (see ``fit_occupancy``), failed or not converged.
     """
     keys = [*by, SP]
     small = binomial.groupBy(*keys, "season", "timegroup", "no_sp").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -85,13 +81,8 @@ def fit_glm(binomial: DataFrame, labels: Sequence[str], by: Sequence[str] = ())
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         head = {c: pdf[c].iloc[0] for c in keys}
-        try:
-            t, b, c, dev, n, status = _solve_fixed(pdf, order)
-            return pd.DataFrame([{**head, "terms": t, "coef": b.tolist(), "cov": c.ravel().tolist(),
-                                  "deviance": float(dev), "n": n, "status": status}])
-        except np.linalg.LinAlgError as e:
-            return pd.DataFrame([{**head, "terms": None, "coef": None, "cov": None, "deviance": None,
-                                  "n": int(pdf.n.sum()), "status": f"failed: {e}"}])
+        t, b, c, dev, n, gradient, status = _solve_fixed(pdf, order)
+        return pd.DataFrame([{**head, "terms": t, "coef": list(b), "cov": c, "deviance": dev, "n": n, "gradient": gradient, "status": status}])
 
     return small.groupBy(*keys).applyInPandas(fit, schema)
 
@@ -105,6 +96,82 @@ def sum_stats(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
             lambda a, b: F.zip_with(a, b, lambda x, y: x + y))).drop("__s")
 
 
+WIDE = 8.0  # longest step of a coefficient
+SETTLED = 1e-4  # largest component of the gradient of a settled model
+FLAT = 1e-6  # curvature, against the strongest, below which the likelihood has its best value at the edge
+WEAK = 1e-3  # the same without comparison: towards an edge, curvature falls with the gradient
+STATE = "base array<double>, trial array<double>, step array<double>, merit double, halved int, gradient double, cov array<double>, extra double, state string"
+
+
+def newton_step(grad: np.ndarray, curve: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Step, covariance and whether some curvature has gone, over the terms that have data. Steps go uphill also where the
+    curvature is negative, and directions without curvature and gradient are left alone."""
+    p = len(grad)
+    on = np.abs(curve).sum(1) > 1e-12
+    step, cov = np.zeros(p), np.zeros((p, p))
+    if not on.any():
+        return step, cov, False
+    w, v = np.linalg.eigh(curve[np.ix_(on, on)])
+    c, top = v.T @ grad[on], max(np.abs(w).max(), 1e-12)
+    move = v @ np.where(np.abs(c) < 1e-9, 0.0, c / np.maximum(np.abs(w), 1e-9 * top))
+    step[on] = move * min(1.0, WIDE / max(np.abs(move).max(), 1e-300))
+    cov[np.ix_(on, on)] = (v / np.maximum(w, FLAT * top)) @ v.T
+    return step, cov, bool(w.min() < max(FLAT * top, WEAK))
+
+
+def advance(r: dict, stats: np.ndarray, p: int) -> dict:
+    """State of a model after its trial was evaluated: stats are merit, gradient, curvature, and one more figure to keep.
+
+    A trial that is no better than the base is given up for half the step; else it is the new base.
+    """
+    merit, grad, curve = stats[0], stats[1:1 + p], stats[1 + p:1 + p + p * p].reshape(p, p)
+    if not np.isfinite(stats).all() and (r["merit"] is None or r["halved"] >= 30):
+        return {**r, "state": "failed"}
+    worse = not np.isfinite(merit) or (r["merit"] is not None and merit < r["merit"] - 1e-9 * (1 + abs(r["merit"])))
+    if worse and r["halved"] < 30:
+        step = np.asarray(r["step"]) / 2
+        return {**r, "step": step.tolist(), "trial": (np.asarray(r["base"]) + step).tolist(), "halved": r["halved"] + 1}
+    base = np.asarray(r["trial"], float)
+    step, cov, edge = newton_step(grad, curve)
+    size = float(np.abs(grad).max())
+    state = "open" if size >= SETTLED else "boundary" if edge else "ok"
+    return {**r, "base": base.tolist(), "step": step.tolist(), "trial": (base + step).tolist(), "merit": float(merit), "halved": 0,
+            "gradient": size, "cov": cov.ravel().tolist(), "extra": float(stats[1 + p + p * p]), "state": state}
+
+
+def settle(blocks: DataFrame, start: DataFrame, keys: Sequence[str], p: int, contribute, passes: int = 200) -> DataFrame:
+    """Guarded Newton over many models at once: keys, the columns of ``start`` and STATE, with state ok, boundary, failed or open.
+
+    start: keys, ``theta`` (p coefficients) and what ``contribute`` needs; it maps blocks joined with them to partial ``stats``. Models that
+    have settled leave the loop, which ends when none is open; ``passes`` bounds it for a model that never settles.
+    """
+    keys = list(keys)
+    extra = [c for c in start.columns if c not in (*keys, "theta")]
+    part_schema = T.StructType([blocks.schema[c] for c in keys] + T.StructType.fromDDL("stats array<double>").fields)
+    none = F.lit(None)
+    params = staged(start.select(
+        *keys, *extra, F.col("theta").alias("base"), F.col("theta").alias("trial"), F.transform("theta", lambda x: x * 0).alias("step"), none.cast("double").alias("merit"),
+        F.lit(0).alias("halved"), none.cast("double").alias("gradient"), none.cast("array<double>").alias("cov"), none.cast("double").alias("extra"), F.lit("open").alias("state")))
+    schema, columns = params.schema, params.columns
+
+    def update(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                row = {c: getattr(r, c) for c in columns}
+                row["merit"] = None if row["merit"] is None or np.isnan(row["merit"]) else row["merit"]
+                out.append(row if r.stats is None else advance(row, np.asarray(r.stats, float), p))
+            yield pd.DataFrame(out, columns=columns)
+
+    for _ in range(passes):
+        asked = params.filter("state = 'open'").select(*keys, *extra, F.col("trial").alias("theta"))
+        summed = sum_stats(blocks.join(asked, keys).mapInPandas(contribute, part_schema), keys)
+        params = staged(params.join(summed, keys, "left").mapInPandas(update, schema))
+        if params.filter("state = 'open'").isEmpty():
+            break
+    return params
+
+
 def _ragged(col) -> tuple[np.ndarray, np.ndarray]:
     lens = np.array([len(a) for a in col])
     return lens, np.concatenate([np.asarray(a) for a in col]) if len(col) else np.zeros(0)
@@ -176,7 +243,9 @@ def _mixed_pass(g: pd.DataFrame, n_t: int, nested: bool):
         np.add.at(ab, block_of, ac * (1 / var1 / dc)[:, None])
         hess -= ab.T @ (ab / sb[:, None])
         dev += (v * v).sum() / var3 + np.log(sb * var3).sum()
-    return np.concatenate([[dev], grad, hess.ravel()])
+    # the penalised likelihood at the cells' own optimum: ``grad`` is its gradient
+    merit = ll.sum() - (u * u).sum() / var1 / 2 - ((v * v).sum() / var3 / 2 if nested else 0.0)
+    return np.concatenate([[dev], grad, hess.ravel(), [merit]])
 
 
 def _used(hess: np.ndarray) -> np.ndarray:
@@ -213,13 +282,13 @@ def fit_glmm(
     """T07. The fixed model plus nested random intercepts per cell, Laplace deviance.
 
     Coefficients are profiled for a pattern of variances around the present pair; parabolas through
-    the deviances give the centre of the next, finer pattern. Coefficient and variance rows (a few numbers per
-    model) are checkpointed each pass; blocks are computed once.
+    the deviances give the centre of the next, finer pattern. At the last centre the coefficients run until the gradient is zero
+    (see ``settle``). Coefficient and variance rows (a few numbers per model) are stored each pass; blocks are computed once.
     """
     keys = [*by, SP]
     n_t = len(labels)
     p = 8 + n_t
-    blocks = cut_lineage(mixed_blocks(binomial, labels, by, nested))
+    blocks = staged(mixed_blocks(binomial, labels, by, nested))
     key_fields = [blocks.schema[c] for c in keys]
     cand_fields = key_fields + T.StructType.fromDDL("cand int, log1 double, log3 double").fields
     part_schema = T.StructType(cand_fields + T.StructType.fromDDL("stats array<double>").fields)
@@ -242,7 +311,7 @@ def fit_glmm(
             out = []
             for r in pdf.itertuples(index=False):
                 st, beta = np.asarray(r.stats, float), np.asarray(r.beta, float)
-                grad, hess = st[1: 1 + p], st[1 + p:].reshape(p, p)
+                grad, hess = st[1: 1 + p], st[1 + p:-1].reshape(p, p)
                 on = _used(hess)
                 h = hess[np.ix_(on, on)] + 1e-8 * np.eye(on.sum())
                 move, cov = np.zeros(p), np.zeros((p, p))
@@ -259,7 +328,7 @@ def fit_glmm(
         joined = blocks.join(params.select(*names, "beta"), keys)
         parts = joined.mapInPandas(contribute, part_schema)
         summed = sum_stats(parts, names).join(params.select(*names, "beta"), names)
-        return cut_lineage(summed.mapInPandas(update, upd_schema))
+        return staged(summed.mapInPandas(update, upd_schema))
 
     rate = binomial.groupBy(*keys).agg((F.sum("k") / F.sum("n")).alias("p0"))
     level = F.log(-F.log(F.lit(1.0) - F.least(F.greatest(F.col("p0"), F.lit(1e-6)), F.lit(1 - 1e-6))))
@@ -280,14 +349,31 @@ def fit_glmm(
             params = one_pass(params)
         best = parabola_step(params, keys, step, nested)
         step = step / 2
-    final = one_pass(best.select(*names, "beta"))
+
+    def settling(frames):
+        """Merit, gradient and curvature of the terms in use; the first time group with data is the baseline and does not move."""
+        for pdf in frames:
+            out = []
+            pdf = pdf.assign(var1=np.exp(2 * pdf.log1), var3=np.exp(2 * pdf.log3), beta=pdf.theta)
+            for key, g in pdf.groupby(keys, sort=False):
+                st = _mixed_pass(g, n_t, nested)
+                off = np.array(g.base_term.iloc[0]) - 1
+                grad, hess = st[1: 1 + p].copy(), st[1 + p:-1].reshape(p, p).copy()
+                if off >= 0:
+                    grad[off], hess[off], hess[:, off] = 0.0, 0.0, 0.0
+                out.append({**dict(zip(keys, key)), "stats": np.concatenate([[st[-1]], grad, hess.ravel(), [st[0]]]).tolist()})
+            yield pd.DataFrame(out, columns=[*keys, "stats"])
+
+    codes = F.array(*[F.lit(g) for g in labels])
+    first = binomial.groupBy(*keys).agg((F.min(F.array_position(codes, F.col("timegroup"))) + 8).cast("int").alias("base_term"))
+    final = settle(blocks, best.select(*keys, "log1", "log3", F.col("beta").alias("theta")).join(first, keys), keys, p, settling)
     terms = terms_of(SEASON_NAMES, ["-"]) + [f"time:{g}" for g in labels]
     total = binomial.groupBy(*keys).agg(F.sum("n").cast("bigint").alias("n"))
     return final.join(total, keys).select(
-        *keys, F.array(*[F.lit(t) for t in terms]).alias("terms"), F.col("beta").alias("coef"), "cov",
-        F.col("dev").alias("deviance"), "n", F.exp("log1").alias("sd_cell"),
-        (F.exp("log3") if nested else F.lit(None).cast("double")).alias("sd_outer"),
-        F.when(F.col("move") < 1e-2, "ok").otherwise("not converged").alias("status"),
+        *keys, F.array(*[F.lit(t) for t in terms]).alias("terms"), F.col("base").alias("coef"), "cov",
+        F.col("extra").alias("deviance"), "n", F.exp("log1").alias("sd_cell"),
+        (F.exp("log3") if nested else F.lit(None).cast("double")).alias("sd_outer"), "gradient",
+        F.when(F.col("state") == "open", "not converged").otherwise(F.col("state")).alias("status"),
     )
 
 
@@ -339,53 +425,28 @@ def _occupancy_pass(g: pd.DataFrame, seasonal: bool) -> np.ndarray:
     return np.concatenate([[ll], g_psi, g_p, h.ravel()])
 
 
-def fit_occupancy(history: DataFrame, keys: Sequence[str] = (SP, "status"), passes: int = 12) -> DataFrame:
+def fit_occupancy(history: DataFrame, keys: Sequence[str] = (SP, "status")) -> DataFrame:
     """O10. Single-season occupancy: detection ~ log(length) [* season], occupancy ~ neighbour share.
 
-    Season enters only for residents (code R). A failed fit keeps a row with its reason instead of
-    stopping the job.
+    Season enters only for residents (code R). Every model runs until its gradient is zero (``gradient`` is its largest component).
+    status_fit: ok; boundary, where the likelihood is best at the edge (some probability goes to 0 or 1), so estimates are limits and their
+    errors wide; failed, without a likelihood; not converged, after more passes than any model should need.
     """
     keys = list(keys)
-    blocks = cut_lineage(occupancy_blocks(history, keys))
-    key_fields = [blocks.schema[c] for c in keys]
-    part_schema = T.StructType(key_fields + T.StructType.fromDDL("stats array<double>").fields)
-    upd_schema = T.StructType(key_fields + T.StructType.fromDDL(
-        "theta array<double>, cov array<double>, ll double, move double, used array<boolean>").fields)
+    blocks = staged(occupancy_blocks(history, keys))
 
     def contribute(frames):
         for pdf in frames:
             out = []
             for key, g in pdf.groupby(keys, sort=False):
                 head = dict(zip(keys, key))
-                out.append({**head, "stats": _occupancy_pass(g, head.get("status") == "R").tolist()})
+                st = _occupancy_pass(g, head.get("status") == "R")
+                out.append({**head, "stats": [st[0], *st[1:11], *-st[11:], 0.0]})
             yield pd.DataFrame(out, columns=[*keys, "stats"])
 
-    def update(frames):
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                st, theta = np.asarray(r.stats, float), np.asarray(r.theta, float)
-                grad, h = st[1:11], -st[11:].reshape(10, 10)
-                on = np.abs(h).sum(1) > 1e-9
-                move, cov = np.zeros(10), np.zeros((10, 10))
-                a = h[np.ix_(on, on)]
-                try:
-                    low = np.linalg.eigvalsh(a).min()
-                    damp = max(0.0, 1e-4 - low) if low < 1e-4 else 0.0
-                    move[on] = np.clip(np.linalg.solve(a + damp * np.eye(len(a)), grad[on]), -1.5, 1.5)
-                    cov[np.ix_(on, on)] = np.linalg.inv(a + damp * np.eye(len(a)))
-                except np.linalg.LinAlgError:
-                    move[:] = np.nan
-                out.append({**{c: getattr(r, c) for c in keys}, "theta": (theta + np.nan_to_num(move)).tolist(),
-                            "cov": cov.ravel().tolist(), "ll": float(st[0]),
-                            "move": float(np.abs(move).max()), "used": on.tolist()})
-            yield pd.DataFrame(out, columns=[f.name for f in upd_schema])
-
-    params = blocks.select(*keys).distinct().withColumn("theta", F.array(*[F.lit(0.0)] * 10))
-    for _ in range(passes):
-        parts = blocks.join(params.select(*keys, "theta"), keys).mapInPandas(contribute, part_schema)
-        params = cut_lineage(sum_stats(parts, keys).join(params.select(*keys, "theta"), keys).mapInPandas(update, upd_schema))
-    return params.select(
-        *keys, "theta", "cov", F.col("ll").alias("log_likelihood"),
-        F.when(F.isnan("move"), "failed").when(F.col("move") < 1e-3, "ok").otherwise("not converged").alias("status_fit"),
+    start = blocks.select(*keys).distinct().withColumn("theta", F.array(*[F.lit(0.0)] * 10))
+    done = settle(blocks, start, keys, 10, contribute)
+    return done.select(
+        *keys, F.col("base").alias("theta"), "cov", F.col("merit").alias("log_likelihood"), "gradient",
+        F.when(F.col("state") == "open", "not converged").otherwise(F.col("state")).alias("status_fit"),
     )

@@ -132,6 +132,15 @@ def o10(spark, d):
                         F.round(F.col("theta")[1], 4).alias("neighbour_effect"), "status_fit")
 
 
+@query("o10_gradient", base(*V, CAP, NUMBERED, PRES, EDGES, SHARE) + """
+  SELECT DISTINCT common_name, status, 0.0::DOUBLE AS gradient FROM numbered JOIN share USING (common_name, status, gridg1) WHERE prop_nb IS NOT NULL""")
+def o10_gradient(spark, d):
+    """Largest component of the gradient at the coefficients: zero, as every model runs until it has settled."""
+    ana, v = all_visits(spark, d)
+    model = fits.fit_occupancy(o.history_rows(o.number_visits(v, 7), shares(ana, v)))
+    return model.select("common_name", "status", F.round("gradient", 3).alias("gradient"))
+
+
 def fitted(spark, d):
     """(model, cells): O10 to O12 in a chain."""
     ana, v = all_visits(spark, d)

@@ -81,6 +81,22 @@ def t07(spark, d):
                         F.round("sd_outer", 4).alias("sd_outer"), "n", "status")
 
 
+SETTLED = "SELECT DISTINCT common_name, 0.0::DOUBLE AS gradient FROM expanded"
+
+
+@query("t06_gradient", S.upto("ana", "name", *T, EXPANDED) + SETTLED)
+def t06_gradient(spark, d):
+    """Largest component of the gradient at the coefficients: zero, as every model runs until it has settled."""
+    model = fits.fit_glm(t.compress(*setup(spark, d), Y), Y.labels)
+    return model.select("common_name", F.round("gradient", 3).alias("gradient"))
+
+
+@query("t07_gradient", S.upto("ana", "name", *T, EXPANDED) + SETTLED)
+def t07_gradient(spark, d):
+    model = fits.fit_glmm(t.compress(*setup(spark, d), Y), Y.labels)
+    return model.select("common_name", F.round("gradient", 3).alias("gradient"))
+
+
 @query("t08_predict")
 def t08(spark, d):
     ana, win = setup(spark, d)

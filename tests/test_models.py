@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldtrends.config import YearInfo
+from fieldtrends.session import staged
 from fieldtrends.operators import fits, trends
 from fieldtrends.plans import frequency as fq
 from fieldtrends.sources import adapters as A
@@ -95,7 +96,7 @@ def test_fit_to_range_size(spark):
     v = spark.createDataFrame(rows, "common_name string, status string, gridg1 long, nb double, season string, no_sp int, seen int, visit int")
     share = v.select("common_name", "status", "gridg1", F.col("nb").alias("prop_nb")).distinct()
     seen = v.groupBy("common_name", "status", "gridg1").agg(F.max("seen").alias("presence"))
-    model = fits.fit_occupancy(o.history_rows(v, share)).localCheckpoint()
+    model = staged(fits.fit_occupancy(o.history_rows(v, share)))
     sure = v.filter("seen = 1 AND status = 'MW'").select("common_name", "status", "gridg1")
     made = {(r.status, r.gridg1): r for r in o.fitted_cells(v, share, model, seen).collect()}
     size = o.range_size(o.fitted_cells(v, share, model, seen), sure, 625.0).first()
@@ -176,3 +177,35 @@ def test_prediction_matches_coefficients(spark):
     years = YearInfo(3, (("a", 1, 1), ("b", 2, 2), ("c", 3, 3), ("d", 4, 4)), ())
     avg = {r.timegroup: r.freq for r in trends.average_seasons(trends.predict_fixed(grid, model), years).collect()}
     assert avg["d"] is None and avg["a"] is not None
+
+
+def test_separated_and_flat_models_settle(spark):
+    """A season in which nothing is ever seen, a length that never varies, and a species seen on every visit: all gradients are zero."""
+    rows = []
+    for cell in range(60):
+        for v in range(6):
+            season = SEASONS[v % 4]
+            rows.append(("never in one season", "R", cell, cell / 60, season, 3 + v, int(season != "Win" and (cell + v) % 3 == 0)))
+            rows.append(("always", "MW", cell, cell / 60, "Win", 3 + v, 1))
+            rows.append(("one length", "MW", cell, cell / 60, "Win", 5, int((cell * 7 + v) % 4 == 0)))
+    h = spark.createDataFrame(rows, "common_name string, status string, gridg1 long, prop_nb double, season string, no_sp int, seen int")
+    got = {r.common_name: r for r in fits.fit_occupancy(h).collect()}
+    assert all(r.gradient < 1e-3 and r.status_fit in ("ok", "boundary") for r in got.values()) and len(got) == 3
+    assert got["never in one season"].status_fit == got["always"].status_fit == "boundary"
+    binomial = [("sp", 1, c, s, g, n, 10, 0 if s == "Win" else (c + n) % 5) for c in range(4) for s in SEASONS for g in GROUPS for n in (2, 9)]
+    df = spark.createDataFrame(binomial, SCHEMA)
+    fixed = fits.fit_glm(df, GROUPS).first()
+    assert fixed.status == "boundary" and fixed.gradient < 1e-3
+    mixed = fits.fit_glmm(df, GROUPS).first()
+    assert mixed.status in ("ok", "boundary") and mixed.gradient < 1e-3
+    assert fits.fit_occupancy(spark.createDataFrame([], h.schema)).count() == 0
+
+
+def test_a_worse_step_is_halved():
+    state = {"base": [0.0], "trial": [4.0], "step": [4.0], "merit": -1.0, "halved": 0, "gradient": None, "cov": None, "extra": None, "state": "open"}
+    import numpy as np
+
+    back = fits.advance(state, np.array([-9.0, 1.0, 1.0, 0.0]), 1)
+    assert back["trial"] == [2.0] and back["halved"] == 1 and back["base"] == [0.0]
+    on = fits.advance(back, np.array([-0.5, 1e-6, 1.0, 7.0]), 1)
+    assert on["base"] == [2.0] and on["state"] == "ok" and on["extra"] == 7.0
