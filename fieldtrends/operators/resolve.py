@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldtrends.config import Z95, YearInfo
 from fieldtrends.functions import portable
-from fieldtrends.functions.maths import inv_cloglog, quotient_error
+from fieldtrends.functions.maths import (
+    inv_cloglog, let, line_at, line_error, line_of, mean_of, present, quantiles_of, quotient_error, spread_of, total,
+)
 
 SP = "common_name"
 DENOMINATOR_SHIFT = 104729
 PICK_SHIFT = 15485863
+INTERVAL = (0.025, 0.975)
 
 
 def year_info(complete: DataFrame, medians: DataFrame, bins: Sequence[tuple[str, int]], recent_from: int = 2015) -> YearInfo:
@@ -83,45 +86,34 @@ def with_draw_key(df: DataFrame) -> DataFrame:
     return df.withColumn("draw_key", bits * 1000 + (F.col("year") - 1900))
 
 
-def draw_id(draw: Column) -> Column:
-    return F.col("draw_key") * 10007 + draw
+def draw_ids(n: int) -> Column:
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))
+    return F.transform(numbers, lambda d: F.col("draw_key") * 10007 + d)
 
 
-def drawn_value(draw: Column, seed) -> Column:
-    """Back-transformed simulated frequency number ``draw`` of a (species, year)."""
-    return inv_cloglog(F.col("mean_trans") + F.col("se_trans") * portable.normal(draw_id(draw), seed))
+def drawn_values(n: int, seed, mean: str = "mean_trans", se: str = "se_trans") -> Column:
+    """The n back-transformed simulated frequencies of a (species, year), as an array: rows are never multiplied by draws."""
+    return F.transform(portable.normal_all(draw_ids(n), seed), lambda z: inv_cloglog(F.col(mean) + F.col(se) * z))
 
 
-def drawn_ratio(draw: Column, seed) -> Column:
+def drawn_ratios(n: int, seed) -> Column:
+    """The n simulated ratios to the baseline."""
     base_seed = (seed if isinstance(seed, Column) else F.lit(int(seed)).cast("bigint")) + DENOMINATOR_SHIFT
-    den = inv_cloglog(F.col("m1") + F.col("s1") * portable.normal(draw_id(draw), base_seed))
-    return drawn_value(draw, seed) / den
+    return F.zip_with(drawn_values(n, seed), drawn_values(n, base_seed, "m1", "s1"), lambda a, b: F.try_divide(a, b))
 
 
-def draws(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint")))
-
-
-def ratio_interval(
-    std: DataFrame, n: int, seed: int, lci: str = "lci_std", rci: str = "rci_std", by: Sequence[str] = (),
-) -> DataFrame:
-    """V05. Quantile interval of n simulated ratios to the baseline, in percent."""
-    sim = with_draw_key(std).withColumn("draw", draws(n)).withColumn("rat", drawn_ratio(F.col("draw"), seed))
-    q = sim.groupBy(*by, SP, "year").agg(F.percentile("rat", [0.025, 0.975]).alias("q"))
-    q = q.select(*by, SP, "year", (100 * F.col("q")[0]).alias(lci), (100 * F.col("q")[1]).alias(rci))
-    return std.join(q, [*by, SP, "year"], "left")
+def ratio_interval(std: DataFrame, n: int, seed: int, lci: str = "lci_std", rci: str = "rci_std") -> DataFrame:
+    """V05. Quantile interval of n simulated ratios to the baseline, in percent. Row by row: nothing is shuffled."""
+    q = with_draw_key(std).withColumn("__q", quantiles_of(drawn_ratios(n, seed), INTERVAL))
+    return q.withColumns({lci: 100 * F.get("__q", F.lit(0)), rci: 100 * F.get("__q", F.lit(1))}).drop("__q", "draw_key")
 
 
 def seed_sensitivity(std: DataFrame, n: int, seeds: Sequence[int], latest: int) -> DataFrame:
-    """V06. The interval of the latest year under several seeds, in one job."""
-    sim = (
-        with_draw_key(std).filter(F.col("year") == latest)
-        .withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])))
-        .withColumn("draw", draws(n)).withColumn("rat", drawn_ratio(F.col("draw"), F.col("seed")))
-    )
-    return sim.groupBy(SP, "seed").agg(
-        F.percentile("rat", [0.025, 0.975]).alias("q"), F.first("mean_std").alias("longtermmean")
-    ).select(SP, "seed", (100 * F.col("q")[0]).alias("longtermlci"), "longtermmean", (100 * F.col("q")[1]).alias("longtermrci"))
+    """V06. The interval of the latest year under several seeds."""
+    sim = with_draw_key(std).filter(F.col("year") == latest).withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])))
+    sim = sim.withColumn("q", quantiles_of(drawn_ratios(n, F.col("seed")), INTERVAL))
+    return sim.select(SP, "seed", (100 * F.get("q", F.lit(0))).alias("longtermlci"), F.col("mean_std").alias("longtermmean"),
+                      (100 * F.get("q", F.lit(1))).alias("longtermrci"))
 
 
 def latest_values(main: DataFrame, intervals: DataFrame, latest: int) -> DataFrame:
@@ -137,66 +129,70 @@ def zero_baseline_band(df: DataFrame, lci: str = "lci_std", mean: str = "mean_st
     return df.withColumns({c: F.when(base, F.col(mean)).otherwise(F.col(c)) for c in (lci, rci)})
 
 
+def value_arrays(std: DataFrame, n: int, seed: int = 1, value_seed: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """V09 in the form the later steps use: per (species, year) the n simulated values and n of them at random, as arrays."""
+    start = F.lit(seed + PICK_SHIFT).cast("bigint")
+    picks = F.transform(portable.uniform_all(draw_ids(n), start), lambda u: F.floor(u * n).cast("int"))
+    both = let(drawn_values(n, value_seed), lambda v: F.struct(v.alias("val"), F.transform(picks, lambda i: F.get(v, i)).alias("val_sample")))
+    return with_draw_key(std).select(*by, SP, "year", both.alias("__v")).select(*by, SP, "year", "__v.*")
+
+
 def resample_values(std: DataFrame, n: int, seed: int = 1, value_seed: int = 10) -> DataFrame:
-    """V09. Per (species, year, sim): the sim's own value and one of the n values at random.
+    """V09. Per (species, year, sim): the sim's own value and one of the n values at random."""
+    rows = value_arrays(std, n, seed, value_seed).select(SP, "year", F.posexplode(F.arrays_zip("val", "val_sample")).alias("i", "v"))
+    return rows.select(SP, "year", (F.col("i") + 1).cast("bigint").alias("sim"), "v.val", "v.val_sample")
 
-    Values are functions of (key, draw number), so the picked value is computed, not looked up.
-    """
-    sim = with_draw_key(std).withColumn("sim", draws(n))
-    pick = F.lit(1) + F.floor(portable.uniform(draw_id(F.col("sim")), F.lit(seed + PICK_SHIFT).cast("bigint")) * n)
-    sim = sim.withColumn("pick", pick.cast("bigint"))
-    return sim.select(
-        SP, "year", "sim", drawn_value(F.col("sim"), value_seed).alias("val"),
-        drawn_value(F.col("pick"), value_seed).alias("val_sample"),
-    )
+
+def by_species(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per species with its years in order and their arrays: the only shuffle of the slopes, of (species, year) rows."""
+    return values.groupBy(*by, SP).agg(F.array_sort(F.collect_list(F.struct("year", "val", "val_sample"))).alias("s"))
+
+
+def _sims(s: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(F.get(s, F.lit(0))["val"]) - 1)
 
 
-def _ols(df: DataFrame, keys: Sequence[str], y: Column) -> DataFrame:
-    """Sums of a straight-line fit of y on year per key, from built-in regression aggregates."""
-    d = df.withColumn("__y", y).withColumn("__x", F.col("year").cast("double"))
-    return d.groupBy(*keys).agg(
-        F.regr_count("__y", "__x").alias("n"), F.regr_sxx("__y", "__x").alias("sxx"),
-        F.regr_sxy("__y", "__x").alias("sxy"), F.regr_syy("__y", "__x").alias("syy"),
-        F.regr_avgx("__y", "__x").alias("xb"), F.regr_avgy("__y", "__x").alias("yb"),
-        F.array_sort(F.collect_set("year")).alias("years"),
-    ).withColumn("b", F.try_divide("sxy", "sxx")).withColumn(
-        "s2", F.try_divide(F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0)), F.col("n") - 2))
+def _points(s: Column, i: Column, y) -> Column:
+    return F.transform(s, lambda r: F.struct(r["year"].cast("double").alias("x"), y(F.get(r["val_sample"], i)).alias("y")))
 
 
-def _fit(x: Column) -> Column:
-    return F.col("yb") + F.col("b") * (x - F.col("xb"))
+def _slopes(s: Column, scale_se: bool) -> Column:
+    """Per simulation: the slope between the first two years relative to the first, in percent, and its error."""
+    x1, x2 = F.get(s, F.lit(0))["year"].cast("double"), F.get(s, F.lit(1))["year"].cast("double")
 
+    def one(line: Column) -> Column:
+        f1, e1 = line_at(line, x1), line_error(line, x1)
+        num, den, e2 = line_at(line, x2) - f1, F.abs(f1), line_error(line, x2)
+        error = quotient_error(num, den, F.sqrt(e1 * e1 + e2 * e2), e1) * (100.0 if scale_se else 1.0)
+        return F.struct((100 * F.try_divide(num, den)).alias("sl"), error.alias("slse"))
 
-def _fit_se(x: Column) -> Column:
-    dx = x - F.col("xb")
-    return F.sqrt(F.col("s2") * (1 / F.col("n") + F.try_divide(dx * dx, F.col("sxx"))))
+    return F.transform(_sims(s), lambda i: let(line_of(_points(s, i, lambda v: v)), one))
 
 
-def slope_interval(samples: DataFrame, by: Sequence[str] = (), scale_se: bool = False) -> DataFrame:
-    """V10. Slope between the first two fitted years relative to the first, in percent, over sims.
+def _interval(slopes: Column) -> Column:
+    """Mean slope over the simulations with its limits: spread of the slopes + root mean square of their errors."""
+    mean = mean_of(F.transform(slopes, lambda x: x["sl"]))
+    squares = present(F.transform(slopes, lambda x: x["slse"] * x["slse"]))
+    error = spread_of(F.transform(slopes, lambda x: x["sl"])) + F.sqrt(F.when(F.size(squares) > 0, total(squares) / F.size(slopes)))
+    return F.struct((mean - Z95 * error).alias("currentslopelci"), mean.alias("currentslopemean"), (mean + Z95 * error).alias("currentsloperci"))
+
+
+def slope_interval(values: DataFrame, by: Sequence[str] = (), scale_se: bool = False) -> DataFrame:
+    """V10. Slope between the first two fitted years relative to the first, in percent, over the simulations of ``value_arrays``.
 
     The error of the slope stays a fraction while the slope is a percentage, as in the source
     analysis; ``scale_se`` puts both on the percentage scale.
     """
-    o = _ols(samples, [*by, SP, "sim"], F.col("val_sample"))
-    x1, x2 = F.col("years")[0], F.try_element_at("years", F.lit(2))
-    o = o.withColumns({"f1": _fit(x1), "f2": _fit(x2), "e1": _fit_se(x1), "e2": _fit_se(x2)})
-    num, den = F.col("f2") - F.col("f1"), F.abs("f1")
-    num_se = F.sqrt(F.col("e1") * F.col("e1") + F.col("e2") * F.col("e2"))
-    o = o.select(*by, SP, (100 * F.try_divide(num, den)).alias("sl"),
-                 (quotient_error(num, den, num_se, F.col("e1")) * (100.0 if scale_se else 1.0)).alias("slse"))
-    m = o.groupBy(*by, SP).agg(
-        F.avg("sl").alias("currentslopemean"),
-        (F.stddev_samp("sl") + F.sqrt(F.sum(F.col("slse") * F.col("slse")) / F.count(F.lit(1)))).alias("se_slope"))
-    half = Z95 * F.col("se_slope")
-    return m.select(*by, SP, (F.col("currentslopemean") - half).alias("currentslopelci"), "currentslopemean",
-                    (F.col("currentslopemean") + half).alias("currentsloperci"))
-
-
-def slope_sensitivity(samples: DataFrame, years: Sequence[int]) -> DataFrame:
+    rows = by_species(values, by)
+    return rows.select(*by, SP, let(_slopes(F.col("s"), scale_se), _interval).alias("r")).select(*by, SP, "r.*")
+
+
+def slope_sensitivity(values: DataFrame, years: Sequence[int]) -> DataFrame:
     """V11. The slope interval with each year left out in turn (long form)."""
-    dropped = F.explode(F.array(*[F.lit(int(y)) for y in years]))
-    return slope_interval(samples.withColumn("dropped", dropped).filter("year <> dropped"), ["dropped"])
+    rows = by_species(values).withColumn("dropped", F.explode(F.array(*[F.lit(int(y)) for y in years])))
+    rest = let(F.filter("s", lambda r: r["year"] != F.col("dropped")), lambda s: let(_slopes(s, False), _interval))
+    left = rows.filter((F.size("s") > 1) | (F.get("s", F.lit(0))["year"] != F.col("dropped")))
+    return left.select("dropped", SP, rest.alias("r")).select("dropped", SP, "r.*")
 
 
 def sensitivity_wide(long: DataFrame, years: Sequence[int]) -> DataFrame:
@@ -208,17 +204,30 @@ def sensitivity_wide(long: DataFrame, years: Sequence[int]) -> DataFrame:
     return long.groupBy(SP).agg(*aggs)
 
 
-def project(samples: DataFrame, future: Sequence[int], start: int) -> DataFrame:
+def project(values: DataFrame, future: Sequence[int], start: int) -> DataFrame:
     """V12. Exponential projection as a percentage of the first year's simulated value, mean over sims."""
-    o = _ols(samples, [SP, "sim"], F.log("val_sample"))
-    first = samples.filter(F.col("year") >= start).groupBy(SP, "sim").agg(F.min_by("val", "year").alias("v1"))
-    p = o.join(first, [SP, "sim"]).withColumn("year", F.explode(F.array(*[F.lit(int(y)) for y in future])))
-    m, half = _fit(F.col("year")), Z95 * _fit_se(F.col("year"))
-    return p.select(
-        SP, "year", (100 * F.exp(m - half) / F.col("v1")).alias("l"), (100 * F.exp(m) / F.col("v1")).alias("m"),
-        (100 * F.exp(m + half) / F.col("v1")).alias("r"),
-    ).groupBy(SP, "year").agg(
-        F.avg("l").alias("lci_ext_std"), F.avg("m").alias("mean_ext_std"), F.avg("r").alias("rci_ext_std"))
+    rows = by_species(values).withColumn("first", F.get(F.filter("s", lambda r: r["year"] >= start), F.lit(0))["val"]).filter("first IS NOT NULL")
+    ahead = F.array(*[F.lit(int(y)) for y in future])
+
+    def one(i: Column) -> Column:
+        def limits(line: Column) -> Column:
+            def at(year: Column) -> Column:
+                m, half, v1 = line_at(line, year), Z95 * line_error(line, year), F.get("first", i)
+                return F.struct(*[(100 * F.exp(x) / v1).alias(c) for x, c in ((m - half, "l"), (m, "m"), (m + half, "r"))])
+
+            return F.transform(ahead, at)
+
+        return let(line_of(_points(F.col("s"), i, F.log)), limits)
+
+    rows = rows.select(SP, F.transform(_sims(F.col("s")), one).alias("p"))
+
+    def mean(k: int, name: str) -> Column:
+        return mean_of(F.transform("p", lambda x: F.get(x, F.lit(k))[name]))
+
+    points = F.array(*[
+        F.struct(F.lit(int(y)).alias("year"), mean(k, "l").alias("lci_ext_std"), mean(k, "m").alias("mean_ext_std"), mean(k, "r").alias("rci_ext_std"))
+        for k, y in enumerate(future)])
+    return rows.select(SP, F.explode(points).alias("e")).select(SP, "e.*")
 
 
 def combine_series(frame: DataFrame, trends: DataFrame, long_term: DataFrame, recent: DataFrame, projected: DataFrame) -> DataFrame:

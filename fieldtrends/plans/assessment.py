@@ -153,7 +153,7 @@ class Assessment:
             raw = self.raw_trends(windows)
             self.check(windows)
             std = resolve.standardise(resolve.combine_sims(raw, ["mask"]), by=["mask"])
-            return resolve.ratio_interval(std, self.i.interval_draws, 10, by=["mask"])
+            return resolve.ratio_interval(std, self.i.interval_draws, 10)
 
         return self.stage(f"resolved_{self.model}", build, ["mask"], windows)
 

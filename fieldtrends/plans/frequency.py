@@ -8,6 +8,9 @@ from fieldtrends.operators import classify, qualify, resample, resolve, trends
 from fieldtrends.sources import adapters as A
 
 
+DRAWS = 1000
+
+
 def windows_for(spark: SparkSession, d: str) -> DataFrame:
     """Fixture windows: every third species is analysed over the recent years only."""
     m = A.species_map(spark, d)
@@ -36,7 +39,7 @@ def classified_trends(spark: SparkSession, d: str) -> DataFrame:
     A species without an estimate in the latest year keeps NULL values and has insufficient data.
     """
     std = resolve.standardise(resolve.combine_sims(raw_trends(spark, d)))
-    last = resolve.ratio_interval(std, 200, 10).filter(F.col("year") == A.YEARS.latest_year)
+    last = resolve.ratio_interval(std, DRAWS, 10).filter(F.col("year") == A.YEARS.latest_year)
     main = last.select("common_name", F.col("lci_std").alias("longtermlci"),
                        F.col("mean_std").alias("longtermmean"), F.col("rci_std").alias("longtermrci"))
     every = A.species_map(spark, d).select("common_name").distinct()

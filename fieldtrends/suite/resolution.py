@@ -14,7 +14,7 @@ from fieldtrends.suite.registry import query
 from fieldtrends.suite.trend import RAWS
 
 Y = A.YEARS
-N = 200
+N = 1000
 SEED = 10
 
 
@@ -27,9 +27,9 @@ def sql_rnd(cols, digits=6):
 
 
 INV = "(1 - exp(-exp({})))"
-COMB = f"""comb0 AS (SELECT common_name, timegroup, year, CASE WHEN count(freq) = count(*) THEN avg(freq) END AS mean_trans,
+COMB = f"""comb0 AS MATERIALIZED (SELECT common_name, timegroup, year, CASE WHEN count(freq) = count(*) THEN avg(freq) END AS mean_trans,
     CASE WHEN count(freq) = count(*) THEN stddev_samp(freq) + sqrt(sum(se * se) / count(*)) END AS se_trans FROM raw GROUP BY 1, 2, 3),
-comb AS (SELECT *, {INV.format('mean_trans - 1.96 * se_trans')} AS lci, {INV.format('mean_trans')} AS mean,
+comb AS MATERIALIZED (SELECT *, {INV.format('mean_trans - 1.96 * se_trans')} AS lci, {INV.format('mean_trans')} AS mean,
     {INV.format('mean_trans + 1.96 * se_trans')} AS rci FROM comb0)"""
 
 
@@ -47,19 +47,16 @@ def keyed(src):
     return f"""{src}k AS (SELECT s.*, ('0x' || substr(md5(common_name), 1, 7))::BIGINT * 1000 + (year - 1900) AS draw_key FROM {src} s)"""
 
 
-def normal_sql(key, seed):
-    u1, u2 = portable.sql_uniform(key, seed), portable.sql_uniform(key, f"({seed}) + 7919")
-    return f"(sqrt(-2.0::DOUBLE * ln({u1})) * cos(2 * pi() * {u2}))"
-
-
-def drawn_sql(seed, src, n=N, extra="", seed_col=None):
-    """Simulated values and ratios of a standardised table."""
+def drawn_sql(seed, src, n=N, extra="", seed_col=None, pick=False):
+    """Simulated values and ratios of a standardised table; with ``pick``, the number of a value at random."""
     s = seed_col or str(seed)
-    key = "(draw_key * 10007 + draw)"
-    return f"""{src}d AS (SELECT *, val / {INV.format(f'm1 + s1 * z2')} AS rat FROM (
-    SELECT *, {INV.format(f'mean_trans + se_trans * z1')} AS val FROM (
-      SELECT *, {normal_sql(key, s)} AS z1, {normal_sql(key, f'{s} + 104729')} AS z2
-      FROM {src}k CROSS JOIN (SELECT unnest(range(1, {n + 1})) AS draw) {extra})))"""
+    seeds = {"u1": s, "u2": f"{s} + 7919", "u3": f"{s} + 104729", "u4": f"{s} + 104729 + 7919"} | ({"u5": "1 + 15485863"} if pick else {})
+    rows = f"(SELECT * FROM {src}k CROSS JOIN (SELECT unnest(range(1, {n + 1})) AS draw) {extra})"
+    more = f", 1 + CAST(floor(u5 * {n}) AS BIGINT) AS pick" if pick else ""
+    return f"""{src}d AS MATERIALIZED (SELECT *, val / {INV.format('m1 + s1 * z2')} AS rat FROM (
+    SELECT *, {INV.format('mean_trans + se_trans * z1')} AS val FROM (
+      SELECT *, sqrt(-2.0::DOUBLE * ln(u1)) * cos(2 * pi() * u2) AS z1, sqrt(-2.0::DOUBLE * ln(u3)) * cos(2 * pi() * u4) AS z2{more}
+      FROM ({portable.sql_uniforms('draw_key * 10007 + draw', seeds, rows)}))))"""
 
 
 def combined(spark, d):
@@ -130,14 +127,14 @@ def v05(spark, d):
     return rnd(interval(spark, d).select("common_name", "year", *CI), CI)
 
 
-SENS = drawn_sql(None, "lng", 100, "CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS seed) WHERE year = 2000", "seed")
+SENS = drawn_sql(None, "lng", N, "CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS seed) WHERE year = 2000", "seed")
 
 
 @query("v06_seed_sensitivity", base(LONG, keyed("lng"), SENS) + """
   SELECT common_name, seed::BIGINT AS seed, round(100 * quantile_cont(rat, 0.025), 6) AS longtermlci, round(min(mean_std), 6) AS longtermmean,
     round(100 * quantile_cont(rat, 0.975), 6) AS longtermrci FROM lngd GROUP BY 1, 2""")
 def v06(spark, d):
-    out = v.seed_sensitivity(v.standardise(combined(spark, d)), 100, [1, 2, 3, 4, 5], Y.latest_year)
+    out = v.seed_sensitivity(v.standardise(combined(spark, d)), N, [1, 2, 3, 4, 5], Y.latest_year)
     return rnd(out, ["longtermlci", "longtermmean", "longtermrci"])
 
 
@@ -158,20 +155,20 @@ def v08(spark, d):
     return rnd(v.zero_baseline_band(interval(spark, d)).select("common_name", "year", *CI), CI)
 
 
-SAMPLES = f"""samples AS (SELECT a.common_name, a.year, a.draw AS sim, a.val, b.val AS val_sample FROM (SELECT *,
-      1 + CAST(floor({portable.sql_uniform('draw_key * 10007 + draw', '1 + 15485863')} * {N}) AS BIGINT) AS pick FROM recd) a
+SAMPLES = """samples AS MATERIALIZED (SELECT a.common_name, a.year, a.draw AS sim, a.val, b.val AS val_sample FROM recd a
     JOIN recd b ON b.common_name = a.common_name AND b.year = a.year AND b.draw = a.pick)"""
-RECDRAWS = [RECENT, keyed("rec"), drawn_sql(SEED, "rec"), SAMPLES]
+RECDRAWS = [RECENT, keyed("rec"), drawn_sql(SEED, "rec", pick=True), SAMPLES]
 
 
 def samples(spark, d):
     std = v.standardise(combined(spark, d), Y.recent_start, "mean_std_recent")
-    return v.resample_values(std, N, 1, SEED)
+    return v.value_arrays(std, N, 1, SEED)
 
 
 @query("v09_resample_values", base(*RECDRAWS) + "SELECT common_name, year, sim, round(val, 9) AS val, round(val_sample, 9) AS val_sample FROM samples")
 def v09(spark, d):
-    return rnd(samples(spark, d), ["val", "val_sample"], 9)
+    std = v.standardise(combined(spark, d), Y.recent_start, "mean_std_recent")
+    return rnd(v.resample_values(std, N, 1, SEED), ["val", "val_sample"], 9)
 
 
 def slopes_sql(name, src, by):
@@ -250,7 +247,7 @@ def v13(spark, d):
     std = v.standardise(c, Y.recent_start, "mean_std_recent")
     rec = v.zero_baseline_band(
         v.ratio_interval(std, N, SEED, "lci_std_recent", "rci_std_recent"), "lci_std_recent", "mean_std_recent", "rci_std_recent")
-    proj = v.project(v.resample_values(std, N, 1, SEED), Y.projection_years, Y.recent_start)
+    proj = v.project(v.value_arrays(std, N, 1, SEED), Y.projection_years, Y.recent_start)
     return rnd(v.combine_series(v.framework(c, Y), c, lng, rec, proj).select("common_name", "timegroup", "year", *ALL), ALL, 4)
 
 

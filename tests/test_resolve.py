@@ -31,8 +31,8 @@ def test_slope_matches_a_plain_fit(spark):
     rng = np.random.default_rng(1)
     years = np.arange(2000, 2005)
     y = 0.2 + 0.01 * (years - 2000) + rng.normal(0, 0.004, (6, 5))
-    rows = [("s", int(t), sim, float(val)) for sim in range(6) for t, val in zip(years, y[sim])]
-    df = spark.createDataFrame(rows, "common_name string, year int, sim int, val_sample double")
+    rows = [("s", int(t), y[:, k].tolist(), y[:, k].tolist()) for k, t in enumerate(years)]
+    df = spark.createDataFrame(rows, "common_name string, year int, val array<double>, val_sample array<double>")
     got = v.slope_interval(df).first()
     sl, se = [], []
     for sim in range(6):
@@ -47,6 +47,12 @@ def test_slope_matches_a_plain_fit(spark):
     width = np.std(sl, ddof=1) + np.sqrt(np.mean(np.square(se)))
     assert np.allclose([got.currentslopelci, got.currentslopemean, got.currentsloperci],
                        [np.mean(sl) - 1.96 * width, np.mean(sl), np.mean(sl) + 1.96 * width])
+    # the projection: a straight line through the logarithms, relative to the simulation's own first value
+    ahead = v.project(df, [2006, 2007], 2001).orderBy("year").collect()
+    lines = [np.polyfit(years, np.log(y[sim]), 1) for sim in range(6)]
+    want = [np.mean([100 * np.exp(np.polyval(line, t)) / y[sim, 1] for sim, line in enumerate(lines)]) for t in (2006, 2007)]
+    assert np.allclose([r.mean_ext_std for r in ahead], want)
+    assert "Exchange" not in v.ratio_interval(v.with_draw_key(df).select("common_name", "year", *[F.lit(0.1).alias(c) for c in ("mean_trans", "se_trans", "m1", "s1")]), 9, 1)._jdf.queryExecution().executedPlan().toString()
     wide = v.sensitivity_wide(v.slope_sensitivity(df, YEARS.recent_years), YEARS.recent_years)
     assert len(wide.columns) == 1 + 3 * 5 and wide.count() == 1
 
