@@ -58,6 +58,16 @@ def normal_all(keys: Column, seed, shift: int = 7919) -> Column:
                       lambda u, v: F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0 * math.pi) * v))
 
 
+def uniform_of(key, seed):
+    """``uniform`` for arrays of 64-bit integers inside a task."""
+    import numpy as np
+
+    a = np.fmod(key, PRIME) * MULTIPLIER % PRIME
+    b = (a * a + seed * SEED_STEP + 12345) % PRIME
+    c = (b * b + a) % PRIME
+    return ((c * c + b) % PRIME + 0.5) / PRIME
+
+
 def sql_hash31(key: str, seed: str) -> str:
     a = f"((({key}) % {PRIME}) * {MULTIPLIER} % {PRIME})"
     b = f"(({a} * {a} + CAST({seed} AS BIGINT) * {SEED_STEP} + 12345) % {PRIME})"

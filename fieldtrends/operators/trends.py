@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldtrends.config import SEASON_NAMES, YearInfo
 from fieldtrends.functions.nulls import null_safe_join
+from fieldtrends.functions.positions import by_replicate, summed, united
 from fieldtrends.operators.clean import with_season
 
 SP = "common_name"
@@ -135,6 +136,33 @@ def compress(
     return out.withColumn("k", F.coalesce("k", F.lit(0)).cast("bigint"))
 
 
+def compress_replicates(
+    obs: DataFrame, sets: DataFrame, windows: DataFrame, years: YearInfo, n: int, by: Sequence[str] = (), attrs: Sequence[str] = DESIGN,
+) -> DataFrame:
+    """T05 for ``n`` replicates at once: ``compress`` of every replicate, as rows (sim, species, attributes) -> (n, k).
+
+    ``sets`` (by, group_id, sims) are the replicates of each checklist. Trials, ranges and detections are summed position by
+    position, so the rows that are read and shuffled are those of one compression; only the result has a row per replicate.
+    """
+    attrs, by = list(attrs), list(by)
+    place = [c for c in ("gridg3", "month", "era") if c not in attrs]
+    sets = sets.select(*by, "group_id", "sims")
+    full = with_season(checklists(obs, years).filter("all_species_reported = 1"))
+    trials = summed(full.join(sets, "group_id"), [*by, *attrs, *place], n, name="trials")
+    complete = F.col("all_species_reported") == 1
+    hits = (
+        with_season(window_rows(obs, windows, years))
+        .groupBy(SP, *attrs, *place, "min_era", "group_id").agg(F.max(F.when(complete, detected()).otherwise(0)).alias("seen"))
+        .join(sets, "group_id")
+    )
+    own = united(hits, [*by, SP, "gridg3", "month", "min_era"])
+    ranged = own.join(trials, [*by, "gridg3", "month"]).filter(F.col("era") >= F.col("min_era"))
+    tried = summed(ranged, [*by, SP, *attrs], n, weights="trials", name="n")
+    found = summed(hits.filter("seen = 1"), [*by, SP, *attrs], n, name="k")
+    out = by_replicate(null_safe_join(tried, found, [*by, SP, *attrs], "left"), ["n", "k"], n)
+    return out.filter("n > 0")
+
+
 def reporting_frequency(binomial: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Link-scale reporting frequency and its standard error per time group, no model fitted.
 

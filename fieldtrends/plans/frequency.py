@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldtrends.operators import classify, qualify, resample, resolve, trends
+from fieldtrends.session import staged
 from fieldtrends.sources import adapters as A
 
 
-DRAWS = 1000
+SIMS, DRAWS = 1000, 1000
 
 
 def windows_for(spark: SparkSession, d: str) -> DataFrame:
@@ -24,11 +25,11 @@ def everything(spark: SparkSession, d: str) -> DataFrame:
     return A.species_map(spark, d).select("common_name", F.lit(trends.ERA_ALL).alias("min_era"))
 
 
-def raw_trends(spark: SparkSession, d: str, sims: int = 10, seed: int = 42) -> DataFrame:
+def raw_trends(spark: SparkSession, d: str, sims: int = SIMS, seed: int = 42) -> DataFrame:
     """Replicated reporting frequencies: (sim, species, time group, year, freq, se), NULL where a replicate has no estimate."""
     ana = A.analysis_table(spark, d, reuse=True)
-    reps = resample.replicates(qualify.sampling_frame(ana), sims, seed)
-    rows = trends.compress(resample.apply_replicates(ana, reps), everything(spark, d), A.YEARS, ["sim"], attrs=["timegroup"])
+    sets = staged(resample.replicate_sets(qualify.sampling_frame(ana), sims, seed))
+    rows = trends.compress_replicates(ana, sets, everything(spark, d), A.YEARS, sims, attrs=["timegroup"])
     labels = qualify.label_dim(ana, A.YEARS).select("timegroup", F.col("tg_year").alias("year"))
     return trends.complete_sims(trends.reporting_frequency(rows, ["sim"]), sims, labels)
 

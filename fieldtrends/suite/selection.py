@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrends.functions import portable
+from fieldtrends.functions import portable, positions
 from fieldtrends.operators import qualify as q, resample, spatial
 from fieldtrends.sources import adapters as A
 from fieldtrends.suite import tables as S
@@ -231,7 +231,7 @@ FRAME = """frame AS (SELECT DISTINCT locality_id, group_id, month, timegroup, lo
 NUMBERED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY locality_id, month, timegroup ORDER BY no % 32, no) AS rn,
     count(*) OVER (PARTITION BY locality_id, month, timegroup) AS size,
     min(no) OVER (PARTITION BY locality_id, month, timegroup) AS gkey FROM frame)"""
-NSIM = 10
+NSIM = 1000
 REPS = f"""reps AS (SELECT s.sim, n.locality_id, n.month, n.timegroup, n.group_id FROM numbered n
   JOIN (SELECT unnest(range(1, {NSIM + 1})) AS sim) s ON n.rn = 1 + CAST(floor({portable.sql_uniform('n.gkey * 4099 + s.sim', '42')} * n.size) AS BIGINT))"""
 
@@ -243,14 +243,20 @@ def r01(spark, d):
     return resample.sample_one(q.sampling_frame(A.analysis_table(spark, d)), seed=42)
 
 
-@query("r02_replicates", S.upto("ana", "name", FRAME, NUMBERED, REPS) + "SELECT sim, locality_id, month, timegroup, group_id FROM reps")
+@query("r02_replicates", S.upto("ana", "name", FRAME, NUMBERED, REPS) + """
+  SELECT locality_id, month, timegroup, group_id, count(*)::INTEGER AS times, md5(string_agg(sim::VARCHAR, ',' ORDER BY sim)) AS sims FROM reps GROUP BY 1, 2, 3, 4""")
 def r02(spark, d):
-    return resample.replicates(q.sampling_frame(A.analysis_table(spark, d)), NSIM, seed=42)
+    """The replicates that drew each checklist: their number and a digest of the list."""
+    sets = resample.replicate_sets(q.sampling_frame(A.analysis_table(spark, d)), NSIM, seed=42)
+    drawn = resample.replicate_numbers(sets, NSIM)
+    return drawn.select("locality_id", "month", "timegroup", "group_id", F.size("sims").alias("times"),
+                        F.md5(F.array_join(F.transform("sims", lambda x: x.cast("string")), ",")).alias("sims"))
 
 
 @query("r03_apply_replicates", S.upto("ana", "name", FRAME, NUMBERED, REPS) + """
   SELECT sim, common_name, a.timegroup, count(*) AS n FROM ana a JOIN reps USING (group_id) GROUP BY 1, 2, 3""")
 def r03(spark, d):
     ana = A.analysis_table(spark, d, reuse=True)
-    reps = resample.replicates(q.sampling_frame(ana), NSIM, seed=42)
-    return resample.apply_replicates(ana, reps).groupBy("sim", "common_name", "timegroup").agg(F.count(F.lit(1)).alias("n"))
+    sets = resample.replicate_sets(q.sampling_frame(ana), NSIM, seed=42)
+    counts = positions.summed(resample.apply_sets(ana, sets), ["common_name", "timegroup"], NSIM, name="n")
+    return positions.by_replicate(counts, ["n"], NSIM)
