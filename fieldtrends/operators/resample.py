@@ -89,7 +89,7 @@ def replicates(
 ) -> DataFrame:
     """R02 as rows (sim, keys, group): for jobs that treat every replicate by itself."""
     rows = replicate_numbers(replicate_sets(frame, n, seed, keys, group, salts), n)
-    return rows.select(F.explode("sims").cast("bigint").alias("sim"), *keys, group)
+    return rows.select(F.explode(F.col("sims").cast("array<bigint>")).alias("sim"), *keys, group)
 
 
 def apply_sets(obs: DataFrame, sets: DataFrame, group: str = "group_id") -> DataFrame:

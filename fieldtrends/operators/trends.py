@@ -177,15 +177,15 @@ def reporting_frequency(binomial: DataFrame, by: Sequence[str] = ()) -> DataFram
     )
 
 
-def complete_sims(raw: DataFrame, sims: int, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def complete_sims(raw: DataFrame, sims: int, labels: DataFrame, by: Sequence[str] = (), every: DataFrame | None = None) -> DataFrame:
     """Every species with every simulation and time group; what a simulation did not estimate is NULL.
 
-    ``labels`` (timegroup, year) are a few rows and the simulation numbers an array, so species rows are
+    The species are those of ``every``, or else those with any estimate. ``labels`` (timegroup, year) are a few rows and the simulation numbers an array, so species rows are
     exploded against fixed sets.
     """
     points = [F.struct(F.lit(r["timegroup"]).alias("timegroup"), F.lit(r["year"]).alias("year")) for r in labels.select("timegroup", "year").distinct().collect()]
     full = (
-        raw.select(*by, SP).distinct()
+        (raw if every is None else every).select(*by, SP).distinct()
         .withColumn("sim", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(sims).cast("bigint"))))
         .withColumn("p", F.explode(F.array(*points))).select(*by, SP, "sim", "p.timegroup", "p.year")
     )

@@ -46,6 +46,15 @@ def done(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def content(table: DataFrame | None) -> tuple | None:
+    """Names, types and a digest of the rows of a small table (rules, windows), the same in every session and for any order of rows."""
+    if table is None:
+        return None
+    row = F.xxhash64(F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in sorted(table.columns)]), {"ignoreNullFields": "false"}))
+    got = table.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64(row).cast("decimal(38,0)")).alias("t")).first()
+    return sorted(table.dtypes), got["n"], str(got["s"]), str(got["t"])
+
+
 class Assessment:
     """Runs the stages; ``self.stage`` writes once and reads back the pruned table."""
 
@@ -54,14 +63,16 @@ class Assessment:
             raise ValueError(f"unknown model {model!r}")
         self.i, self.root, self.model = inputs, root.rstrip("/"), model
         self.spark = inputs.records.sparkSession
+        self.facts: list | None = None
 
     def stage(self, name: str, build: Callable[[], DataFrame], by: Sequence[str] = (), windows: DataFrame | None = None) -> DataFrame:
-        """A stage is found again only for the same parameters; from the model rows on, for the same model and
-        windows too. The input tables belong to the root: other tables need another root."""
-        i = self.i
-        facts = [i.years, i.order, sorted(i.grid_sizes.items()), sorted(i.mask_flags or {}), i.sims, i.seed, i.interval_draws, i.vagrant_years, i.completeness]
-        if windows is not None:
-            facts += [self.model, windows.semanticHash()]
+        """A stage is found again only for the same parameters and rules; from the model rows on, for the same model and windows too, by
+        their rows. The record tables belong to the root: other records need another root."""
+        if self.facts is None:
+            i = self.i
+            self.facts = [i.years, list(i.order), sorted(i.grid_sizes.items()), sorted((k, str(v)) for k, v in (i.mask_flags or {}).items()), i.sims, i.seed,
+                          i.interval_draws, i.vagrant_years, i.completeness, content(i.lumps), content(i.mistake_rules), [str(r) for r in i.region_rules], sorted(i.banned)]
+        facts = self.facts + ([] if windows is None else [self.model, content(windows)])
         path = f"{self.root}/{name}-{hashlib.sha256(repr(facts).encode()).hexdigest()[:16]}"
         if not done(self.spark, path):
             w = build().write.mode("overwrite")
@@ -82,19 +93,28 @@ class Assessment:
 
         return self.stage("records", build, ["year"])
 
-    def analysis(self) -> DataFrame:
-        """Records on land with grids, tags, time groups and checked completeness, vagrants split off."""
+    def located(self) -> DataFrame:
+        """Records on land with grids, tags and time groups."""
         def build() -> DataFrame:
             rec = self.records()
             pts = spatial.checklist_points(rec, list(self.i.order))
             tags = spatial.tag_points(pts, self.i.polygons, {"pa_name": "pa", "land": "land"}, self.i.grid_sizes)
             tags = spatial.first_match(tags, [F.col("pa_name").asc_nulls_last(), F.col("land").asc_nulls_last()])
             df = clean.effort_filter(spatial.land_only_with_habitat(rec, tags, self.i.habitat))
-            df = clean.with_timegroup(df, self.i.years)
-            kept, _ = clean.split_vagrants(df, self.i.species_map, self.i.vagrant_years, self.i.years.recent_start)
-            return clean.check_completeness(kept, list(self.i.order), self.i.completeness)
+            return clean.with_timegroup(df, self.i.years)
+
+        return self.stage("located", build, ["year"])
 
-        return self.stage("analysis", build, ["year"])
+    def _split(self) -> tuple[DataFrame, DataFrame]:
+        return clean.split_vagrants(self.located(), self.i.species_map, self.i.vagrant_years, self.i.years.recent_start)
+
+    def vagrants(self) -> DataFrame:
+        """Records set apart as vagrants, which the range statuses need."""
+        return self.stage("vagrants", lambda: self._split()[1])
+
+    def analysis(self) -> DataFrame:
+        """Located records with checked completeness, vagrants split off."""
+        return self.stage("analysis", lambda: clean.check_completeness(self._split()[0], list(self.i.order), self.i.completeness), ["year"])
 
     def by_mask(self) -> DataFrame:
         return spatial.apply_mask(self.analysis(), self.i.mask_flags or {})
@@ -102,23 +122,41 @@ class Assessment:
     def time_bins(self) -> DataFrame:
         return self.stage("time_bins", lambda: qualify.time_bins(self.by_mask(), self.i.years, ["mask"]), ["mask"])
 
-    def replicates(self) -> DataFrame:
-        """Checklist ids per mask and replicate: ids are the stored form, never the subsets."""
+    def replicate_sets(self) -> DataFrame:
+        """The replicates that drew a checklist, per mask, one bit each: the stored form is never larger than the checklists."""
         def build() -> DataFrame:
             frame = qualify.sampling_frame(self.by_mask(), ["mask"])
-            return resample.replicates(frame, self.i.sims, self.i.seed, ["mask", *resample.KEYS])
+            return resample.replicate_sets(frame, self.i.sims, self.i.seed, ["mask", *resample.KEYS])
+
+        return self.stage("replicate_sets", build, ["mask"])
 
-        return self.stage("replicates", build, ["mask"])
+    def replicates(self) -> DataFrame:
+        """Checklist ids per mask and replicate, as rows."""
+        rows = resample.replicate_numbers(self.replicate_sets(), self.i.sims)
+        return rows.withColumn("sim", F.explode(F.col("sims").cast("array<bigint>"))).drop("sims")
 
     def binomial(self, windows: DataFrame) -> DataFrame:
         """Compressed model rows for all (mask, replicate, species)."""
         def build() -> DataFrame:
-            sampled = self.analysis().join(self.replicates().select("mask", "sim", "group_id"), "group_id")
             attrs = ["timegroup"] if self.model == "frequency" else list(trends.DESIGN)
-            return trends.compress(sampled, windows, self.i.years, ["mask", "sim"], attrs)
+            return trends.compress_replicates(self.analysis(), self.replicate_sets(), windows, self.i.years, self.i.sims, ["mask"], attrs)
 
         return self.stage("binomial", build, ["mask"], windows)
 
+    def listed(self, windows: DataFrame) -> DataFrame:
+        """Every listed species in every mask that has checklists."""
+        masks = F.array(*[F.lit(r["mask"]) for r in self.replicate_sets().select("mask").distinct().collect()])  # some dozens
+        return windows.select("common_name").distinct().withColumn("mask", F.explode(masks))
+
+    def fits(self, windows: DataFrame) -> DataFrame:
+        """The fitted models with their status and gradient, failed ones included: the log of the fits."""
+        fit = fits.fit_glm if self.model == "fixed" else fits.fit_glmm
+        return self.stage(f"fits_{self.model}", lambda: fit(self.binomial(windows), self.i.years.labels, ["mask", "sim"]), ["mask"], windows)
+
+    def fit_stats(self, windows: DataFrame) -> DataFrame:
+        """Records used per mask and species."""
+        return self.stage("fit_stats", lambda: trends.fit_stats(self.by_mask(), windows, self.i.years, ["mask"]), ["mask"], windows)
+
     def raw_trends(self, windows: DataFrame) -> DataFrame:
         """Estimates per (mask, replicate, species, time group); NULL where a replicate has none, a failed fit included."""
         by = ["mask", "sim"]
@@ -126,19 +164,17 @@ class Assessment:
         def build() -> DataFrame:
             rows = self.binomial(windows)
             labels = qualify.label_dim(rows, self.i.years).select("timegroup", F.col("tg_year").alias("year"))
+            every = self.listed(windows)
             if self.model == "frequency":
-                return trends.complete_sims(trends.reporting_frequency(rows, by), self.i.sims, labels, ["mask"])
+                return trends.complete_sims(trends.reporting_frequency(rows, by), self.i.sims, labels, ["mask"], every)
             sampled = self.analysis().join(self.replicates().select("mask", "sim", "group_id"), "group_id")
             lengths = trends.typical_list_length(sampled, windows, self.i.years, by)
-            if self.model == "fixed":
-                model, scale, extra = fits.fit_glm(rows, self.i.years.labels, by), 1.0, 0.0
-            else:
-                # half-width of a 48 % normal interval, residual variance of the link scale included
-                model, scale, extra = fits.fit_glmm(rows, self.i.years.labels, by), 0.6433454, 1.0
-            model = model.filter("status = 'ok'").select(*by, "common_name", "terms", "coef", "cov")
+            # mixed: half-width of a 48 % normal interval, residual variance of the link scale included
+            scale, extra = (1.0, 0.0) if self.model == "fixed" else (0.6433454, 1.0)
+            model = self.fits(windows).filter("status = 'ok'").select(*by, "common_name", "terms", "coef", "cov")
             pred = trends.predict_fixed(trends.prediction_grid(rows, lengths, by), model, by, scale, extra)
             found = trends.average_seasons(pred, self.i.years, by).select(*by, "common_name", "timegroup", "year", "freq", "se")
-            return trends.complete_sims(found, self.i.sims, labels, ["mask"])
+            return trends.complete_sims(found, self.i.sims, labels, ["mask"], every)
 
         return self.stage(f"raw_trends_{self.model}", build, ["mask"], windows)
 
@@ -164,8 +200,6 @@ class Assessment:
             F.col("mean_std").alias("longtermmean"), F.col("rci_std").alias("longtermrci"))
 
         def build() -> DataFrame:
-            masks = F.array(*[F.lit(r["mask"]) for r in self.replicates().select("mask").distinct().collect()])  # some dozens
-            every = windows.select("common_name").distinct().withColumn("mask", F.explode(masks))
-            return classify.long_term_status(every.join(last, ["mask", "common_name"], "left"))
+            return classify.long_term_status(self.listed(windows).join(last, ["mask", "common_name"], "left"))
 
         return self.stage(f"long_term_{self.model}", build, ["mask"], windows)

@@ -3,7 +3,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from fieldtrends.plans.assessment import Assessment, Inputs
+from fieldtrends.plans.assessment import Assessment, Inputs, content
 from fieldtrends.plans.frequency import everything
 from fieldtrends.sources import adapters as A
 from fieldtrends.suite.places import FLAGS
@@ -34,3 +34,16 @@ def test_stages_run_over_masks_and_restart(spark, tmp_path):
     more = Assessment(replace(inputs, sims=3), str(tmp_path), "frequency").replicates()
     assert more.agg(F.max("sim")).first()[0] == 3  # changed parameters are not served from the old stage
     assert run.time_bins().groupBy("mask").count().filter(f"count <> {len(A.YEARS.labels)}").isEmpty()
+    # other windows, by their rows, are not served from the old stage; equal ones are, whatever their plan
+    again = win.repartition(3).union(win.limit(0))
+    assert run.binomial(again).inputFiles() == run.binomial(win).inputFiles()
+    fewer = win.filter(F.col("common_name") != win.agg(F.min("common_name")).first()[0])
+    assert run.binomial(fewer).inputFiles() != run.binomial(win).inputFiles()
+    assert run.vagrants().columns == run.located().columns and run.fit_stats(win).count() > 0
+
+
+def test_content_tells_rows(spark):
+    a = spark.createDataFrame([("a", 1), ("b", None), ("b", None)], "common_name string, min_era int")
+    assert content(a) == content(a.repartition(5)) == content(a.select("min_era", "common_name"))
+    assert content(a) != content(a.distinct()) != content(a.fillna(0)) and content(None) is None
+    assert content(spark.createDataFrame([], a.schema)) != content(a)

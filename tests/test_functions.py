@@ -58,3 +58,44 @@ def test_replicates_draw_one_member_per_group(spark):
     b = resample.replicates(frame.repartition(7), 50, seed=3).toPandas()
     key = ["sim", "locality_id", "month", "group_id"]
     assert a.sort_values(key)[key].reset_index(drop=True).equals(b.sort_values(key)[key].reset_index(drop=True))
+
+
+def test_positions(spark, monkeypatch):
+    import numpy as np
+
+    from fieldtrends.functions import positions
+
+    monkeypatch.setattr(positions, "HELD", 3)
+    rng, n = np.random.default_rng(4), 21
+    rows = [(None if i % 9 == 0 else f"k{i % 9}", i % 2, np.packbits(rng.integers(0, 2, n).astype(np.uint8)).tobytes(), rng.integers(0, 5, n).astype(np.int64).tobytes())
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, j int, sims binary, w binary").repartition(5)
+    want, heavy, either = {}, {}, {}
+    for k, j, s, w in rows:
+        bits = np.unpackbits(np.frombuffer(s, np.uint8))[:n].astype(np.int64)
+        want[k, j] = want.get((k, j), 0) + bits
+        heavy[k, j] = heavy.get((k, j), 0) + bits * np.frombuffer(w, np.int64)
+        either[k, j] = either.get((k, j), 0) | bits
+    got = {(r.k, r.j): np.frombuffer(r.counts, np.int64) for r in positions.summed(df, ["k", "j"], n).collect()}
+    assert got.keys() == want.keys() and all((got[x] == want[x]).all() for x in want)
+    got = {(r.k, r.j): np.frombuffer(r.counts, np.int64) for r in positions.summed(df, ["k", "j"], n, weights="w").collect()}
+    assert all((got[x] == heavy[x]).all() for x in heavy)
+    got = {(r.k, r.j): np.unpackbits(np.frombuffer(r.sims, np.uint8))[:n] for r in positions.united(df, ["k", "j"]).collect()}
+    assert all((got[x] == either[x]).all() for x in either)
+    long = positions.by_replicate(positions.summed(df, ["k", "j"], n, name="a"), ["a"], n).collect()
+    assert {(r.k, r.j, r.sim): r.a for r in long} == {(*x, i + 1): c for x, v in want.items() for i, c in enumerate(v.tolist()) if c}
+    assert positions.summed(df.limit(0), ["k"], n).count() == 0
+
+
+def test_seeded_numbers_agree_in_all_forms(spark):
+    import numpy as np
+
+    from fieldtrends.functions import portable
+
+    keys = [1, 7, 10 ** 15 + 3, 2 ** 40]
+    df = spark.createDataFrame([(keys,)], "k array<bigint>").select("k", portable.uniform_all(F.col("k"), 42).alias("u"), portable.normal_all(F.col("k"), 42).alias("z"))
+    row = df.first()
+    one = [(r.u, r.z) for r in spark.createDataFrame([(k,) for k in keys], "k bigint").select(
+        portable.uniform(F.col("k"), 42).alias("u"), portable.normal(F.col("k"), 42).alias("z")).collect()]
+    assert row.u == [u for u, _ in one] and np.allclose(row.z, [z for _, z in one])
+    assert portable.uniform_of(np.array(keys), 42).tolist() == row.u

@@ -209,3 +209,18 @@ def test_a_worse_step_is_halved():
     assert back["trial"] == [2.0] and back["halved"] == 1 and back["base"] == [0.0]
     on = fits.advance(back, np.array([-0.5, 1e-6, 1.0, 7.0]), 1)
     assert on["base"] == [2.0] and on["state"] == "ok" and on["extra"] == 7.0
+
+
+def test_replicates_at_once_equal_each_by_itself(spark):
+    from fieldtrends.operators import qualify, resample
+
+    d = "/root/testdata/sf0.001"
+    ana = staged(A.analysis_table(spark, d))
+    frame = qualify.sampling_frame(ana)
+    win = fq.windows_for(spark, d)
+    for attrs in (["timegroup"], list(trends.DESIGN)):
+        rows = trends.compress(resample.apply_replicates(ana, resample.replicates(frame, 9, 3)), win, A.YEARS, ["sim"], attrs)
+        sets = trends.compress_replicates(ana, resample.replicate_sets(frame, 9, 3), win, A.YEARS, 9, attrs=attrs)
+        columns = ["sim", "common_name", *attrs, "n", "k"]
+        a, b = (sorted(map(tuple, x.select(columns).collect()), key=str) for x in (rows, sets))
+        assert a == b and a
