@@ -23,28 +23,56 @@ def with_grids(df: DataFrame, sizes: dict[str, float], lon: str = "lon", lat: st
     return df.withColumns({name: cell_id(F.col(lon), F.col(lat), s) for name, s in sizes.items()})
 
 
-def polygon_layer(spark: SparkSession, polygons: Sequence[tuple[str, str, Sequence[tuple[float, float]]]]) -> DataFrame:
-    """Polygons (layer, id, ring) as edge arrays with bounding boxes."""
-    rows = [
-        (layer, pid, [(float(x), float(y)) for x, y in ring]) for layer, pid, ring in polygons
-    ]
-    df = spark.createDataFrame(rows, "layer string, id string, ring array<struct<x: double, y: double>>")
-    return with_edges(df)
+def polygon_layer(spark: SparkSession, polygons: Sequence[tuple[str, str, Sequence]]) -> DataFrame:
+    """Polygons (layer, id, ring or list of rings) as edge arrays with bounding boxes. Parts and holes are further rings."""
+    def rings(shape) -> list:
+        shape = list(shape)
+        one = bool(shape) and isinstance(shape[0][0], (int, float))
+        return [[(float(x), float(y)) for x, y in ring] for ring in ([shape] if one else shape)]
+
+    rows = [(layer, pid, rings(shape)) for layer, pid, shape in polygons]
+    return with_edges(spark.createDataFrame(rows, "layer string, id string, rings array<array<struct<x: double, y: double>>>"))
 
 
 def with_edges(polygons: DataFrame) -> DataFrame:
-    """Closed rings to edges (x1, y1, x2, y2); the box prunes candidates before the exact test."""
-    nxt = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
-    edges = F.zip_with("ring", nxt, lambda a, b: F.struct(
-        a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    """Rings (parts and holes alike) to edges (x1, y1, x2, y2); a ring may repeat its first point at its end."""
+    def edges_of(ring: Column) -> Column:
+        nxt = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+        return F.zip_with(ring, nxt, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+
+    points = F.flatten("rings")
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return polygons.select(
-        "layer", "id", edges.alias("edges"),
-        F.array_min(xs).alias("minx"), F.array_max(xs).alias("maxx"),
-        F.array_min(ys).alias("miny"), F.array_max(ys).alias("maxy"),
+        "layer", "id", F.flatten(F.transform("rings", edges_of)).alias("edges"),
+        F.array_min(xs).alias("minx"), F.array_max(xs).alias("maxx"), F.array_min(ys).alias("miny"), F.array_max(ys).alias("maxy"),
     )
 
 
+def polygon_index(polygons: DataFrame, bucket: float = 1.0) -> DataFrame:
+    """layer, id, bx, by, whole, edges: the buckets of a grid that a polygon reaches.
+
+    Edges are dealt to the latitude bands that they touch, so a bucket never holds a whole ring. A bucket without an edge is inside
+    or outside as a whole, which its centre tells: it is marked or left out. The others hold the edges of their band that are not
+    wholly west of them, the only ones that a ray to the east can cross.
+    """
+    edge = polygons.select("layer", "id", F.explode("edges").alias("e"))
+    low, high = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    bands = edge.withColumn("by", F.explode(F.sequence(floor_cell(low, bucket), floor_cell(high, bucket))))
+    band = bands.groupBy("layer", "id", "by").agg(
+        F.collect_list("e").alias("edges"), F.min(F.least("e.x1", "e.x2")).alias("west"), F.max(F.greatest("e.x1", "e.x2")).alias("east"))
+    cells = band.withColumn("bx", F.explode(F.sequence(floor_cell(F.col("west"), bucket), floor_cell(F.col("east"), bucket))))
+    left, bottom = F.col("bx") * F.lit(bucket), F.col("by") * F.lit(bucket)
+    # a little wider than the bucket, so that rounding never hides an edge
+    slack = F.lit(bucket * 1e-6)
+    near = F.exists("edges", lambda e: (
+        (F.greatest(e["x1"], e["x2"]) >= left - slack) & (F.least(e["x1"], e["x2"]) <= left + bucket + slack)
+        & (F.greatest(e["y1"], e["y2"]) >= bottom - slack) & (F.least(e["y1"], e["y2"]) <= bottom + bucket + slack)))
+    cells = cells.withColumn("whole", ~near)
+    cells = cells.filter(~F.col("whole") | inside(left + bucket / 2, bottom + bucket / 2, F.col("edges")))
+    kept = F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left - slack)
+    return cells.select("layer", "id", "bx", "by", "whole", F.when(~F.col("whole"), kept).alias("edges"))
+
+
 def inside(x: Column, y: Column, edges: Column) -> Column:
     """Ray casting: an odd number of edges crosses the ray to the east of the point."""
     crossed = F.filter(edges, lambda e: (
@@ -57,23 +85,18 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
 def tag_layer(
     points: DataFrame, polygons: DataFrame, layer: str, out: str, key: str = "group_id", bucket: float = 1.0,
 ) -> DataFrame:
-    """G01. Pairs (key, polygon id) of one layer.
+    """G01. Pairs (key, polygon id) of one layer; polygons may have parts and holes (even-odd rule).
 
-    Polygons are cut onto a coarse grid, so the join is an equi-join on the bucket (hashable, skew
-    handled by AQE) instead of a nested-loop range join; box and ray test run on the candidates.
+    Polygons are cut onto a coarse grid (``polygon_index``), so the join is an equi-join on the bucket (hashable, skew
+    handled by AQE) instead of a nested-loop range join. Points of a bucket wholly inside need no test; the others
+    are tested against the edges of their bucket's band.
     """
-    p = polygons.filter(F.col("layer") == layer)
-    xs = F.sequence(floor_cell(F.col("minx"), bucket), floor_cell(F.col("maxx"), bucket))
-    ys = F.sequence(floor_cell(F.col("miny"), bucket), floor_cell(F.col("maxy"), bucket))
-    p = p.withColumn("bx", F.explode(xs)).withColumn("by", F.explode(ys))
+    p = polygon_index(polygons.filter(F.col("layer") == layer), bucket)
     pts = points.select(
         key, "lon", "lat",
         floor_cell(F.col("lon"), bucket).alias("bx"), floor_cell(F.col("lat"), bucket).alias("by"),
     )
-    hit = (
-        F.col("lon").between(F.col("minx"), F.col("maxx")) & F.col("lat").between(F.col("miny"), F.col("maxy"))
-        & inside(F.col("lon"), F.col("lat"), F.col("edges"))
-    )
+    hit = F.col("whole") | inside(F.col("lon"), F.col("lat"), F.col("edges"))
     return pts.join(p, ["bx", "by"]).filter(hit).select(key, F.col("id").alias(out)).distinct()
 
 

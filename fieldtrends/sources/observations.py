@@ -118,3 +118,22 @@ def read_geojson_attrs(spark: SparkSession, path: str, properties: T.StructType)
     ])
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     return raw.select(F.explode("features").alias("f")).select("f.properties.*")
+
+
+def read_geojson_polygons(spark: SparkSession, path: str, layer: str, id_property: str) -> DataFrame:
+    """S07. Polygons of a GeoJSON layer as ``layer, id, rings``, for ``spatial.with_edges``; parts and holes are rings alike.
+
+    Features without a polygon geometry, or without rings, have no area and are left out.
+    """
+    feature = T.StructType([
+        T.StructField("properties", T.StructType([T.StructField(id_property, T.StringType())])),
+        T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])),
+    ])
+    raw = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(feature))])).option("multiLine", True).json(path)
+    rows = raw.select(F.explode("features").alias("f")).select(
+        F.lit(layer).alias("layer"), F.col("f.properties").getField(id_property).alias("id"), "f.geometry.type", "f.geometry.coordinates")
+    one = F.from_json("coordinates", "array<array<array<double>>>")
+    many = F.flatten(F.from_json("coordinates", "array<array<array<array<double>>>>"))
+    rings = F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", many)
+    points = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
+    return rows.select("layer", "id", points.alias("rings")).filter(F.size("rings") > 0)

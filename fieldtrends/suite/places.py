@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldtrends.operators import spatial
-from fieldtrends.sources import adapters as A
+from fieldtrends.session import work_folder
+from fieldtrends.sources import adapters as A, observations
 from fieldtrends.suite import tables as S
 from fieldtrends.suite.registry import query
 
@@ -41,6 +45,44 @@ def g03(spark, d):
     return A.masked(spark, d).select("group_id", "common_name", "pa_name", "mask_wdl", "mask_crp", "mask_one")
 
 
+# two parts, one with a hole, and a plain square that overlaps both
+SHAPES = {
+    "reserve": [[[(70.305, 10.105), (84.205, 11.405), (82.605, 30.705), (72.105, 27.905)], [(74.205, 14.405), (79.805, 14.905), (78.905, 23.305), (74.705, 22.805)]],
+                [[(86.505, 12.205), (95.405, 13.105), (91.305, 33.605)]]],
+    "square": [[[(76.005, 13.005), (90.005, 13.005), (90.005, 20.005), (76.005, 20.005)]]],
+}
+SHAPE_EDGES = "edges AS (SELECT 'parks' AS layer, * FROM (VALUES " + ", ".join(
+    f"('{pid}', {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)"
+    for pid, parts in SHAPES.items() for part in parts for ring in part for a, b in zip(ring, ring[1:] + ring[:1])) + ") t(id, x1, y1, x2, y2))"
+
+
+def geojson(shapes) -> str:
+    features = [{"type": "Feature", "properties": {"name": pid}, "geometry": {"type": "MultiPolygon", "coordinates": [[[*ring, ring[0]] for ring in part] for part in parts]}}
+                for pid, parts in shapes.items()]
+    return json.dumps({"type": "FeatureCollection", "features": features})
+
+
+def parks(spark):
+    """The shapes, written as GeoJSON and read back."""
+    path = f"{work_folder(spark)}/layer-{uuid.uuid4().hex}"
+    spark.createDataFrame([(geojson(SHAPES),)], "value string").coalesce(1).write.text(path)
+    return spatial.with_edges(observations.read_geojson_polygons(spark, path, "parks", "name"))
+
+
+@query("s07_geojson_polygons", S.upto("deduped", "name", CHECKLISTS, SHAPE_EDGES, S.HITS) + """
+  SELECT group_id, id AS park FROM hits""")
+def s07(spark, d):
+    """Checklists inside polygons with parts and holes, read from a file."""
+    return spatial.tag_layer(spatial.checklist_points(A.deduped(spark, d), A.ORDER), parks(spark), "parks", "park")
+
+
+@query("g07_points_in_holed", S.upto("deduped", "name", CHECKLISTS, SHAPE_EDGES, S.HITS) + """
+  SELECT group_id, lon, lat FROM points WHERE group_id IN (SELECT group_id FROM hits WHERE id = 'reserve')""")
+def g07_holed(spark, d):
+    pts = spatial.checklist_points(A.deduped(spark, d), A.ORDER)
+    return spatial.points_in(pts, parks(spark), "parks", "reserve", "group_id").select("group_id", "lon", "lat")
+
+
 FLAGS = {"woodland": "mask_wdl", "cropland": "mask_crp", "ONEland": "mask_one"}
 BY_MASK = """bymask AS (
   SELECT 'none' AS mask, * FROM masked UNION ALL SELECT 'woodland', * FROM masked WHERE mask_wdl = 1
