@@ -15,7 +15,7 @@ from fieldtrends.suite import load  # noqa: E402
 # one per pipeline step: cleaning, tagging, masks, selection, sampling, model input, fit, resolution, classes, reports
 HEADLINE = [
     "c04_list_length", "c14_completeness", "c15_vagrants_kept", "g01_tag_points", "g04_apply_mask", "q03_long_term_qualifiers",
-    "q07_restricted_valid", "r02_replicates", "t05_compress", "t06_fixed_model", "v02_combine_sims", "v05_ratio_interval",
+    "q07_restricted_valid", "r02_replicates", "t05_compress", "t06_fixed_model", "t07_mixed_model", "o10_occupancy_model", "v02_combine_sims", "v05_ratio_interval",
     "v10_slope_interval", "v11_slope_sensitivity", "v13_combine_series", "c06_remove_mistakes", "o09_detection_history", "k08_priority_status", "m12_key_species", "m28_release_delta",
 ]
 
