@@ -49,9 +49,17 @@ WORDS = {v + end: k + end for v, k in SPELLINGS.items() if " " not in v for end
 ANY = r"\b(?:" + "|".join(sorted(SPELLINGS)) + r")s?\b"
 
 
+#: Words after "copyright" at the start of a wrapped line that go on with a sentence: the line names no holder.
+SENTENCE = r"(?:notices?|holders?|owners?|and|or|laws?|licen[cs]es?|statements?|interests?|as|is|in|to)\b"
+COPYRIGHT_LINE = rf"(?m)^[ \t]*(?:©|\(c\)(?=[^\p{{L}}\p{{N}}\n]*(?:\d|copyright))|copyright(?=[^a-z])(?![^\p{{L}}\p{{N}}\n]+{SENTENCE})).*$"
+
+
 def plain(text: Column) -> Column:
-    """Words of letters and digits in lower case with one space between them, without copyright lines and titles."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^[ \t]*(©|\(c\)|copyright)(?=[^a-z]).*$", " ")
+    """Words of letters and digits in lower case with one space between them, without copyright lines and titles.
+
+    A copyright line starts with the sign, with (c) before a year, or with the word, unless a sentence goes on there.
+    """
+    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, TITLES, " "), r"[^\p{L}\p{N}]+", " "))
 
 

@@ -316,6 +316,20 @@ def test_license_scan(spark, none):
     assert licenses.scan(none, known).count() == 0 and known.count() == len(licenses.KNOWN)
 
 
+def test_wrapped_licenses(spark):
+    """Texts wrapped at any width: lines that begin with "copyright notice" or "(c) you must" belong to the text."""
+    import textwrap
+
+    heads = ["", "ISC License\n\nCopyright (c) 2004-2010 by Some Consortium (\"SC\")\nCopyright Some One <a@b.org>\n\n", "  © Some One\n(C) 2001, 2002 Some One\n"]
+    rows = [(w, head + "\n\n".join(textwrap.fill(x, w) for x in licenses.ISC.split("\n") if x)) for w in range(30, 110) for head in heads]
+    assert any("\ncopyright notice" in t for _, t in rows)
+    long = "\n".join(["(c) you must keep this", "copyright holders be liable", "copyright 1999 gone"] * 20_000)
+    docs = spark.createDataFrame([*rows, (1, long), (2, long.replace("copyright 1999 gone", ""))], DOCS)
+    got = licenses.scan(docs, licenses.known_digests(spark)).collect()
+    assert {r["license_id"] for r in got if r["doc_id"] >= 30} == {"ISC"}
+    assert len({r["license_digest"] for r in got if r["doc_id"] < 30}) == 1
+
+
 # ---------------------------------------------------------------- 8 exact copies
 @pytest.mark.parametrize("block,colliding", [(1024, False), (8, False), (8, True)])
 def test_exact_groups(docs, none, block, colliding):
