@@ -212,7 +212,11 @@ def dictionary(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def encode(obs: DataFrame) -> DataFrame:
-    """C17. Compact integer encoding of species, time group, checklist and observer."""
+    """C17. Compact integer encoding of species, time group, checklist and observer.
+
+    A checklist is told by (group_no, group_text): an id that is no number keeps its text, NULL for all others, so two
+    such ids that share a hash are never one checklist.
+    """
     sp = dictionary(obs, "common_name", "species_id")
     tg = dictionary(obs, "timegroup", "timegroup_id")
     return (
@@ -220,6 +224,7 @@ def encode(obs: DataFrame) -> DataFrame:
         .select(
             "species_id", "timegroup_id",
             numeric_group_id(F.col("group_id")).alias("group_no"),
+            F.when(F.substring("group_id", 2, 30).try_cast("bigint").isNull(), F.col("group_id")).alias("group_text"),
             F.substring("observer_id", 5, 30).try_cast("bigint").alias("observer_no"),
             F.when(F.col("obs_count") == "X", F.lit(1))
             .otherwise(F.col("obs_count").try_cast("int")).cast("bigint").alias("obs_count"),

@@ -292,6 +292,7 @@ def c16(spark, d):
 @query("c17_encode", S.upto("gridded") + """
   SELECT sp.species_id, tg.timegroup_id,
     CAST(substr(group_id, 2) AS BIGINT) + CASE WHEN group_id LIKE 'G%' THEN 1000000000000000 ELSE 0 END AS group_no,
+    CASE WHEN TRY_CAST(substr(group_id, 2) AS BIGINT) IS NULL THEN group_id END AS group_text,
     CAST(substr(observer_id, 5) AS BIGINT) AS observer_no,
     CASE WHEN obs_count = 'X' THEN 1 ELSE CAST(obs_count AS BIGINT) END AS obs_count
   FROM gridded

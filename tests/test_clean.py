@@ -87,3 +87,11 @@ def test_checklist_ids_do_not_meet(spark):
     frame = ids.selectExpr("group_id", "'L' AS locality_id", "1 AS month", "'x' AS timegroup")
     got = resample.replicates(frame, 50, 1)
     assert got.count() == 50 and {r["group_id"] for r in got.select("group_id").distinct().collect()} >= {"URN:1", "URN:2"}
+
+
+def test_ids_that_share_a_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(clean, "numeric_group_id", lambda col: F.coalesce(F.substring(col, 2, 30).try_cast("bigint"), F.lit(21).cast("bigint")))
+    rows = [("URN:1",), ("URN:2",), ("S21",), ("G7",)]
+    obs = spark.createDataFrame(rows, "group_id string").selectExpr("*", "'a' AS common_name", "'t' AS timegroup", "'obsr12' AS observer_id", "'X' AS obs_count")
+    got = {(r.group_no, r.group_text) for r in clean.encode(obs).collect()}
+    assert got == {(21, "URN:1"), (21, "URN:2"), (21, None), (7, None)}
