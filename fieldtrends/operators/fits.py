@@ -379,10 +379,11 @@ def fit_glmm(
 
 # ------------------------------------------------------------------ O10
 def occupancy_blocks(history: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells with their visits summed per (season, list length): the likelihood needs no more."""
+    """Cells with their visits (rows, or counts with ``trials`` and ``hits``) summed per (season, list length): the likelihood needs no more."""
     code = F.array_position(F.array(*[F.lit(s) for s in SEASON_NAMES]), F.col("season")).cast("int") - 1
-    rows = history.groupBy(*keys, "gridg1", "prop_nb", "season", "no_sp").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("seen").alias("k"))
+    counted = "trials" in history.columns
+    n, k = (F.sum("trials"), F.sum("hits")) if counted else (F.count(F.lit(1)), F.sum("seen"))
+    rows = history.groupBy(*keys, "gridg1", "prop_nb", "season", "no_sp").agg(n.alias("n"), k.alias("k"))
     row = F.struct(code.alias("s"), F.log("no_sp").alias("l"),
                    F.col("n").cast("double").alias("n"), F.col("k").cast("double").alias("k"))
     cells = rows.groupBy(*keys, "gridg1", "prop_nb").agg(F.collect_list(row).alias("r"))

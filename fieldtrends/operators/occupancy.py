@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from fieldtrends.config import (
@@ -54,49 +56,119 @@ def presence_cells(obs: DataFrame, codes: DataFrame, cell: str = "gridg1") -> Da
     return filter_migratory(obs, codes).select(*KEYS, cell).distinct().withColumn("presence", F.lit(1))
 
 
-def visits(obs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Complete checklists inside the known range (cell, month) and the code months, with a 1/0.
-
-    One row per (species, code, checklist): this is the size of the model input before the visit cap.
-    """
-    own = obs.select(SP, "gridg3", "month").distinct().join(code_months(obs, codes), [SP, "month"])
-    lists = (
+def checklists(obs: DataFrame) -> DataFrame:
+    """Complete checklists with a cell, once each: the visits of every species."""
+    return (
         obs.filter("all_species_reported = 1 AND gridg1 IS NOT NULL")
         .select("group_id", "gridg3", "gridg1", "month", "no_sp").distinct()
     )
-    hits = obs.filter("obs_count IS NOT NULL AND obs_count <> '0'").select(
-        "group_id", SP, F.lit(1).alias("seen")).distinct()
-    out = own.join(lists, ["gridg3", "month"]).join(hits, ["group_id", SP], "left")
-    return with_season(out.withColumn("seen", F.coalesce("seen", F.lit(0))))
 
 
-def visit_cap(v: DataFrame, keys: Sequence[str] = KEYS, q: float = 0.95) -> DataFrame:
+def presences(obs: DataFrame) -> DataFrame:
+    """(checklist, species) with a count or presence mark other than zero."""
+    return obs.filter("obs_count IS NOT NULL AND obs_count <> '0'").select("group_id", SP).distinct()
+
+
+def range_months(obs: DataFrame, codes: DataFrame) -> DataFrame:
+    """The known range of a (species, code): coarse cell and month, of the code months."""
+    return obs.select(SP, "gridg3", "month").distinct().join(code_months(obs, codes), [SP, "month"])
+
+
+def visit_counts(obs: DataFrame, codes: DataFrame) -> DataFrame:
+    """Visits inside the known range as ``trials`` and ``hits`` per (species, code, cell, season, list length).
+
+    Checklists are counted once for all species and hits come from presences, so no row is a species and a
+    checklist that did not record it. The result is bounded by cells, seasons and list lengths.
+    """
+    own, lists = range_months(obs, codes), checklists(obs)
+    design = ["gridg3", "gridg1", "month", "no_sp"]
+    trials = lists.groupBy(*design).agg(F.count(F.lit(1)).alias("trials"), F.lit(0).cast("bigint").alias("hits"))
+    hits = lists.join(presences(obs), "group_id").groupBy(SP, *design).agg(
+        F.lit(0).cast("bigint").alias("trials"), F.count(F.lit(1)).alias("hits"))
+    columns = [*KEYS, "gridg1", "month", "no_sp", "trials", "hits"]
+    both = own.join(trials, ["gridg3", "month"]).select(*columns).unionByName(
+        own.join(hits, [SP, "gridg3", "month"]).select(*columns))
+    return with_season(both).groupBy(*KEYS, "gridg1", "season", "no_sp").agg(
+        F.sum("trials").alias("trials"), F.sum("hits").alias("hits"))
+
+
+def as_counts(v: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Visits row by row (``seen``) summed to counts; counts stay as they are."""
+    if "trials" in v.columns:
+        return v
+    return v.groupBy(*keys, "gridg1", "season", "no_sp").agg(
+        F.count(F.lit(1)).alias("trials"), F.sum("seen").cast("bigint").alias("hits"))
+
+
+def visit_cap(counts: DataFrame, keys: Sequence[str] = KEYS, q: float = 0.95) -> DataFrame:
     """O05. 95 % quantile of the checklists per cell (exact; its state is one counter per distinct count)."""
-    n = v.groupBy(*keys, "gridg1").agg(F.count(F.lit(1)).alias("lpg"))
+    n = counts.groupBy(*keys, "gridg1").agg(F.sum("trials").alias("lpg"))
     return n.groupBy(*keys).agg(F.percentile("lpg", q).alias("cap"))
 
 
-def number_visits(v: DataFrame, seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """O06. Visits of a cell in random order, cut at the cap.
+def kept_visits(cap: str = "cap"):
+    """The cut-off of the source keeps ``floor(cap) - 1`` visits, because its first matrix column is the cell id."""
+    return F.floor(cap) - 1
+
+
+def number_visits(obs: DataFrame, codes: DataFrame, caps: DataFrame, seed: int) -> DataFrame:
+    """O06. Visits of a cell in random order, numbered and cut at the cap (``caps`` of O05).
 
-    The cut-off of the source keeps ``floor(cap) - 1`` visits, because its first matrix column is the
-    cell id. Numbering is salted by the hash itself: its leading part picks the piece, so the order
-    over pieces is still the order of the hash and a crowded cell is spread over tasks.
+    The order is a hash of the checklist, the same for every species. So checklists are ranked once per
+    (cell, month), and a species meets only the ranks that its cap can reach: a checklist among the first n of
+    some months is among the first n of its own. Numbering is salted by the hash itself: its leading part
+    picks the piece, so the order over pieces is still the order of the hash and a crowded cell is spread over tasks.
     """
     no = numeric_group_id(F.col("group_id"))
-    h = portable.hash31(no, seed)
-    ordered = v.withColumns({"__h": h, "__no": no})
     pieces = 16
     piece = F.floor(F.col("__h") * pieces / portable.PRIME).cast("bigint")
-    cells = [*keys, "gridg1"]
-    numbered = number_rows(ordered, cells, piece, ["__h", "__no"], name="visit", salts=pieces)
-    capped = numbered.join(visit_cap(v, keys), list(keys))
-    return capped.filter(F.col("visit") <= F.floor("cap") - 1).drop("__h", "__no", "cap")
-
-
-def cell_presence(v: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    order = ["__h", "__no", "group_id", "no_sp"]
+    lists = checklists(obs).withColumns({"__h": portable.hash31(no, seed), "__no": no})
+    ranked = number_rows(lists, ["gridg3", "gridg1", "month"], piece, order, name="__place", salts=pieces)
+    own = range_months(obs, codes).join(caps, KEYS).withColumn("__keep", kept_visits()).filter("__keep > 0").drop("cap")
+    deepest = own.groupBy("gridg3", "month").agg(F.max("__keep").alias("__deepest"))
+    reached = ranked.join(deepest, ["gridg3", "month"]).filter("__place <= __deepest").drop("__deepest")
+    candidates = own.join(reached, ["gridg3", "month"]).filter("__place <= __keep")
+    numbered = number_rows(candidates, [*KEYS, "gridg1"], piece, order, name="visit", salts=pieces).filter("visit <= __keep")
+    hits = presences(obs).withColumn("seen", F.lit(1))
+    out = numbered.join(hits, ["group_id", SP], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    return with_season(out).drop("__h", "__no", "__place", "__keep")
+
+
+def draw_counts(counts: DataFrame, caps: DataFrame, seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The cap of O06 on counts: ``floor(cap) - 1`` visits of a crowded cell drawn without replacement, other cells whole.
+
+    The draw is multivariate hypergeometric over (season, list length, seen or not), so it has the distribution of
+    cutting a random order, without one row per visit. It depends on the keys of the cell and ``seed`` only.
+    A cell may hold 10^9 visits at most, the limit of numpy's draw. Leave the step out to model all visits.
+    """
+    cell = [*keys, "gridg1"]
+    row = F.struct("season", "no_sp", (F.col("trials") - F.col("hits")).alias("misses"), "hits")
+    cells = counts.groupBy(*cell).agg(F.array_sort(F.collect_list(row)).alias("__bins"), F.sum("trials").alias("__total"))
+    cells = cells.join(caps, list(keys)).withColumn("__keep", kept_visits()).filter("__keep > 0").drop("cap")
+    key = F.xxhash64(*[F.col(c).cast("string") for c in cell], F.lit(seed))
+
+    @F.pandas_udf("array<bigint>")
+    def draw(key: pd.Series, keep: pd.Series, misses: pd.Series, hits: pd.Series) -> pd.Series:
+        out = []
+        for k, n, m, h in zip(key, keep, misses, hits):
+            there = np.concatenate([m, h]).astype(np.int64)
+            if there.sum() > n:
+                there = np.random.default_rng(int(k) % 2**64).multivariate_hypergeometric(there, int(n), method="marginals")
+            out.append(there)
+        return pd.Series(out)
+
+    drawn = cells.withColumn("__drawn", draw(key, "__keep", "__bins.misses", "__bins.hits"))
+    size = F.size("__bins")
+    rows = F.transform("__bins", lambda b, i: F.struct(
+        b["season"].alias("season"), b["no_sp"].alias("no_sp"),
+        (F.get("__drawn", i) + F.get("__drawn", i + size)).alias("trials"), F.get("__drawn", i + size).alias("hits")))
+    return drawn.select(*cell, F.inline(rows)).filter("trials > 0")
+
+
+def cell_presence(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """O07. Presence per cell over all its visits."""
-    return v.groupBy(*keys, "gridg1").agg(F.max("seen").alias("presence"))
+    return counts.groupBy(*keys, "gridg1").agg(F.max((F.col("hits") > 0).cast("int")).alias("presence"))
 
 
 def neighbour_share(presence: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -123,13 +195,13 @@ def detection_history(v: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def history_rows(v: DataFrame, share: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Capped visits with the neighbour share of their cell: the input of the fit."""
+    """Visits (rows or counts) with the neighbour share of their cell: the input of the fit."""
     return v.join(share.select(*keys, "gridg1", "prop_nb"), [*keys, "gridg1"]).filter("prop_nb IS NOT NULL")
 
 
 def predict_detection(v: DataFrame, model: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Detection probability and its error per visit, from the fitted coefficients."""
-    j = v.join(model, list(keys))
+    """Detection probability and its error per (cell, season, length) with its number of visits, from the fitted coefficients."""
+    j = as_counts(v, keys).join(model, list(keys))
     s = F.when(F.col("status") == "R", F.array_position(
         F.array(*[F.lit(x) for x in ("Aut", "Mon", "Sum", "Win")]), F.col("season")).cast("int")).otherwise(F.lit(1))
     length = F.log("no_sp")
@@ -138,7 +210,7 @@ def predict_detection(v: DataFrame, model: DataFrame, keys: Sequence[str] = KEYS
     cov = lambda i, k: F.element_at("cov", (i - 1) * 10 + k)
     var = cov(a, a) + 2 * length * cov(a, b) + length * length * cov(b, b)
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-    return j.select(*keys, "gridg1", p.alias("p"),
+    return j.select(*keys, "gridg1", "trials", p.alias("p"),
                     (p * (F.lit(1.0) - p) * F.sqrt(F.greatest(var, F.lit(0.0)))).alias("se"))
 
 
@@ -154,10 +226,10 @@ def predict_occupancy(share: DataFrame, model: DataFrame, keys: Sequence[str] =
 
 
 def cell_detection(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """O11. Probability of at least one detection per cell, with its propagated error."""
-    inv = F.lit(1.0) - F.col("p")
+    """O11. Probability of at least one detection per cell, with its propagated error. A row stands for ``trials`` visits, or for one."""
+    inv, n = F.lit(1.0) - F.col("p"), F.col("trials") if "trials" in pred.columns else F.lit(1)
     g = pred.groupBy(*keys, "gridg1").agg(
-        F.product(inv).alias("inv_det"), F.sum(F.try_divide(F.col("se"), inv)).alias("ratio"))
+        F.product(F.pow(inv, n)).alias("inv_det"), F.sum(n * F.try_divide(F.col("se"), inv)).alias("ratio"))
     return g.select(*keys, "gridg1", (F.lit(1.0) - F.col("inv_det")).alias("det"), "inv_det",
                     (F.col("inv_det") * F.col("ratio")).alias("det_se"))
 
@@ -181,9 +253,11 @@ def cell_occupancy(
 def fitted_cells(
     v: DataFrame, share: DataFrame, model: DataFrame, presence: DataFrame, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """O11 and O12 from a fit (O10): capped visits, neighbour shares, the model and presence give the cells of O13."""
-    det = cell_detection(predict_detection(v, model, keys), keys)
-    return cell_occupancy(predict_occupancy(share, model, keys), det, presence, detection_history(v, keys), keys)
+    """O11 and O12 from a fit (O10): visits (rows or counts), neighbour shares, the model and presence give the cells of O13."""
+    counts = as_counts(v, keys)
+    det = cell_detection(predict_detection(counts, model, keys), keys)
+    samples = counts.groupBy(*keys, "gridg1").agg(F.sum("trials").alias("samples"))
+    return cell_occupancy(predict_occupancy(share, model, keys), det, presence, samples, keys)
 
 
 def range_size(cells: DataFrame, present: DataFrame, cell_area: float, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -59,9 +59,16 @@ def recent(spark, d):
     return ana, o.recent_years(ana, A.YEARS.latest_year), codes
 
 
-def all_visits(spark, d):
+def all_counts(spark, d):
+    """(records, recent records, codes, visits as counts)."""
     ana, last, codes = recent(spark, d)
-    return ana, staged(o.visits(last, codes))
+    return ana, last, codes, staged(o.visit_counts(last, codes))
+
+
+def numbered_visits(spark, d):
+    """(records, visits as counts, capped visits in their order)."""
+    ana, last, codes, counts = all_counts(spark, d)
+    return ana, counts, o.number_visits(last, codes, o.visit_cap(counts), 7)
 
 
 def rnd(df, **digits):
@@ -91,43 +98,69 @@ def o04(spark, d):
     return o.presence_cells(last, codes)
 
 
+@query("o05_visit_counts", base(*V) + """
+  SELECT common_name, status, gridg1, season, no_sp, count(*) AS trials, CAST(sum(seen) AS BIGINT) AS hits FROM visits GROUP BY 1, 2, 3, 4, 5""")
+def o05_counts(spark, d):
+    return all_counts(spark, d)[3]
+
+
 @query("o05_visit_cap", base(*V, CAP) + "SELECT * FROM cap")
 def o05(spark, d):
-    return o.visit_cap(all_visits(spark, d)[1])
+    return o.visit_cap(all_counts(spark, d)[3])
 
 
 @query("o06_number_visits", base(*V, CAP, NUMBERED) + "SELECT common_name, status, gridg1, group_id, visit, seen FROM numbered")
 def o06(spark, d):
-    return o.number_visits(all_visits(spark, d)[1], 7).select("common_name", "status", "gridg1", "group_id", "visit", "seen")
+    return numbered_visits(spark, d)[2].select("common_name", "status", "gridg1", "group_id", "visit", "seen")
+
+
+@query("o06_drawn_counts", base(*V, CAP) + """
+  SELECT common_name, status, gridg1, CAST(least(n, floor(cap) - 1) AS BIGINT) AS samples, CAST(0 AS BIGINT) AS beyond
+  FROM (SELECT common_name, status, gridg1, count(*) AS n FROM visits GROUP BY 1, 2, 3) JOIN cap USING (common_name, status) WHERE floor(cap) > 1""")
+def o06_drawn(spark, d):
+    """Visits drawn per cell, and bins from which more were drawn than there are (none)."""
+    counts = all_counts(spark, d)[3]
+    bins = ["common_name", "status", "gridg1", "season", "no_sp"]
+    drawn = o.draw_counts(counts, o.visit_cap(counts), 7).join(
+        counts.select(*bins, F.col("trials").alias("all"), F.col("hits").alias("all_hits")), bins, "left")
+    fits_in = (F.col("hits") <= F.col("all_hits")) & (F.col("trials") - F.col("hits") <= F.col("all") - F.col("all_hits"))
+    return drawn.groupBy(*bins[:3]).agg(F.sum("trials").alias("samples"), F.count_if(~F.coalesce(fits_in, F.lit(False))).alias("beyond"))
 
 
 @query("o07_cell_presence", base(*V, PRES) + "SELECT * FROM pres")
 def o07(spark, d):
-    return o.cell_presence(all_visits(spark, d)[1])
+    return o.cell_presence(all_counts(spark, d)[3])
 
 
-def shares(ana, v):
-    return o.neighbour_share(o.cell_presence(v), spatial.queen_neighbours(ana))
+def shares(ana, counts):
+    return o.neighbour_share(o.cell_presence(counts), spatial.queen_neighbours(ana))
 
 
 @query("o08_neighbour_share", base(*V, PRES, EDGES, SHARE) + "SELECT common_name, status, gridg1, presence, round(prop_nb, 9) AS prop_nb FROM share")
 def o08(spark, d):
-    return rnd(shares(*all_visits(spark, d)), prop_nb=9)
+    ana, _, _, counts = all_counts(spark, d)
+    return rnd(shares(ana, counts), prop_nb=9)
 
 
 @query("o09_detection_history", base(*V, CAP, NUMBERED) + """
   SELECT common_name, status, gridg1, string_agg(CAST(seen AS VARCHAR), '' ORDER BY visit) AS det, string_agg(season, ',' ORDER BY visit) AS seasons,
     string_agg(CAST(no_sp AS VARCHAR), ',' ORDER BY visit) AS lengths, count(*) AS samples FROM numbered GROUP BY 1, 2, 3""")
 def o09(spark, d):
-    h = o.detection_history(o.number_visits(all_visits(spark, d)[1], 7))
+    h = o.detection_history(numbered_visits(spark, d)[2])
     return h.select("common_name", "status", "gridg1", F.array_join("det", "").alias("det"), F.array_join("seasons", ",").alias("seasons"),
                     F.array_join("lengths", ",").alias("lengths"), "samples")
 
 
+def model_input(spark, d):
+    """(counts, drawn counts, neighbour shares): the fit reads no row per visit."""
+    ana, _, _, counts = all_counts(spark, d)
+    return counts, staged(o.draw_counts(counts, o.visit_cap(counts), 7)), staged(shares(ana, counts))
+
+
 @query("o10_occupancy_model")
 def o10(spark, d):
-    ana, v = all_visits(spark, d)
-    model = fits.fit_occupancy(o.history_rows(o.number_visits(v, 7), shares(ana, v)))
+    _, drawn, share = model_input(spark, d)
+    model = fits.fit_occupancy(o.history_rows(drawn, share))
     return model.select("common_name", "status", F.round("log_likelihood", 4).alias("log_likelihood"),
                         F.round(F.col("theta")[1], 4).alias("neighbour_effect"), "status_fit")
 
@@ -136,17 +169,16 @@ def o10(spark, d):
   SELECT DISTINCT common_name, status, 0.0::DOUBLE AS gradient FROM numbered JOIN share USING (common_name, status, gridg1) WHERE prop_nb IS NOT NULL""")
 def o10_gradient(spark, d):
     """Largest component of the gradient at the coefficients: zero, as every model runs until it has settled."""
-    ana, v = all_visits(spark, d)
-    model = fits.fit_occupancy(o.history_rows(o.number_visits(v, 7), shares(ana, v)))
+    _, drawn, share = model_input(spark, d)
+    model = fits.fit_occupancy(o.history_rows(drawn, share))
     return model.select("common_name", "status", F.round("gradient", 3).alias("gradient"))
 
 
 def fitted(spark, d):
     """(model, cells): O10 to O12 in a chain."""
-    ana, v = all_visits(spark, d)
-    numbered, share = staged(o.number_visits(v, 7)), staged(shares(ana, v))
-    model = staged(fits.fit_occupancy(o.history_rows(numbered, share)))
-    return model, o.fitted_cells(numbered, share, model, o.cell_presence(v))
+    counts, drawn, share = model_input(spark, d)
+    model = staged(fits.fit_occupancy(o.history_rows(drawn, share)))
+    return model, o.fitted_cells(drawn, share, model, o.cell_presence(counts))
 
 
 @query("o10_fitted_cells")
@@ -170,11 +202,11 @@ def o10_range(spark, d):
 
 def stand_in(spark, d):
     """A formula in place of the fit, for the queries with SQL (O11 to O13); ``fitted`` is the chain itself."""
-    ana, v = all_visits(spark, d)
-    numbered = o.number_visits(v, 7)
+    ana, counts, numbered = numbered_visits(spark, d)
+    numbered = staged(numbered)
     pred = numbered.select("common_name", "status", "gridg1", (0.3 * (1 - F.exp(-F.col("no_sp") / 7.0))).alias("p"),
                            (F.sqrt("no_sp") / 300).alias("se"))
-    return ana, v, numbered, o.cell_detection(pred)
+    return ana, counts, numbered, o.cell_detection(pred)
 
 
 @query("o11_cell_detection", base(*V, CAP, NUMBERED, PRES, EDGES, SHARE, PRED) + """
@@ -184,11 +216,11 @@ def o11(spark, d):
 
 
 def cells(spark, d):
-    ana, v, numbered, det = stand_in(spark, d)
-    share = shares(ana, v)
+    ana, counts, numbered, det = stand_in(spark, d)
+    share = shares(ana, counts)
     nb = F.coalesce("prop_nb", F.lit(0.0))
     occ = share.select("common_name", "status", "gridg1", "prop_nb", (0.1 + 0.6 * nb).alias("occ"), (0.02 + 0.05 * nb).alias("occ_se"))
-    return o.cell_occupancy(occ, det, o.cell_presence(v), o.detection_history(numbered))
+    return o.cell_occupancy(occ, det, o.cell_presence(counts), o.detection_history(numbered))
 
 
 @query("o12_cell_occupancy", base(*V, CAP, NUMBERED, PRES, EDGES, SHARE, PRED) + """
