@@ -70,17 +70,21 @@ RULE_SCHEMA = T.StructType([
 ])
 
 
-def mistake_keys(obs: DataFrame, rules: DataFrame, family: str) -> DataFrame:
-    """Distinct keys of the rows that match any rule of a family.
+EQUAL = ("event_id", "common_name", "observer_id", "state", "district", "region")
+READS = {  # the column of the records that a rule field looks at
+    **{c: c for c in EQUAL}, "months": "month", "not_months": "month", "year_after": "year",
+    "lat_above": "lat", "lat_below": "lat", "lon_above": "lon", "lon_below": "lon",
+}
 
-    One equi-join per family on its driving column; every other rule column is "any" when NULL.
-    """
-    driver, keys = FAMILIES[family]
-    r = rules.filter(F.col("family") == family).select(
-        *[F.col(f.name).alias(f"__{f.name}") for f in RULE_SCHEMA if f.name != "family"]
-    )
+
+def _prefixed(rules: DataFrame) -> DataFrame:
+    return rules.select(*[F.col(f.name).alias(f"__{f.name}") for f in RULE_SCHEMA])
+
+
+def _matches(driver: str) -> Column:
+    """A record meets a rule: equal in the driving column, and in every other field that the rule states."""
     cond = F.col(driver) == F.col(f"__{driver}")
-    for c in ("event_id", "common_name", "observer_id", "state", "district", "region"):
+    for c in EQUAL:
         if c != driver:
             cond = cond & (F.col(f"__{c}").isNull() | (F.col(c) == F.col(f"__{c}")))
     cond = cond & (F.col("__months").isNull() | F.array_contains("__months", F.col("month")))
@@ -89,17 +93,47 @@ def mistake_keys(obs: DataFrame, rules: DataFrame, family: str) -> DataFrame:
     for c in ("lat", "lon"):
         cond = cond & (F.col(f"__{c}_above").isNull() | (F.col(c) > F.col(f"__{c}_above")))
         cond = cond & (F.col(f"__{c}_below").isNull() | (F.col(c) < F.col(f"__{c}_below")))
-    return obs.join(r, cond, "left_semi").select(*keys).distinct()
+    return cond
+
+
+def spreading(families: Sequence[str]) -> Column:
+    """Rules that look at a column outside the keys of their family: they remove rows that do not match themselves."""
+    out = F.lit(False)
+    for family in families:
+        stated = F.lit(False)
+        for field, column in READS.items():
+            if column not in FAMILIES[family][1]:
+                stated = stated | F.col(field).isNotNull()
+        out = out | ((F.col("family") == family) & stated)
+    return out
+
+
+def mistake_keys(obs: DataFrame, rules: DataFrame, family: str) -> DataFrame:
+    """Distinct keys of the rows that match any rule of a family.
+
+    One equi-join on the driving column of the family; every other rule column is "any" when NULL.
+    """
+    driver, keys = FAMILIES[family]
+    return obs.join(_prefixed(rules.filter(F.col("family") == family)), _matches(driver), "left_semi").select(*keys).distinct()
 
 
 def remove_mistakes(
     obs: DataFrame, rules: DataFrame, families: Sequence[str] = tuple(FAMILIES), banned: Sequence[str] = (),
 ) -> DataFrame:
-    """C06. Drop every row that shares the keys of a matched row, family by family, and banned species.
+    """C06. Drop every row that shares the keys of a matched row, in any family, and banned species.
 
-    All families are matched against the unfiltered table, then removed together.
+    A rule that looks at keys of its family only matches all rows of a key or none, so the matched rows are the
+    answer: one anti-join per driving column, all in one pass over the records. Other rules (``spreading``) need the
+    keys of their matches first, which reads the records once more for each family that has some; those families are
+    found in the rule table before the plan is made.
     """
+    rules = rules.filter(F.col("family").isin(list(families)))
     out = obs
-    for family in families:
-        out = null_safe_join(out, mistake_keys(obs, rules, family), FAMILIES[family][1], "left_anti")
+    for driver in dict.fromkeys(FAMILIES[f][0] for f in families):
+        led = [f for f in families if FAMILIES[f][0] == driver]
+        direct = rules.filter(F.col("family").isin(led) & ~spreading(led))
+        out = out.join(_prefixed(direct), _matches(driver), "left_anti")
+    wide = rules.filter(spreading(families))
+    for family in sorted(r.family for r in wide.select("family").distinct().collect()):
+        out = null_safe_join(out, mistake_keys(obs, wide, family), FAMILIES[family][1], "left_anti")
     return out.filter(not_in(F.col("common_name"), banned)) if banned else out

@@ -74,6 +74,58 @@ def test_mistake_rules_with_missing_fields(spark):
     assert sorted(r.event_id for r in mistakes.remove_mistakes(obs, rules, banned=["a"]).collect()) == ["S3"]
 
 
+def test_mistake_rules_equal_loops(spark):
+    """Random rules of all families, some of which look beyond the keys of their family, against loops over rules and rows."""
+    import random
+
+    rng, cols = random.Random(4), ["event_id", "common_name", "observer_id", "state", "district", "month", "year", "lat", "lon", "region"]
+    some = lambda *v: rng.choice([None, *v])
+    rows = [(some("S1", "S2", "S3", "S4"), some("a", "b", "c"), some("o1", "o2", "o3"), some("s", "t"), some("d", "e"), rng.randint(1, 12),
+             rng.randint(2000, 2003), some(1.0, 2.0, 3.0), some(1.0, 2.0), some("r")) for _ in range(400)]
+    obs = spark.createDataFrame(rows, "event_id string, common_name string, observer_id string, state string, district string, month int, "
+                                      "year int, lat double, lon double, region string")
+    names = [f.name for f in mistakes.RULE_SCHEMA]
+    fields = {"event_id": ["S1", "S2"], "common_name": ["a", "b"], "observer_id": ["o1", "o2"], "state": ["s"], "district": ["d"], "region": ["r"],
+              "months": [[1, 2, 3, 4]], "not_months": [[5, 6, 7]], "year_after": [2001], "lat_above": [1.5], "lat_below": [2.5], "lon_above": [1.5], "lon_below": [1.5]}
+
+    def meets(row, rule, driver):
+        r = dict(zip(cols, row))
+        if rule[driver] is None or r[driver] != rule[driver]:
+            return False
+        tests = [(c, lambda v, x: v == x) for c in mistakes.EQUAL] + [
+            ("months", lambda v, x: v in x), ("not_months", lambda v, x: v not in x), ("year_after", lambda v, x: v > x)] + [
+            (f"{c}_above", lambda v, x: v > x) for c in ("lat", "lon")] + [(f"{c}_below", lambda v, x: v < x) for c in ("lat", "lon")]
+        return all(rule[f] is None or (r[mistakes.READS[f]] is not None and ok(r[mistakes.READS[f]], rule[f])) for f, ok in tests)
+
+    spread = 0
+    for _ in range(4):
+        rules = []
+        for family, (driver, keys) in mistakes.FAMILIES.items():
+            for k in range(2):
+                own = [f for f, c in mistakes.READS.items() if c in keys]
+                used = {driver, *rng.sample(own, min(2, len(own)))} | ({rng.choice(list(fields))} if k and rng.random() < 0.5 else set())
+                rules.append({n: family if n == "family" else rng.choice(fields[n]) if n in used else None for n in names})
+                spread += any(mistakes.READS[f] not in keys for f in used)
+        gone = set()
+        for rule in rules:
+            driver, keys = mistakes.FAMILIES[rule["family"]]
+            at = [cols.index(c) for c in keys]
+            gone |= {(rule["family"], *(row[i] for i in at)) for row in rows if meets(row, rule, driver)}
+        kept = [row for row in rows if row[1] != "c" and not any(
+            (f, *(row[cols.index(c)] for c in keys)) in gone for f, (_, keys) in mistakes.FAMILIES.items())]
+        table = spark.createDataFrame([tuple(r[n] for n in names) for r in rules], mistakes.RULE_SCHEMA)
+        got = mistakes.remove_mistakes(obs, table, banned=["c"]).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(kept, key=str) and 0 < len(kept) < len(rows)
+    assert spread
+
+
+def test_mistakes_read_the_records_once(spark):
+    from fieldtrends.suite import cleaning
+
+    plan = cleaning.c06(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 8
+
+
 def test_seasons_cover_all_months(spark):
     df = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
     assert clean.with_season(df).filter("season IS NULL").count() == 0
