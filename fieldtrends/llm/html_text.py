@@ -3,13 +3,18 @@
 A tokenizer feeds a tree builder that supplies implied end tags; the tree is rendered as a reader would see it:
 hidden and non-content elements are left out, blocks stand on lines of their own, list items have bullets or
 numbers, preformatted text keeps its spaces, and the cells of a table are aligned in columns. All visible text
-is kept: navigation, headers and footers too.
+is kept: navigation, headers and footers too, the text of drawings and formulas as well.
+
+What is visible follows ``display`` and the inherited ``visibility`` of inline styles and of the page's own style
+sheets (selectors of one element: type, classes, id; not those with combinators or inside @-blocks), the ``hidden``
+attribute, and the states of ``dialog`` and ``details``.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -19,7 +24,8 @@ from fieldtrends.llm.common import map_batches
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base object embed audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base object embed audio video canvas datalist annotation annotation-xml".split())
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc lineargradient radialgradient filter".split())
 BLOCKS = frozenset((
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp caption").split())
@@ -49,8 +55,10 @@ MARKUP = re.compile(
     rf"((?:[ \t\n\r\f/]++|{NAME}(?:{VALUE}(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\r\f>]*+))?+)*+)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(rf"({NAME})(?:{VALUE}(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f>]*+)))?+")
 WHITE = re.compile(r"[ \t\n\r\f]+")
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+CSS_PIECE = re.compile(r"([^{}]*)([{}])")
+ONE_ELEMENT = re.compile(r"\s*([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\s*\Z")
+SHOWING = ("display", "visibility")
 
 @dataclass
 class Node:
@@ -73,16 +81,6 @@ class Node:
             last = m.end()
         return last < len(self.attributes)
 
-    def hidden(self) -> bool:
-        if self.tag in UNSEEN:
-            return True
-        low = self.attributes.lower()
-        return bool(low) and (
-            "hidden" in low and self.attribute("hidden") is not None
-            or "style" in low and bool(HIDDEN_STYLE.search(self.attribute("style") or ""))
-            or self.tag == "input"
-        )
-
 
 def build(page: str) -> Node:
     """Tree of a page; end tags may be missing, misplaced or implied."""
@@ -158,6 +156,116 @@ def build(page: str) -> Node:
     return root
 
 
+def declarations(style: str) -> dict:
+    """{property: (important, value)} of the properties that decide what is shown, the last declaration first among equals."""
+    out: dict = {}
+    for part in style.split(";"):
+        name, colon, value = part.partition(":")
+        name = name.strip().lower()
+        if colon and name in SHOWING:
+            value, bang, word = value.strip().lower().partition("!")
+            found = (bool(bang) and word.strip() == "important", value.strip())
+            if found[1] and (name not in out or found[0] >= out[name][0]):
+                out[name] = found
+    return out
+
+
+class Sheet:
+    """Rules of the page's style sheets that decide what is shown, by one of the names their selector needs."""
+
+    def __init__(self, root: Node):
+        self.rules: dict[str, list] = {}
+        self.count = 0
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            if node.tag == "style":
+                if (node.attribute("media") or "all").strip().lower() in ("", "all", "screen"):
+                    self.read("".join(c for c in node.children if isinstance(c, str)))
+            elif node.tag not in ("template", "noscript"):
+                stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+
+    def read(self, css: str) -> None:
+        depth, selectors = 0, ""
+        for m in CSS_PIECE.finditer(CSS_COMMENT.sub(" ", css)):
+            if m[2] == "{":
+                if depth == 0:
+                    selectors = m[1].rpartition(";")[2]
+                depth += 1
+            elif depth:
+                depth -= 1
+                if depth == 0 and not selectors.lstrip().startswith("@") and (found := declarations(m[1])):
+                    for one in selectors.split(","):
+                        self.add(ONE_ELEMENT.match(one), found)
+
+    def add(self, selector, found: dict) -> None:
+        if selector is None or not (selector[1] or selector[2]):
+            return
+        tag, names = (selector[1] or "*").lower(), re.findall(r"[.#][\w-]+", selector[2])
+        ids = sum(n[0] == "#" for n in names)
+        self.count += 1
+        weight = (ids, len(names) - ids, int(tag != "*"), self.count)
+        self.rules.setdefault(names[-1] if names else tag, []).append((tag, frozenset(names), weight, found))
+
+    def styles(self, node: Node) -> dict:
+        """{property: value} after the cascade: importance, inline before rules, specificity, order."""
+        low = node.attributes.lower()
+        inline = declarations(node.attribute("style") or "") if "style" in low else {}
+        best = {name: ((important, 1), value) for name, (important, value) in inline.items()}
+        if self.rules:
+            have = {"." + c for c in (node.attribute("class") or "").split()} if "class" in low else set()
+            if "id" in low and node.attribute("id"):
+                have.add("#" + node.attribute("id"))
+            for key in (*have, node.tag, "*"):
+                for tag, names, weight, found in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and names <= have:
+                        for name, (important, value) in found.items():
+                            rank = ((important, 0, *weight), value)
+                            if name not in best or rank[0] > best[name][0]:
+                                best[name] = rank
+        return {name: value for name, (_, value) in best.items()}
+
+
+def keep_visible(root: Node) -> Node:
+    """Takes everything out of the tree that a reader does not see.
+
+    Invisible elements keep their place (cells, list numbers) and lose their text; what is visible again inside them stays.
+    """
+    sheet = Sheet(root)
+    stack = [(root, True, False)]
+    while stack:
+        node, shown, drawing = stack.pop()
+        closed = node.tag == "details" and node.attribute("open") is None
+        kept, summary = [], False
+        for c in node.children:
+            if isinstance(c, str):
+                if shown and not drawing and not closed:
+                    kept.append(c)
+                continue
+            if closed and (summary or c.tag != "summary"):
+                continue
+            summary = summary or c.tag == "summary"
+            if c.tag in UNSEEN or drawing and c.tag in UNDRAWN:
+                continue
+            style = sheet.styles(c) if c.attributes or sheet.rules else {}
+            display = style.get("display")
+            if display == "none" or display is None and (
+                    "hidden" in c.attributes.lower() and c.attribute("hidden") is not None or c.tag == "dialog" and c.attribute("open") is None):
+                continue
+            state = style.get("visibility")
+            see = False if state in ("hidden", "collapse") else True if state in ("visible", "initial") else shown
+            if c.tag == "input":
+                if see and (c.attribute("type") or "text").lower() in ("submit", "button", "reset") and c.attribute("value"):
+                    kept.append(" " + c.attribute("value") + " ")
+            elif see or c.tag != "img":
+                inside = c.tag == "svg" or drawing and c.tag not in ("text", "foreignobject")
+                words = drawing and not inside
+                kept += [" ", c, " "] if words else [c]
+                stack.append((c, see, inside))
+        node.children = kept
+    return root
+
+
 class Lines:
     """Text laid out in lines: white space is collapsed within a line, blank lines between blocks at most one."""
 
@@ -213,53 +321,75 @@ class Lines:
         return out
 
 
+def spans(cell: Node, name: str, most: int) -> int:
+    """A span as HTML reads it: 1 where it is missing or no number, ``most`` at most; a rowspan of 0 reaches to the end."""
+    value = (cell.attribute(name) or "").strip()
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    n = min(int(value[:9]), most)
+    return n if n else most if name == "rowspan" else 1
+
+
 def table_lines(node: Node) -> list[str]:
-    """Rows with cells padded to the widest of their column; a cell of several lines or with an inner table takes as many lines."""
-    rows: list[list[tuple[list[str], int]]] = []
+    """Rows with cells padded to the widest of their column; a cell of several lines or with an inner table takes as many lines.
+
+    A cell that spans rows stands in its first row, and the cells of the rows below leave its columns free.
+    """
+    rows: list[list[tuple[int, int, list[str]]]] = []  # (column, columns spanned, lines)
     titles: list[str] = []
+    taken: dict[int, int] = {}  # column: rows that a cell from above still covers
 
     def collect(n: Node) -> None:
         for c in n.children:
             if isinstance(c, str):
                 if c.strip():  # text outside cells is shown above the table
                     titles.append(" ".join(WHITE.split(c.strip())))
-            elif c.hidden():
-                continue
             elif c.tag == "tr":
-                cells = []
+                cells, col, below = [], 0, {}
                 for d in c.children:
                     if isinstance(d, str):
                         if d.strip():
                             titles.append(" ".join(WHITE.split(d.strip())))
-                    elif not d.hidden():
-                        if d.tag in ("td", "th"):
-                            span = d.attribute("colspan") or "1"
-                            cells.append((lines_of(d), min(int(span), 100) if span.isdigit() and int(span) else 1))
-                        else:
-                            titles.extend(lines_of(d))
+                    elif d.tag in ("td", "th"):
+                        while col in taken:
+                            col += 1
+                        wide, high = spans(d, "colspan", 1000), spans(d, "rowspan", 65534)
+                        cells.append((col, wide, lines_of(d)))
+                        if high > 1:
+                            below.update(dict.fromkeys(range(col, col + wide), high))
+                        col += wide
+                    else:
+                        titles.extend(lines_of(d))
+                for k, n_rows in {**taken, **below}.items():
+                    taken[k] = n_rows - 1
+                    if not taken[k]:
+                        del taken[k]
                 if cells:
                     rows.append(cells)
             elif c.tag in ("thead", "tbody", "tfoot"):
+                taken.clear()  # spans end with their group of rows
                 collect(c)
+                taken.clear()
             else:
                 titles.extend(lines_of(c))
 
     collect(node)
-    widths: dict[int, int] = {}
-    for cells in rows:
-        col = 0
-        for lines, span in cells:
-            if span == 1:
-                widths[col] = max(widths.get(col, 0), max(map(len, lines), default=0))
-            col += span
+    starts = sorted({col for cells in rows for col, _, _ in cells})  # columns in which no cell starts take no room
+    place = {col: k for k, col in enumerate(starts)}
+    laid = [[(place[col], bisect_left(starts, col + wide) - place[col], lines) for col, wide, lines in cells] for cells in rows]
+    widths = [0] * len(starts)
+    for col, wide, lines in sorted((x for cells in laid for x in cells), key=lambda x: x[1]):
+        room = sum(widths[col:col + wide]) + 3 * (wide - 1)
+        widths[col + wide - 1] += max(0, max(map(len, lines), default=0) - room)
     out = list(titles)
-    for cells in rows:
-        for k in range(max((len(lines) for lines, _ in cells), default=0) or 1):
+    for cells in laid:
+        at = {col: (wide, lines) for col, wide, lines in cells}
+        for k in range(max((len(lines) for _, _, lines in cells), default=0) or 1):
             line, col = [], 0
-            for lines, span in cells:
-                width = sum(widths.get(c, 0) for c in range(col, col + span)) + 3 * (span - 1)
-                line.append((lines[k] if k < len(lines) else "").ljust(width))
-                col += span
+            while col < len(widths) and col <= cells[-1][0]:
+                wide, lines = at.get(col, (1, []))
+                line.append((lines[k] if k < len(lines) else "").ljust(sum(widths[col:col + wide]) + 3 * (wide - 1)))
+                col += wide
             out.append(" | ".join(line).rstrip())
     return out
 
@@ -270,10 +400,6 @@ def render(node: Node, out: Lines, keep: bool) -> None:
         if isinstance(c, str):
             out.write(c, keep)
             continue
-        if c.hidden():
-            if c.tag == "input" and (c.attribute("type") or "text").lower() in ("submit", "button", "reset") and c.attribute("value"):
-                out.write(" " + c.attribute("value") + " ")
-            continue
         tag = c.tag
         if tag == "br":
             out.end(True)
@@ -319,14 +445,15 @@ def lines_of(node: Node) -> list[str]:
 
 def page_text(page: str | None) -> str:
     """Visible text of a page; null and empty pages have none."""
-    return "\n".join(lines_of(build(page))) if page else ""
+    return "\n".join(lines_of(keep_visible(build(page)))) if page else ""
 
 
 def extract(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
     """``key``, text, n_lines for every page.
 
     Null pages give empty text; repeated rows are returned as often as they occur; more columns are ignored; an
-    empty table gives no rows. A page is parsed whole, in time that grows with its length.
+    empty table gives no rows. A page is parsed whole, in time that grows with its length. From a depth of 400 on,
+    elements become siblings: their text stays, their layout may change.
     """
 
     def make():

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from html.parser import HTMLParser
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -67,3 +68,32 @@ def shingles(text, k=5):
     if not words:
         return frozenset()
     return frozenset(tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1)))
+
+
+class PlainPage(HTMLParser):
+    """Visible characters of a well-formed page, without white space: every element but the unseen ones, a mark for each list item."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("meta", "br"):
+            self.open.append(tag)
+        if tag == "li":
+            self.out.append("-")
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag):]
+
+    def handle_data(self, data):
+        if not {"head", "script", "style"} & set(self.open):
+            self.out.append(data)
+
+
+def plain_page(page):
+    parser = PlainPage()
+    parser.feed(page or "")
+    parser.close()
+    return "".join("".join(parser.out).split())

@@ -167,6 +167,35 @@ def test_html_tags_and_head(page, want):
     assert html_text.page_text(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<p style="backface-visibility:hidden">a', "a"), ('<p style="color:red; VISIBILITY : Hidden">no', ""), ('<p style="display:none!important;display:block">no', ""),
+    ('<p style="display:none;display:block">a', "a"), ('<div style="visibility:hidden">no <b style="visibility:visible">a</b> no</div>b', "a\nb"),
+    ('<p hidden style="display:block">a', "a"), ("<p hidden>no</p>b", "b"), ('<div style="visibility:hidden"><input type=submit value=no><img alt=no></div>b', "b"),
+    ("<ol><li>a<li style='visibility:hidden'>no<li>c</ol>", "1. a\n3. c"),
+    ("<style>/* .a{} */ .x, p.y {display:none} @media print { .z {display:none} } #k{visibility:hidden}</style>"
+     "<p class='x q'>no<p class=y>no<div class=y>a</div><p class=z>b<p id=k>no <b class=z style='visibility:visible'>c</b>", "a\n\nb\n\nc"),
+    ("<style>.x{display:none} p.x{display:block} .w .v{display:none}</style><p class=x>a<div class=x>no</div><div class=v>b</div>", "a\n\nb"),
+    ("<style>.x{display:none !important}</style><p class=x style='display:block'>no</p>a", "a"), ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<dialog>no</dialog><dialog open>a</dialog>", "a"), ("<details>no<summary>a</summary><p>no</details>b", "a\nb"), ("<details open><summary>a</summary>b</details>", "a\nb"),
+    ("<svg><title>no</title><defs><text>no</text></defs><g>no<text>a<tspan>b</tspan></text><text>c</text></g></svg>", "ab c"),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a | b\n  | c"), ("<table><tr><td>a<td rowspan=0>b<tr><td>c<tr><td>d<td>e</table>", "a | b\nc\nd |   | e"),
+    ("<table><tr><td colspan=999999999999>ab<td>c<tr><td>x<td>y</table>", "ab    | c\nx | y"),
+    ("<table><tr><td>name<td>n<tr><td colspan=2>wide text<td>z</table>", "name | n\nwide text | z"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a | b\nc | d"),
+])
+def test_html_visibility_and_spans(page, want):
+    assert html_text.page_text(page) == want
+
+
+def test_html_against_plain_pages(spark):
+    """All given pages against the parser of the standard library: the same visible characters in the same order."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: brute.plain_page(r.html) for r in pages.collect()}
+    got = {r.page_id: "".join(r.text.split()) for r in html_text.extract(pages).collect()}
+    assert got == want and sum(map(len, want.values())) > 10000
+
+
 # ---------------------------------------------------------------- 4 and 10 token files and packing
 @pytest.fixture(scope="module")
 def whole():
