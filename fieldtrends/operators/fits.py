@@ -377,6 +377,38 @@ def fit_glmm(
     )
 
 
+#: Model of a species: random intercepts of two cell sizes, of the small cells only, or none.
+KINDS = ("nested", "single", "fixed")
+#: What turns the standard error of a kind into the reported error, and the residual variance it adds: mixed models report
+#: the half-width of a 48 % normal interval on the link scale.
+REPORTED = {"nested": (0.6433454, 1.0), "single": (0.6433454, 1.0), "fixed": (1.0, 0.0)}
+
+
+def model_choice(species: DataFrame, restricted: DataFrame) -> DataFrame:
+    """Model of every species: nested, or for range-restricted ones (``restricted`` with ``mixed``) single or fixed."""
+    flag = restricted.select(SP, F.coalesce("mixed", F.lit(0)).alias("__mixed"))
+    kind = F.when(F.col("__mixed").isNull(), "nested").when(F.col("__mixed") == 0, "fixed").otherwise("single")
+    return species.select(SP).distinct().join(flag, SP, "left").select(SP, kind.alias("model"))
+
+
+def fit_chosen(binomial: DataFrame, choice: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """T06, T07 with a model per species: ``choice`` (species, model), species without an entry are nested.
+
+    One job per kind over all its species; the kind is kept as ``model``. A kind without rows adds none.
+    """
+    rows = binomial.join(choice.select(SP, "model"), SP, "left").withColumn("model", F.coalesce("model", F.lit(KINDS[0])))
+    made = {
+        "nested": lambda part: fit_glmm(part, labels, by, nested=True),
+        "single": lambda part: fit_glmm(part, labels, by, nested=False),
+        "fixed": lambda part: fit_glm(part, labels, by),
+    }
+    out = None
+    for kind in KINDS:
+        part = made[kind](rows.filter(F.col("model") == kind).drop("model")).withColumn("model", F.lit(kind))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 # ------------------------------------------------------------------ O10
 def occupancy_blocks(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells with their visits (rows, or counts with ``trials`` and ``hits``) summed per (season, list length): the likelihood needs no more."""

@@ -207,8 +207,8 @@ def prediction_grid(binomial: DataFrame, lengths: DataFrame, by: Sequence[str] =
     )
 
 
-def predict_fixed(grid: DataFrame, model: DataFrame, by: Sequence[str] = (), se_scale: float = 1.0,
-                  residual_variance: float = 0.0) -> DataFrame:
+def predict_fixed(grid: DataFrame, model: DataFrame, by: Sequence[str] = (), se_scale: float | Column = 1.0,
+                  residual_variance: float | Column = 0.0) -> DataFrame:
     """T08. Link-scale fit and error from coefficient and covariance arrays.
 
     ``model`` has ``terms`` (names), ``coef`` and ``cov`` (row-major). ``se_scale`` turns the standard
@@ -233,6 +233,14 @@ def predict_fixed(grid: DataFrame, model: DataFrame, by: Sequence[str] = (), se_
     )
 
 
+def predict_chosen(grid: DataFrame, model: DataFrame, reported: dict, by: Sequence[str] = ()) -> DataFrame:
+    """T08 where every species has a model of its own: ``model`` names the kind, ``reported`` {kind: (error scale, residual variance)}."""
+    scale = variance = F.lit(None).cast("double")
+    for kind, (s, v) in reported.items():
+        scale, variance = F.when(F.col("model") == kind, s).otherwise(scale), F.when(F.col("model") == kind, v).otherwise(variance)
+    return predict_fixed(grid, model, by, scale, variance)
+
+
 def average_seasons(pred: DataFrame, years: YearInfo, by: Sequence[str] = ()) -> DataFrame:
     """T09. Mean fit and error over seasons; every time group is listed, absent ones with NULLs."""
     kept = pred.filter("fit IS NOT NULL AND err IS NOT NULL AND NOT isnan(fit) AND NOT isnan(err)")

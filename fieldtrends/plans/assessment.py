@@ -39,6 +39,7 @@ class Inputs:
     vagrant_years: int = 3
     interval_draws: int = 1000
     completeness: Completeness = Completeness()
+    restricted: DataFrame | None = None  # range-restricted species and their ``mixed`` flag, for the model "chosen"
 
 
 def done(spark: SparkSession, path: str) -> bool:
@@ -59,8 +60,10 @@ class Assessment:
     """Runs the stages; ``self.stage`` writes once and reads back the pruned table."""
 
     def __init__(self, inputs: Inputs, root: str, model: str = "fixed"):
-        if model not in ("frequency", "fixed", "mixed"):
+        if model not in ("frequency", "fixed", "mixed", "chosen"):
             raise ValueError(f"unknown model {model!r}")
+        if model == "chosen" and inputs.restricted is None:
+            raise ValueError("the model 'chosen' needs the list of range-restricted species")
         self.i, self.root, self.model = inputs, root.rstrip("/"), model
         self.spark = inputs.records.sparkSession
         self.facts: list | None = None
@@ -72,7 +75,7 @@ class Assessment:
             i = self.i
             self.facts = [i.years, list(i.order), sorted(i.grid_sizes.items()), sorted((k, str(v)) for k, v in (i.mask_flags or {}).items()), i.sims, i.seed,
                           i.interval_draws, i.vagrant_years, i.completeness, content(i.lumps), content(i.mistake_rules), [str(r) for r in i.region_rules], sorted(i.banned)]
-        facts = self.facts + ([] if windows is None else [self.model, content(windows)])
+        facts = self.facts + ([] if windows is None else [self.model, content(windows), content(self.i.restricted if self.model == "chosen" else None)])
         path = f"{self.root}/{name}-{hashlib.sha256(repr(facts).encode()).hexdigest()[:16]}"
         if not done(self.spark, path):
             w = build().write.mode("overwrite")
@@ -149,9 +152,15 @@ class Assessment:
         return windows.select("common_name").distinct().withColumn("mask", F.explode(masks))
 
     def fits(self, windows: DataFrame) -> DataFrame:
-        """The fitted models with their status and gradient, failed ones included: the log of the fits."""
-        fit = fits.fit_glm if self.model == "fixed" else fits.fit_glmm
-        return self.stage(f"fits_{self.model}", lambda: fit(self.binomial(windows), self.i.years.labels, ["mask", "sim"]), ["mask"], windows)
+        """The fitted models with their kind, status and gradient, failed ones included: the log of the fits."""
+        def build() -> DataFrame:
+            rows, labels, by = self.binomial(windows), self.i.years.labels, ["mask", "sim"]
+            if self.model == "chosen":
+                return fits.fit_chosen(rows, fits.model_choice(windows, self.i.restricted), labels, by)
+            kind, fit = ("fixed", fits.fit_glm) if self.model == "fixed" else ("nested", fits.fit_glmm)
+            return fit(rows, labels, by).withColumn("model", F.lit(kind))
+
+        return self.stage(f"fits_{self.model}", build, ["mask"], windows)
 
     def fit_stats(self, windows: DataFrame) -> DataFrame:
         """Records used per mask and species."""
@@ -169,10 +178,8 @@ class Assessment:
                 return trends.complete_sims(trends.reporting_frequency(rows, by), self.i.sims, labels, ["mask"], every)
             sampled = self.analysis().join(self.replicates().select("mask", "sim", "group_id"), "group_id")
             lengths = trends.typical_list_length(sampled, windows, self.i.years, by)
-            # mixed: half-width of a 48 % normal interval, residual variance of the link scale included
-            scale, extra = (1.0, 0.0) if self.model == "fixed" else (0.6433454, 1.0)
-            model = self.fits(windows).filter("status = 'ok'").select(*by, "common_name", "terms", "coef", "cov")
-            pred = trends.predict_fixed(trends.prediction_grid(rows, lengths, by), model, by, scale, extra)
+            model = self.fits(windows).filter("status = 'ok'").select(*by, "common_name", "model", "terms", "coef", "cov")
+            pred = trends.predict_chosen(trends.prediction_grid(rows, lengths, by), model, fits.REPORTED, by)
             found = trends.average_seasons(pred, self.i.years, by).select(*by, "common_name", "timegroup", "year", "freq", "se")
             return trends.complete_sims(found, self.i.sims, labels, ["mask"], every)
 

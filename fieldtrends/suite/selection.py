@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldtrends.functions import portable, positions
-from fieldtrends.operators import qualify as q, resample, spatial
+from fieldtrends.operators import fits, qualify as q, resample, spatial
 from fieldtrends.sources import adapters as A
 from fieldtrends.suite import tables as S
 from fieldtrends.suite.places import BY_MASK, FLAGS
@@ -162,6 +162,15 @@ def q11(spark, d):
     return q.restricted_list(m, vh, vr, ana, m.filter("misid"))
 
 
+@query("t07_model_choice", S.upto("ana", "fine", QUAL, CH, CR, VH, VR, S.spmap("fine")) + """
+  SELECT m.common_name, CASE WHEN r.n IS NULL THEN 'nested' WHEN r.n > 7 THEN 'single' ELSE 'fixed' END AS model
+  FROM (SELECT DISTINCT common_name FROM spmap) m LEFT JOIN (SELECT common_name, n FROM (SELECT * FROM vh FULL JOIN vr USING (common_name))
+    JOIN (SELECT common_name, count(DISTINCT gridg1) AS n FROM ana WHERE all_species_reported = 1 GROUP BY 1) USING (common_name)) r USING (common_name)""")
+def model_choice(spark, d):
+    """The model that the restricted list (Q11) chooses for every species."""
+    return fits.model_choice(A.species_map(spark, d, "fine"), q11(spark, d))
+
+
 @query("q12_species_sheet", S.upto("ana", "name", *SEL) + """
   SELECT f.common_name, f.scientific_name, CASE WHEN f.ht = 1 OR f.endemic_region <> 'Non-endemic' THEN 'X' ELSE '' END AS long_term_analysis,
     CASE WHEN f.rt = 1 THEN 'X' ELSE '' END AS current_analysis,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldtrends.operators import fits, trends as t
 from fieldtrends.plans import frequency as fq
+from fieldtrends.session import staged
 from fieldtrends.sources import adapters as A
 from fieldtrends.suite import tables as S
 from fieldtrends.suite.registry import query
@@ -107,6 +108,34 @@ def t08(spark, d):
         "common_name", "timegroup", "year", F.round("freq", 6).alias("freq"), F.round("se", 6).alias("se"))
 
 
+# a kind per species, from the same keys as the windows, so that all kinds occur
+KIND = "kinds AS (SELECT common_name, CASE k % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'single' ELSE 'nested' END AS model FROM spmap)"
+
+
+def kinds(spark, d):
+    k = F.col("k") % 4
+    return A.species_map(spark, d).select("common_name", F.when(k == 0, "fixed").when(k == 1, "single").otherwise("nested").alias("model"))
+
+
+@query("t07_chosen_gradient", S.upto("ana", "name", *T, EXPANDED, KIND) +
+       "SELECT DISTINCT common_name, model, 0.0::DOUBLE AS gradient FROM expanded JOIN kinds USING (common_name)")
+def t07_chosen(spark, d):
+    """Models of all kinds side by side: each has settled."""
+    model = fits.fit_chosen(t.compress(*setup(spark, d), Y), kinds(spark, d), Y.labels)
+    return model.select("common_name", "model", F.round("gradient", 3).alias("gradient"))
+
+
+@query("t08_predict_chosen")
+def t08_chosen(spark, d):
+    """Prediction from a model per species, with the errors that its kind reports."""
+    ana, win = setup(spark, d)
+    rows = staged(t.compress(ana, win, Y))
+    model = fits.fit_chosen(rows, kinds(spark, d), Y.labels)
+    pred = t.predict_chosen(t.prediction_grid(rows, t.typical_list_length(ana, win, Y)), model, fits.REPORTED)
+    return t.average_seasons(pred, Y).select(
+        "common_name", "timegroup", "year", F.round("freq", 5).alias("freq"), F.round("se", 5).alias("se"))
+
+
 @query("t08_prediction_grid", S.upto("ana", "name", *T, EXPANDED, LENGTHS) + """
   SELECT a.common_name, timegroup, season, typical_length FROM (SELECT DISTINCT common_name, timegroup FROM expanded) a
   JOIN (SELECT DISTINCT common_name, season FROM expanded) b USING (common_name) JOIN lengths USING (common_name)""")

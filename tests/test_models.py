@@ -224,3 +224,29 @@ def test_replicates_at_once_equal_each_by_itself(spark):
         columns = ["sim", "common_name", *attrs, "n", "k"]
         a, b = (sorted(map(tuple, x.select(columns).collect()), key=str) for x in (rows, sets))
         assert a == b and a
+
+
+def test_each_species_gets_its_model(spark):
+    """Fits and reported errors of chosen models equal those of each kind fitted by itself."""
+    rng = np.random.default_rng(11)
+    rows = [(name, *r[1:]) for name in ("wide", "narrow", "tiny") for r in simulate(rng, 0.5, 0.3)]
+    df = staged(spark.createDataFrame(rows, SCHEMA))
+    restricted = spark.createDataFrame([("narrow", 1), ("tiny", 0)], "common_name string, mixed int")
+    choice = fits.model_choice(df, restricted)
+    assert {r.common_name: r.model for r in choice.collect()} == {"wide": "nested", "narrow": "single", "tiny": "fixed"}
+    model = staged(fits.fit_chosen(df, choice, GROUPS))
+    alone = {"wide": fits.fit_glmm(df, GROUPS), "narrow": fits.fit_glmm(df, GROUPS, nested=False), "tiny": fits.fit_glm(df, GROUPS)}
+    got = {r.common_name: r for r in model.collect()}
+    assert got.keys() == alone.keys() and got["wide"].sd_outer is not None and got["narrow"].sd_outer is None and got["tiny"].sd_cell is None
+    for name, fit in alone.items():
+        one = fit.filter(F.col("common_name") == name).first()
+        assert one.terms == got[name].terms and np.allclose(one.coef, got[name].coef, atol=1e-6) and got[name].gradient < 1e-3
+    lengths = spark.createDataFrame([(n, 8) for n in alone], "common_name string, typical_length long")
+    grid = trends.prediction_grid(df, lengths)
+    plain = {tuple(r)[:3]: r for r in trends.predict_fixed(grid, model).collect()}
+    for r in trends.predict_chosen(grid, model, fits.REPORTED).collect():
+        want = plain[tuple(r)[:3]]
+        err = want.err if r.common_name == "tiny" else 0.6433454 * np.sqrt(want.err**2 + 1)
+        assert abs(r.fit - want.fit) < 1e-12 and abs(r.err - err) < 1e-9
+    nobody = spark.createDataFrame([], restricted.schema)
+    assert {r.model for r in fits.model_choice(df, nobody).collect()} == {"nested"}
