@@ -1,6 +1,7 @@
 import os
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldtrends.plans.assessment import Assessment, Inputs, content
@@ -47,3 +48,23 @@ def test_content_tells_rows(spark):
     assert content(a) == content(a.repartition(5)) == content(a.select("min_era", "common_name"))
     assert content(a) != content(a.distinct()) != content(a.fillna(0)) and content(None) is None
     assert content(spark.createDataFrame([], a.schema)) != content(a)
+
+
+def test_model_of_each_species(spark, tmp_path):
+    """Raw trends with a model per species, and the log of its fits. Three species leave some masks without rows, which the check refuses."""
+    few = everything(spark, D).orderBy("common_name").limit(3)
+    names = [r.common_name for r in few.collect()]
+    restricted = spark.createDataFrame([(names[0], 1), (names[1], 0)], "common_name string, mixed int")
+    inputs = Inputs(A.observations(spark, D), A.polygons(spark), A.habitat_flags(A.gridded(spark, D)), A.species_map(spark, D), A.YEARS, A.ORDER,
+                    A.GRID_SIZES, sims=1, interval_draws=20, restricted=restricted)
+    run = Assessment(inputs, str(tmp_path), "chosen")
+    win = spark.createDataFrame(few.collect(), few.schema)
+    kinds = dict(zip(names, ("single", "fixed", "nested")))
+    log = run.fits(win).collect()
+    assert log and all(r.model == kinds[r.common_name] for r in log)
+    raw = run.raw_trends(win)
+    with pytest.raises(ValueError, match="incomplete"):
+        run.check(win)
+    ok = {r.common_name for r in log if r.status == "ok"}
+    assert {r.common_name for r in raw.collect()} == set(names)
+    assert {r.common_name for r in raw.filter("freq IS NOT NULL").collect()} == ok

@@ -14,7 +14,7 @@ from compare import check, connect  # noqa: E402
 
 D = "/root/testdata/sf0.001"
 SAMPLE = ["s05_rewrite_one_mask", "c06_remove_mistakes", "c14_completeness", "g01_tag_points", "q07_restricted_valid", "r02_replicates",
-          "t05_compress", "o06_number_visits", "v05_ratio_interval", "k08_priority_status", "m12_key_species", "m28_release_delta"]
+          "t05_compress", "o06_number_visits", "o06_drawn_counts", "v05_ratio_interval", "k08_priority_status", "m12_key_species", "m28_release_delta"]
 
 
 def test_contract():
