@@ -132,8 +132,8 @@ OCC_SQL = """occ AS (SELECT common_name, gridg1, CASE WHEN max(all_species_repor
     max(CASE WHEN month IN (11,12,1,2) THEN 'MW' ELSE 'MS' END) AS status FROM ana GROUP BY 1, 2)"""
 
 
-def occupancy_like(spark, d):
-    return A.analysis_table(spark, d).groupBy("common_name", "gridg1").agg(
+def occupancy_like(spark, d, ana=None):
+    return (A.analysis_table(spark, d) if ana is None else ana).groupBy("common_name", "gridg1").agg(
         F.when(F.max("all_species_reported") == 1, 1.0).otherwise(0.5).alias("occupancy"),
         F.max(F.when(F.col("month").isin(11, 12, 1, 2), "MW").otherwise("MS")).alias("status"))
 
@@ -142,8 +142,9 @@ def occupancy_like(spark, d):
   SELECT common_name, gridg1, occupancy FROM occ o WHERE NOT (occupancy = 1 AND NOT EXISTS (
     SELECT 1 FROM ana a WHERE a.common_name = o.common_name AND a.gridg1 = o.gridg1 AND a.category = 'species'))""")
 def g08(spark, d):
-    truth = A.analysis_table(spark, d).filter("category = 'species'").select("common_name", "gridg1").distinct()
-    return spatial.drop_false_presence(occupancy_like(spark, d), truth).select("common_name", "gridg1", "occupancy")
+    ana = A.analysis_table(spark, d, reuse=True, columns=["common_name", "gridg1", "category", "month", "all_species_reported"])
+    truth = ana.filter("category = 'species'").select("common_name", "gridg1").distinct()
+    return spatial.drop_false_presence(occupancy_like(spark, d, ana), truth).select("common_name", "gridg1", "occupancy")
 
 
 @query("g09_cell_coverage", S.upto("ana") + """
