@@ -51,7 +51,7 @@ def base(*more):
 
 
 def records(spark, d):
-    return staged(A.analysis_table(spark, d)), o.season_codes(A.species_map(spark, d))
+    return A.analysis_table(spark, d, reuse=True, columns=A.MODEL), o.season_codes(A.species_map(spark, d))
 
 
 def recent(spark, d):
@@ -59,15 +59,15 @@ def recent(spark, d):
     return ana, o.recent_years(ana, A.YEARS.latest_year), codes
 
 
-def all_counts(spark, d):
-    """(records, recent records, codes, visits as counts)."""
-    ana, last, codes = recent(spark, d)
+def all_counts(spark, d, records=None):
+    """(records, recent records, codes, visits as counts); ``records`` of ``recent``, if the job has them."""
+    ana, last, codes = records or recent(spark, d)
     return ana, last, codes, staged(o.visit_counts(last, codes))
 
 
-def numbered_visits(spark, d):
+def numbered_visits(spark, d, records=None):
     """(records, visits as counts, capped visits in their order)."""
-    ana, last, codes, counts = all_counts(spark, d)
+    ana, last, codes, counts = all_counts(spark, d, records)
     return ana, counts, o.number_visits(last, codes, o.visit_cap(counts), 7)
 
 
@@ -151,9 +151,9 @@ def o09(spark, d):
                     F.array_join("lengths", ",").alias("lengths"), "samples")
 
 
-def model_input(spark, d):
+def model_input(spark, d, records=None):
     """(counts, drawn counts, neighbour shares): the fit reads no row per visit."""
-    ana, _, _, counts = all_counts(spark, d)
+    ana, _, _, counts = all_counts(spark, d, records)
     return counts, staged(o.draw_counts(counts, o.visit_cap(counts), 7)), staged(shares(ana, counts))
 
 
@@ -174,9 +174,9 @@ def o10_gradient(spark, d):
     return model.select("common_name", "status", F.round("gradient", 3).alias("gradient"))
 
 
-def fitted(spark, d):
+def fitted(spark, d, records=None):
     """(model, cells): O10 to O12 in a chain."""
-    counts, drawn, share = model_input(spark, d)
+    counts, drawn, share = model_input(spark, d, records)
     model = staged(fits.fit_occupancy(o.history_rows(drawn, share)))
     return model, o.fitted_cells(drawn, share, model, o.cell_presence(counts))
 
@@ -193,16 +193,17 @@ def o10_cells(spark, d):
 @query("o10_fitted_range_size")
 def o10_range(spark, d):
     """O13 from the fit; not_ok counts the season codes of the species whose fit did not settle."""
-    model, made = fitted(spark, d)
-    _, last, codes = recent(spark, d)
+    made_from = recent(spark, d)
+    _, last, codes = made_from
+    model, made = fitted(spark, d, made_from)
     out = o.range_size(made, o.presence_cells(last, codes), 625.0)
     state = model.groupBy("common_name").agg(F.count_if(F.col("status_fit") != "ok").alias("not_ok"))
     return rnd(out.join(state, "common_name", "left"), rangelci=4, rangemean=4, rangerci=4)
 
 
-def stand_in(spark, d):
+def stand_in(spark, d, records=None):
     """A formula in place of the fit, for the queries with SQL (O11 to O13); ``fitted`` is the chain itself."""
-    ana, counts, numbered = numbered_visits(spark, d)
+    ana, counts, numbered = numbered_visits(spark, d, records)
     numbered = staged(numbered)
     pred = numbered.select("common_name", "status", "gridg1", (0.3 * (1 - F.exp(-F.col("no_sp") / 7.0))).alias("p"),
                            (F.sqrt("no_sp") / 300).alias("se"))
@@ -215,8 +216,8 @@ def o11(spark, d):
     return rnd(stand_in(spark, d)[3], det=7, inv_det=7, det_se=7)
 
 
-def cells(spark, d):
-    ana, counts, numbered, det = stand_in(spark, d)
+def cells(spark, d, records=None):
+    ana, counts, numbered, det = stand_in(spark, d, records)
     share = shares(ana, counts)
     nb = F.coalesce("prop_nb", F.lit(0.0))
     occ = share.select("common_name", "status", "gridg1", "prop_nb", (0.1 + 0.6 * nb).alias("occ"), (0.02 + 0.05 * nb).alias("occ_se"))
@@ -237,6 +238,7 @@ def o12(spark, d):
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY common_name ORDER BY m DESC, status DESC) AS rn FROM sums) WHERE rn = 1)
   SELECT common_name, round(greatest(m * 625 - 1.96 * e * 625, 0), 4) AS rangelci, round(m * 625, 4) AS rangemean, round(m * 625 + 1.96 * e * 625, 4) AS rangerci FROM best""")
 def o13(spark, d):
-    _, last, codes = recent(spark, d)
-    out = o.range_size(cells(spark, d), o.presence_cells(last, codes), 625.0)
+    made_from = recent(spark, d)
+    _, last, codes = made_from
+    out = o.range_size(cells(spark, d, made_from), o.presence_cells(last, codes), 625.0)
     return rnd(out, rangelci=4, rangemean=4, rangerci=4)
