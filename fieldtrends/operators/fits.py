@@ -394,9 +394,9 @@ def model_choice(species: DataFrame, restricted: DataFrame) -> DataFrame:
 def fit_chosen(binomial: DataFrame, choice: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """T06, T07 with a model per species: ``choice`` (species, model), species without an entry are nested.
 
-    One job per kind over all its species; the kind is kept as ``model``. A kind without rows adds none.
+    One job per kind over all its species, from rows that are made once; the kind is kept as ``model``. A kind without rows adds none.
     """
-    rows = binomial.join(choice.select(SP, "model"), SP, "left").withColumn("model", F.coalesce("model", F.lit(KINDS[0])))
+    rows = staged(binomial.join(choice.select(SP, "model"), SP, "left").withColumn("model", F.coalesce("model", F.lit(KINDS[0]))))
     made = {
         "nested": lambda part: fit_glmm(part, labels, by, nested=True),
         "single": lambda part: fit_glmm(part, labels, by, nested=False),
