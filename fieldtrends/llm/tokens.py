@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from unicodedata import normalize
 
 #: Texts with this mark may hold the string of an added token; they are encoded whole.
 SPECIAL_MARK = "<|"
 #: Parts kept per worker; a full table is emptied, which changes the speed only.
 CACHE_PARTS = 1_200_000
-TAILS = ".,;:!?"
+#: Marks that may follow a word; an apostrophe is none, as it starts a contraction.
+TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Longer runs of marks are encoded with their word, so that the table of runs stays small.
+LONGEST_TAIL = 4
 
 
 @lru_cache(maxsize=None)
@@ -26,6 +30,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def ends_in_letter(stem: str) -> bool:
+    """Whether a word still ends in a letter as the tokenizer sees it: some letters become a letter and a mark, which
+    would be one pre-token with the marks that follow."""
+    return stem.isalpha() and (stem.isascii() or normalize("NFC", stem).lower()[-1].isalpha())
+
+
 class Irregular(Exception):
     """The text has to be encoded whole."""
 
@@ -34,7 +44,7 @@ class Parts(dict):
     """Ids (little-endian bytes) of parts without white space, all following the same lead ("" or a space).
 
     White space starts a pre-token in both tokenizers and letters, digits and marks never share one, so a
-    part keeps its ids wherever it stands, and a Latin word followed by one mark has the ids of both.
+    part keeps its ids wherever it stands, and a word followed by a run of marks has the ids of both.
     """
 
     def __init__(self, owner: "TextEncoder", lead: str):
@@ -45,8 +55,9 @@ class Parts(dict):
             raise Irregular
         if len(self) >= CACHE_PARTS:
             self.clear()
-        if part[-1] in TAILS and part[:-1].isalpha():
-            ids = self[part[:-1]] + self.owner.mark(part[-1])
+        stem = part.rstrip(TAILS)
+        if 0 < len(part) - len(stem) <= LONGEST_TAIL and ends_in_letter(stem):
+            ids = self[stem] + self.owner.mark(part[len(stem):])
         else:
             ids = self.owner.word(self.lead, part)
         self[part] = ids
@@ -65,7 +76,8 @@ class TextEncoder:
         self.letters = byte_letters()
         self.lower = self.tokenizer.normalizer is not None
         self.space = "" if self.lower else self.letters[32]
-        self.first, self.later = Parts(self, ""), Parts(self, " ")
+        self.first = Parts(self, "")
+        self.later = self.first if self.lower else Parts(self, " ")  # this tokenizer drops white space, so a lead changes nothing
         self.marks: dict[str, bytes] = {}
         self.newline = self.whole("\n")
 
@@ -75,16 +87,18 @@ class TextEncoder:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def mark(self, char: str) -> bytes:
-        if char not in self.marks:
-            self.marks[char] = self.whole(char)
-        return self.marks[char]
+    def mark(self, tail: str) -> bytes:
+        if tail not in self.marks:
+            self.marks[tail] = self.whole(tail)
+        return self.marks[tail]
 
     def word(self, lead: str, part: str) -> bytes:
         """A word of Latin letters is one pre-token and goes to the BPE model at once; anything else takes the full way."""
         if part.isalpha() and max(part) < "Ā":
             text = part.lower() if self.lower else part
-            shown = text.encode().decode("latin-1").translate(self.letters)
+            if text != part:
+                return self.first[text]
+            shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
             tokens = self.model.tokenize(self.space + shown if lead else shown)
             return b"".join([t.id.to_bytes(4, "little") for t in tokens])
         return self.whole(lead + part)

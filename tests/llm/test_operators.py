@@ -278,6 +278,19 @@ def test_part_encoder():
             assert e.encode(t) == e.whole(t), t
 
 
+def test_part_encoder_splits_words_from_marks(monkeypatch):
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = tokens.TextEncoder(tokens.public_path(name))
+        for t in ("İ.", "aİ_{ b", "\u0958. \u0958,", "a.'s b..... c_- Éa$$$ $$$ é.%%% don't.", "K- σς. ſ!"):  # letters that become letter and mark
+            assert e.encode(t) == e.whole(t), t
+        made = []
+        monkeypatch.setattr(e, "whole", lambda t, real=e.whole: (made.append(t), real(t))[1])
+        shouted = "thin&&& other&&& thin.## Thin Other" if e.lower else "of thin&&& other&&& thin.##"
+        assert e.encode(shouted)
+        assert sorted(made) == ["&&&", ".##"]  # marks once, no word with its marks
+        assert ("thin" in e.later) and ("other" in e.later)
+
+
 # ---------------------------------------------------------------- 5 dropout
 def test_piece_dropout(docs, none):
     import numpy as np
