@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from fieldtrends.functions import positions
 from fieldtrends.operators import clean, fits, occupancy as o, reports as r, trends as t
+from fieldtrends.plans import frequency
+from fieldtrends.sources import adapters
 
 
 def plan(df):
@@ -31,6 +33,39 @@ def test_clean_chain_shuffles_once(spark):
     assert got == {("S1", "a"): 0, ("S1", None): 0, (None, "a"): 1, (None, "b"): 1, ("S2", None): 0}
 
 
+def test_records_meet_their_checklists_last(spark, tmp_path):
+    tables = {
+        "orders": "SELECT 7L o_orderkey, 5L o_custkey, '3-MEDIUM' o_orderpriority, 9D o_totalprice, DATE'1999-07-01' o_orderdate, 'F' o_orderstatus",
+        "lineitem": "SELECT 7L l_orderkey, 3L l_partkey, 1 l_linenumber, 2D l_quantity, 0.01D l_discount, 'N' l_returnflag, 'F' l_linestatus, 5D l_extendedprice",
+        "part": "SELECT 3L p_partkey, 'red widget' p_name, 'B' p_brand, 'SMALL' p_type", "nation": "SELECT 5 n_nationkey, 'N' n_name",
+    }
+    for name, rows in tables.items():
+        spark.sql(rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        obs = adapters.observations(spark, str(tmp_path))
+        joins = [line for line in plan(obs).splitlines() if "SortMergeJoin" in line]
+        # the outer join comes first: rows leave it by checklist, so the shuffle by checklist packs well
+        assert [k for line in joins for k in ("l_orderkey", "l_partkey") if k in line] == ["l_orderkey", "l_partkey"]
+        assert [(x.event_id, x.common_name, x.part_no) for x in obs.collect()] == [("S7", "red widget", 3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_species_are_stored_before_they_meet_the_records(spark, monkeypatch):
+    obs = spark.createDataFrame([("S1", "a", "L1", "1", 1, 1, 1, 1998, "1998", 1, 1)], ", ".join(
+        f"{c} {k}" for c, k in zip(adapters.MODEL, "string string string string int long int int string long long".split())))
+    species = spark.createDataFrame([("a", 0), ("b", 0)], "common_name string, min_era int")
+    monkeypatch.setattr(frequency.A, "analysis_table", lambda *_, **__: obs)
+    monkeypatch.setattr(frequency, "everything", lambda *_: species)
+    given, real = [], t.compress_replicates
+    monkeypatch.setattr(frequency.trends, "compress_replicates", lambda ana, sets, w, *a, **k: (given.append(w), real(ana, sets, w, *a, **k))[1])
+    got = frequency.raw_trends(spark, "", sims=3).collect()
+    assert {x.common_name for x in got} == {"a"} and {x.sim for x in got} == {1, 2, 3}
+    assert "Scan parquet" in plan(given[0]) and sorted(map(tuple, given[0].collect())) == [("a", 0), ("b", 0)]
+
+
 def test_runs_are_merged_not_broadcast(spark):
     cols = "mean lci_std mean_std rci_std lci_std_recent mean_std_recent rci_std_recent".split()
     run = lambda s: spark.range(3).select(
